@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from quern.llm.bpe_transducer import op9_bpe_transducer
 from quern.llm.ngram_join import op3_ngram_jaccard_join
 from quern.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op9_bpe_transducer": op9_bpe_transducer,
     "op1_suffix_dedup": op1_suffix_dedup,
 }
 
