@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from quern.llm.bpe_transducer import op9_bpe_transducer
+from quern.llm.language_id import op10_language_id
 from quern.llm.ngram_join import op3_ngram_jaccard_join
+from quern.llm.quality_ranking import op8_quality_ranking
 from quern.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op8_quality_ranking": op8_quality_ranking,
     "op9_bpe_transducer": op9_bpe_transducer,
-    "op1_suffix_dedup": op1_suffix_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
