@@ -90,7 +90,7 @@ class PrefixHash:
 # ---------------------------------------------------------------- blobs
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob; bytes of equal weight stand together."""
     out = [len(arrays).to_bytes(2, "little")]
     body = []
@@ -101,7 +101,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         raw = a.view(np.uint8).reshape(-1, size).T.tobytes() if size > 1 and len(a) else a.tobytes()
         out.append(len(kind).to_bytes(1, "little") + kind + len(a).to_bytes(8, "little"))
         body.append(raw)
-    return zstandard.compress(b"".join(out) + b"".join(body), 1)
+    return zstandard.compress(b"".join(out) + b"".join(body), level)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -165,7 +165,7 @@ class Block:
         return cls(values[order], has[order], off, data)
 
     def blob(self) -> bytes:
-        return pack(self.ids, self.has_id, self.offsets, self.data)
+        return pack(self.ids, self.has_id, self.offsets, self.data, level=5)
 
     @classmethod
     def from_blob(cls, blob: bytes) -> Block:

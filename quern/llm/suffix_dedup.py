@@ -12,11 +12,11 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
    common extension by binary search over prefix polynomial hashes (logarithmic, not linear in the
    length).  Neighbours' common extensions to the right, and prefix hashes to the left, give the
    windows that agree; the bytes of each pair are then compared, so a collision removes nothing.
-4. A block settles the documents that wait for no such fragment at once, and the others when the sort
-   has answered: it unites their spans and cuts them out.
+4. Each block unites its spans and cuts them out.
 
-Data moved: about 13 bytes for each 16 bytes of text in (1), compressed text once, and fragments and
-documents with the edges of copies.  No step holds more than a block or a bucket.
+Anchors and fragments are sent as 48 and 40 bits of hash, and only equal both are taken as equal without a
+look at the bytes.  Data moved: about 11 bytes for each 16 bytes of text in (1), compressed text twice, and the
+fragments at the edges of copies.  No step holds more than a block or a bucket.
 
 Nulls: a null text is the empty text; a document with a null id counts as later than all others and
 loses what any document with an id holds.  Documents with equal ids don't remove from each other.
@@ -41,7 +41,8 @@ GRAM = 20
 _PIECE = 1 << 19
 _POS_BITS = U64(24)
 _POS_MASK = U64((1 << 24) - 1)
-_F_MASK = U64((1 << 44) - 1)
+_F_MASK = U64((1 << 40) - 1)
+_A_CUT = U64(16)
 
 MESSAGES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 MESSAGES_SQL = "bucket long, block long, kind int, payload binary"
@@ -95,7 +96,7 @@ class Runs:
             anchor = m[s0].astype(np.int64)
             size = s1 + length - s0
             f = mix(ph.of(s0, size) + U64(0x632BE59BD9B4E019) * (size * 4096 + anchor - s0).astype(U64)) & _F_MASK
-            found.append((hk[anchor], f, s0 + lo, s1 + lo, anchor + lo))
+            found.append((mix(hk[anchor]) >> _A_CUT, f, s0 + lo, s1 + lo, anchor + lo))
         if found:
             self.a, self.f, self.s0, self.s1, self.at = (np.concatenate(x) for x in zip(*found, strict=True))
         else:
@@ -187,7 +188,7 @@ def _cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def _mark_block(length: int, gram: int, buckets: int, keep_text: bool):
+def _mark_block(length: int, gram: int, buckets: int):
     def mark(key: tuple, got: pa.Table) -> pa.Table:
         block, answers = None, {}
         for row in rows(got):
@@ -195,12 +196,8 @@ def _mark_block(length: int, gram: int, buckets: int, keep_text: bool):
                 block = Block.from_blob(row["payload"])
             else:
                 answers[row["bucket"]] = row["payload"]
-        if block is None:
+        if block is None or not answers:
             return table(MESSAGES, [])
-        n = len(block.ids)
-        waits = np.zeros(n, bool)
-        if not answers:
-            return table(MESSAGES, [(-1, key[0].as_py(), 3, _settled(block, np.arange(n), np.zeros(len(block.data), bool), keep_text))])
         r = Runs(block, length, gram)
         r.distinct(buckets)
         told, g, found = np.zeros(len(r.first), bool), np.full(len(r.first), Block.NO_ID), []
@@ -217,61 +214,17 @@ def _mark_block(length: int, gram: int, buckets: int, keep_text: bool):
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 text = block.data[np.repeat(s0 - start, size) + np.arange(size.sum())]
                 found.append((k, key[0].as_py(), 2, pack(r.ua[u], s0, size.astype(np.int32), (r.at[run] - s0).astype(np.int32), r.ids[run], text)))
-                waits[r.doc[run]] = True
         u = r.group
         dup = told[u] & (g[u] < r.ids[r.order])
         run = r.order[dup]
-        covered = _cover(len(block.data), r.s0[run], r.s1[run] + length)
-        found.append((-1, key[0].as_py(), 3, _settled(block, np.flatnonzero(~waits), covered, keep_text)))
-        later = np.flatnonzero(waits)
-        if len(later):
-            byte = np.repeat(waits, np.diff(block.offsets))
-            found.append((-1, key[0].as_py(), 4, pack(block.ids[later], block.has_id[later], block.offsets[later], np.diff(block.offsets)[later], block.data[byte], np.packbits(covered[byte]))))
+        if len(run):
+            covered = _cover(len(block.data), r.s0[run], r.s1[run] + length)
+            found.append((-1, key[0].as_py(), 3, pack(*_spans(covered))))
         return table(MESSAGES, found)
 
     return mark
 
 
-def _settled(block: Block, docs: np.ndarray, covered: np.ndarray, keep_text: bool) -> bytes:
-    """What is left of documents for which nothing more is to come, as one blob."""
-    size, gone, runs, sha, starts, ends, kept = [], [], [], [], [], [], []
-    for i in docs:
-        lo, hi = int(block.offsets[i]), int(block.offsets[i + 1])
-        cover, data = covered[lo:hi], block.data[lo:hi]
-        s, e = _spans(cover)
-        left = (data[~cover] if len(s) else data).tobytes()
-        size.append(hi - lo)
-        gone.append(int((e - s).sum()))
-        runs.append(len(s))
-        sha.append(hashlib.sha256(left).digest())
-        starts.append(s)
-        ends.append(e)
-        if keep_text:
-            kept.append(left)
-    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    long = lambda x: np.array(x, np.int64)
-    return pack(block.ids[docs], block.has_id[docs], long(size), long(gone), long(runs), np.frombuffer(b"".join(sha), np.uint8), flat(starts), flat(ends), np.frombuffer(b"".join(kept), np.uint8))
-
-
-def _results(blob: bytes, keep_text: bool) -> pa.RecordBatch:
-    ids, has, size, gone, runs, sha, starts, ends, kept = unpack(blob)
-    sha, cut, left = sha.tobytes(), np.concatenate([[0], np.cumsum(runs)]), size - gone
-    bounds, data = np.concatenate([[0], np.cumsum(left)]), kept.tobytes()
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
-    n = len(ids)
-    texts = [data[bounds[i] : bounds[i + 1]] for i in range(n)] if keep_text else [None] * n
-    return pa.RecordBatch.from_arrays([pa.array(ids, mask=~has), pa.array(size), pa.array(gone), pa.array(runs), pa.array([sha[32 * i : 32 * i + 32].hex() for i in range(n)], pa.string()), pa.array(texts, pa.binary()), lists(starts), lists(ends)], schema=RESULT)
-
-
-def _open_settled(keep_text: bool):
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in rows(b):
-                yield _results(row["payload"], keep_text)
-
-    return opened
-
-
 class SuffixOrder:
     """Suffixes of a byte string in order, each up to its own end, by mergesort with hashed common extensions."""
 
@@ -390,9 +343,9 @@ def _answer_fragments(length: int, gram: int):
         for i, j in zip(cut, np.append(cut[1:], len(b)), strict=True):
             x = np.unique(s[i:j])
             new = np.ones(len(x), bool)
-            new[1:] = np.diff(x) > 1
+            new[1:] = np.diff(x) > length
             f = np.flatnonzero(new)
-            found.append((-1, int(b[i]), 5, pack(x[f], np.append(x[f[1:] - 1], x[-1]) + length)))
+            found.append((-1, int(b[i]), 3, pack(x[f], np.append(x[f[1:] - 1], x[-1]) + length)))
         return table(MESSAGES, found)
 
     return answer
@@ -403,26 +356,25 @@ RESULT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha2
 
 
 def _cut_block(keep_text: bool):
-    """The rest: documents of a block that waited, with the spans that the sort has found since."""
-
     def cut(key: tuple, got: pa.Table) -> pa.Table:
-        waiting, spans = None, []
+        block, spans = None, []
         for row in rows(got):
-            if row["kind"] == 4:
-                waiting = unpack(row["payload"])
+            if row["kind"] < 0:
+                block = Block.from_blob(row["payload"])
             else:
                 spans.append(unpack(row["payload"]))
-        if waiting is None:
+        if block is None:
             return table(RESULT, [])
-        ids, has, at, size, data, covered = waiting
-        covered = np.unpackbits(covered, count=len(data)).astype(bool)
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        if spans:
-            start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-            doc = np.searchsorted(at, start, "right") - 1
-            covered |= _cover(len(data), start - at[doc] + offsets[doc], end - at[doc] + offsets[doc])
-        block = Block(ids, has, offsets, data)
-        return pa.Table.from_batches([_results(_settled(block, np.arange(len(ids)), covered, keep_text), keep_text)], RESULT)
+        start, end = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 2
+        gone = _cover(len(block.data), start, end)
+        found = []
+        for i, d in enumerate(block.ids):
+            lo, hi = int(block.offsets[i]), int(block.offsets[i + 1])
+            cover, data = gone[lo:hi], block.data[lo:hi]
+            s, e = _spans(cover)
+            kept = (data[~cover] if len(s) else data).tobytes()
+            found.append((int(d) if block.has_id[i] else None, hi - lo, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept if keep_text else None, s.tolist(), e.tolist()))
+        return table(RESULT, found)
 
     return cut
 
@@ -440,11 +392,10 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     sent = blocks.mapInArrow(_send_runs(length, gram, buckets), MESSAGES_SQL)
     told = sent.groupBy("bucket").applyInArrow(_answer_runs, MESSAGES_SQL)
     texts = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(-1).alias("kind"), "payload")
-    marked = durable(texts.unionByName(told).groupBy("block").applyInArrow(_mark_block(length, gram, buckets, keep_text), MESSAGES_SQL))
-    settled = marked.where("kind = 3").select("payload").mapInArrow(_open_settled(keep_text), RESULT_SQL)
+    marked = durable(texts.unionByName(told).groupBy("block").applyInArrow(_mark_block(length, gram, buckets), MESSAGES_SQL))
     edges = marked.where("kind = 2").groupBy("bucket").applyInArrow(_answer_fragments(length, gram), MESSAGES_SQL)
-    waiting = marked.where("kind = 4").unionByName(edges)
-    return settled.unionByName(waiting.groupBy("block").applyInArrow(_cut_block(keep_text), RESULT_SQL))
+    spans = marked.where("kind = 3").unionByName(edges)
+    return texts.unionByName(spans).groupBy("block").applyInArrow(_cut_block(keep_text), RESULT_SQL)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
