@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm.bpe_transducer import op9_bpe_transducer
 from quern.llm.language_id import op10_language_id
+from quern.llm.lm_scoring import op4_lm_scoring
 from quern.llm.ngram_join import op3_ngram_jaccard_join
 from quern.llm.quality_ranking import op8_quality_ranking
 from quern.llm.suffix_dedup import op1_suffix_dedup
@@ -11,6 +12,7 @@ from quern.llm.suffix_dedup import op1_suffix_dedup
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_lm_scoring": op4_lm_scoring,
     "op8_quality_ranking": op8_quality_ranking,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_language_id": op10_language_id,
