@@ -162,7 +162,9 @@ class Block:
         values = np.where(has, np.asarray(ids.cast(pa.int64()).fill_null(cls.NO_ID)), cls.NO_ID).astype(np.int64)
         order = np.argsort(values, kind="stable")
         off, data = text_buffers(text.take(pa.array(order)) if len(order) else text)
-        return cls(values[order], has[order], off, data)
+        block = cls(values[order], has[order], off, data)
+        block.order = order
+        return block
 
     def blob(self) -> bytes:
         return pack(self.ids, self.has_id, self.offsets, self.data, level=5)
@@ -172,11 +174,24 @@ class Block:
         return cls(*unpack(blob))
 
 
-BLOCKS = "block long, n_bytes long, payload binary"
+BLOCKS = "block long, n_bytes long, payload binary, others binary"
 
 
-def to_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as a durable table of blocks: ``block, n_bytes, payload``."""
+def _written(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema) as w:
+        w.write_batch(b)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 3)
+
+
+def read_others(raw: bytes) -> pa.Table:
+    """The other columns of a block's documents."""
+    return pa.ipc.open_stream(zstandard.decompress(raw)).read_all()
+
+
+def to_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """Documents as a durable table of blocks: ``block, n_bytes, payload``, and if asked the ``others`` of their columns."""
+    rest = [c for c in docs.columns if c not in (doc_id, text)] if carry else []
 
     def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -185,10 +200,23 @@ def to_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block
         for batch in batches:
             for piece in slices(batch, 1, block_bytes):
                 b = Block.of(piece.column(0), piece.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([len(b.data)], pa.int64()), pa.array([b.blob()], pa.binary())], ["block", "n_bytes", "payload"])
+                others = _written(piece.select(range(2, piece.num_columns)).take(pa.array(b.order))) if carry else None
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([len(b.data)], pa.int64()), pa.array([b.blob()], pa.binary()), pa.array([others], pa.binary())], ["block", "n_bytes", "payload", "others"])
                 seq += 1
 
-    return durable(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pack_blocks, BLOCKS))
+    return durable(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"other_{i}") for i, c in enumerate(rest)]).mapInArrow(pack_blocks, BLOCKS))
+
+
+def restored(out: DataFrame, like: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns that blocks carried (``doc_id, text, other_0`` ..) under the names, types and order of ``like``."""
+    rest = iter([c for c in like.columns if c not in (doc_id, text)])
+    names = {doc_id: "doc_id", text: "text"} | {c: f"other_{i}" for i, c in enumerate(rest)}
+    return out.select([F.col(names[f.name]).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
+def carried_schema(like: DataFrame, doc_id: str = "doc_id", text: str = "text") -> str:
+    rest = [f for f in like.schema if f.name not in (doc_id, text)]
+    return ", ".join(["doc_id long", "text string", *(f"other_{i} {f.dataType.simpleString()}" for i, f in enumerate(rest))])
 
 
 def bucket_count(n_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:

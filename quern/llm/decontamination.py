@@ -53,14 +53,25 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     rows with one item id stand for several items of that name. An empty table gives an empty result; extra columns
     are ignored; whole texts are searched.
     """
+    found = _found(docs, items, doc_id, text, item_id, item_text, words, percent, broadcast_shingles)
+    return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, words: int, percent: int, broadcast_shingles: int) -> DataFrame:
     table = item_table(items, item_id, item_text, words, percent)
     if table.count() <= broadcast_shingles:
         table = F.broadcast(table)
-    numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    each = numbered.select("row", "doc_id", F.explode(_shingles(F.col("text"), words)).alias("s"))
-    hits = each.join(table, "s").groupBy("row", "doc_id", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"), F.max("signed").alias("candidate"))
-    found = hits.where("candidate").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-    return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("text"))
+    each = numbered.select("row", "doc_id", "h", F.explode(_shingles(F.col("text"), words)).alias("s"))
+    hits = each.join(table, "s").groupBy("row", "doc_id", "h", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"), F.max("signed").alias("candidate"))
+    return hits.where("candidate").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = WORDS, percent: int = PERCENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+    """The documents without those that hold an item, whole rows and all columns."""
+    found = _found(docs, items, doc_id, text, item_id, item_text, words, percent, broadcast_shingles).select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h")).distinct()
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("found_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("found_h"))
+    return docs.join(found, same, "left_anti")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

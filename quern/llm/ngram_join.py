@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, Block, batch, bucket_count, durable, mix, pack, rows, table, to_blocks, unpack
+from quern.llm.blocks import U64, Block, batch, bucket_count, carried_schema, durable, mix, pack, read_others, restored, rows, table, to_blocks, unpack
 from quern.llm.components import components
 from quern.llm.words import shingles
 
@@ -352,24 +352,15 @@ def _links(alive: DataFrame, coarse: DataFrame, percent: int, big: int, group_to
     return links.unionByName(near)
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, big: int = 2 * GROUP_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, copies, n_links``.
-
-    ``component_id`` is the least id reachable by links (Jaccard of at least ``percent``); ``copies``: documents with
-    the very same set; ``n_links``: verified links of this set that hold its component together (a spanning forest),
-    and one for each of its copies.
-
-    Nulls and the like: a null or wordless text has no shingles and no links. A document with a null id takes part
-    only as a copy or partner that others are linked through; its own component is that of its set, null if no id is
-    known there. Rows with equal ids stand on their own. An empty table gives an empty result; extra columns are ignored.
-    """
-    blocks = to_blocks(docs, doc_id, text)
+def _joined(blocks: DataFrame, words: int, percent: int, big: int, group_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (``uid, doc_id, n, f1, f2``) and classes with shingles (``f1, f2, least, head, component, copies, n_links``)."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = bucket_count(total)
     describe, kinds = _describe(words)
     each = durable(blocks.mapInArrow(describe, kinds))
     # the least id leads a class; a row without an id only leads a class without ids
-    classes = durable(each.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("r"), F.count(F.lit(1)).alias("copies")).select("f1", "f2", F.col("r.uid").alias("uid"), F.col("r.doc_id").alias("least"), "copies"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("head")
+    classes = durable(each.where("n > 0").groupBy("f1", "f2").agg(head, F.count(F.lit(1)).alias("copies")).withColumn("uid", F.col("head.uid")))
     place = F.shiftright("uid", 40) * F.lit(1 << 32) + F.shiftright(F.col("uid").bitwiseAND((1 << 40) - 1), _RANK)
     chosen = classes.groupBy(place.alias("block")).agg(F.collect_list(F.col("uid").bitwiseAND((1 << _RANK) - 1).cast("int")).alias("idx"))
     nothing = F.lit(None).cast("binary").alias("payload")
@@ -384,10 +375,55 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, w
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("degree"))
     named = classes.join(labels.withColumnRenamed("node", "uid"), "uid", "left").join(degree, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("f1", "f2", "component_id", "copies", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = named.groupBy("component").agg(F.min("head").alias("first"))
+    return each, named.join(least, "component").select("f1", "f2", "first", "copies", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, big: int = 2 * GROUP_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, copies, n_links``.
+
+    ``component_id`` is the least id reachable by links (Jaccard of at least ``percent``); ``copies``: documents with
+    the very same set; ``n_links``: verified links of this set that hold its component together (a spanning forest),
+    and one for each of its copies.
+
+    Nulls and the like: a null or wordless text has no shingles and no links. A document with a null id takes part
+    only as a copy or partner that others are linked through; its own component is that of its set, null if no id is
+    known there. Rows with equal ids stand on their own. An empty table gives an empty result; extra columns are ignored.
+    """
+    each, named = _joined(to_blocks(docs, doc_id, text), words, percent, big, group_tokens)
+    classes = named.select("f1", "f2", F.col("first.doc_id").alias("component_id"), "copies", "n_links")
     alone = each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
-    return each.where("n > 0").join(named, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "copies", "n_links").unionByName(alone)
+    return each.where("n > 0").join(classes, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "copies", "n_links").unionByName(alone)
+
+
+def _keep_rows(key: tuple, got: pa.Table) -> pa.Table:
+    block = others = None
+    chosen: list[int] = []
+    for row in rows(got):
+        if row["payload"] is not None:
+            block, others = Block.from_blob(row["payload"]), read_others(row["others"])
+        else:
+            chosen += row["idx"]
+    at = pa.array(sorted(chosen), pa.int64())
+    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(block.offsets.astype(np.int64)), pa.py_buffer(block.data)])
+    columns = [pa.array(block.ids, mask=~block.has_id).take(at), text.take(at).cast(pa.large_string()).cast(pa.string()), *(c.combine_chunks().take(at) for c in others.columns)]
+    return pa.Table.from_arrays(columns, ["doc_id", "text", *others.schema.names])
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, big: int = 2 * GROUP_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """The documents, of each component only the first: the least id, of equal ids one row.
+
+    Documents without shingles all stay; their null texts come back empty. All columns are kept, and the text isn't
+    joined: blocks carry the rows, and each is told which to let go.
+    """
+    blocks = to_blocks(docs, doc_id, text, carry=True)
+    each, named = _joined(blocks, words, percent, big, group_tokens)
+    stay = named.select(F.col("first.uid").alias("uid")).distinct().unionByName(each.where("n = 0").select("uid"))
+    place = F.shiftright("uid", 40) * F.lit(1 << 32) + F.shiftright(F.col("uid").bitwiseAND((1 << 40) - 1), _RANK)
+    told = stay.groupBy(place.alias("block")).agg(F.collect_list(F.col("uid").bitwiseAND((1 << _RANK) - 1).cast("int")).alias("idx"))
+    nothing = F.lit(None).cast("binary")
+    both = blocks.select("block", "payload", "others", F.lit(None).cast("array<int>").alias("idx")).unionByName(told.select("block", nothing.alias("payload"), nothing.alias("others"), "idx"))
+    return restored(both.groupBy("block").applyInArrow(_keep_rows, carried_schema(docs, doc_id, text)), docs, doc_id, text)
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -175,7 +175,13 @@ def _sample_features(docs: DataFrame, labels: DataFrame, keep: Column, rows: int
     return x, np.array([r["quality"] for r in got], int)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, parts: int = 3, part: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, keep: Column, sample_rows: int):
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    return docs.sparkSession.sparkContext.broadcast(fit(*_sample_features(own, named, keep, sample_rows)))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", *, parts: int = 3, part: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
     Fitted on at most ``sample_rows`` labelled documents of each label (a documented bound), never on those whose
@@ -183,10 +189,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, parts: int = 3, part:
     that; a null id is scored and never learnt from; labels that are null or neither 0 nor 1 are passed over; without
     labels every score is under 0.5. Equal texts get equal scores. Extra columns are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    x, y = _sample_features(own, named, ~held_out(F.col("doc_id"), parts, part), sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(x, y))
+    shared = _fitted(docs, labels, doc_id, text, ~held_out(F.col("doc_id"), parts, part), sample_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,9 +197,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, parts: int = 3, part:
                 s = shared.value.score(features(*text_buffers(piece.column(1))))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scored = own.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that score 0.5 or more, whole rows and all columns; learnt from all labels (a bounded sample of them)."""
+    shared = _fitted(docs, labels, doc_id, text, F.lit(True), sample_rows)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in slices(b, at, CHUNK_BYTES):
+                yield piece.filter(pa.array(shared.value.score(features(*text_buffers(piece.column(at)))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_ranking(spark, sf_dir: str) -> DataFrame:
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, Block, PrefixHash, batch, bucket_count, durable, mix, pack, rows, table, to_blocks, unpack
+from quern.llm.blocks import U64, Block, PrefixHash, batch, bucket_count, carried_schema, durable, mix, pack, read_others, restored, rows, table, to_blocks, unpack
 
 LENGTH = 50
 GRAM = 20
@@ -351,42 +351,55 @@ def _answer_fragments(length: int, gram: int):
     return answer
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
-RESULT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, span_starts array<long>, span_ends array<long>"
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
+RESULT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>"
 
 
-def _cut_block(keep_text: bool):
-    def cut(key: tuple, got: pa.Table) -> pa.Table:
-        block, spans = None, []
-        for row in rows(got):
-            if row["kind"] < 0:
-                block = Block.from_blob(row["payload"])
-            else:
-                spans.append(unpack(row["payload"]))
-        if block is None:
-            return table(RESULT, [])
-        start, end = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 2
-        gone = _cover(len(block.data), start, end)
-        found = []
-        for i, d in enumerate(block.ids):
-            lo, hi = int(block.offsets[i]), int(block.offsets[i + 1])
-            cover, data = gone[lo:hi], block.data[lo:hi]
-            s, e = _spans(cover)
-            kept = (data[~cover] if len(s) else data).tobytes()
-            found.append((int(d) if block.has_id[i] else None, hi - lo, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept if keep_text else None, s.tolist(), e.tolist()))
-        return table(RESULT, found)
-
-    return cut
-
-
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """Per document: ``n_bytes, n_removed, n_spans, kept_sha256``, the removed spans (byte offsets) and, if asked, the ``kept`` bytes.
-
-    ``gram`` (under ``length``) sets how dense anchors are: about one in ``(length - gram + 2) / 2`` bytes.
-    """
+def _gathered(got: pa.Table) -> tuple[Block | None, np.ndarray, bytes | None]:
+    """A block, which of its bytes go, and its other columns."""
+    block, others, spans = None, None, []
+    for row in rows(got):
+        if row["kind"] < 0:
+            block, others = Block.from_blob(row["payload"]), row["others"]
+        else:
+            spans.append(unpack(row["payload"]))
+    start, end = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 2
+    return block, _cover(len(block.data) if block else 0, start, end), others
+
+
+def _describe_block(key: tuple, got: pa.Table) -> pa.Table:
+    block, gone, _ = _gathered(got)
+    found = []
+    for i, d in enumerate(block.ids):
+        lo, hi = int(block.offsets[i]), int(block.offsets[i + 1])
+        cover, data = gone[lo:hi], block.data[lo:hi]
+        s, e = _spans(cover)
+        kept = (data[~cover] if len(s) else data).tobytes()
+        found.append((int(d) if block.has_id[i] else None, hi - lo, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), s.tolist(), e.tolist()))
+    return table(RESULT, found)
+
+
+def _cut_block(key: tuple, got: pa.Table) -> pa.Table:
+    """The documents without what goes; a character goes if all its bytes do."""
+    block, gone, raw = _gathered(got)
+    others = read_others(raw)
+    head = (block.data & 0xC0) != 0x80
+    first = np.flatnonzero(head)
+    if len(first):
+        whole = np.minimum.reduceat(gone, first)
+        gone = np.repeat(whole, np.diff(np.append(first, len(gone))))
+    kept = np.concatenate([[0], np.cumsum(~gone)])[block.offsets]
+    data = block.data[~gone]
+    n = len(block.ids)
+    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data)])
+    columns = [pa.array(block.ids, mask=~block.has_id), text.cast(pa.large_string()).cast(pa.string()), *(c.combine_chunks() for c in others.columns)]
+    return pa.Table.from_arrays(columns, ["doc_id", "text", *others.schema.names])
+
+
+def _resolved(blocks: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows (``block, kind, payload, others``) of each block and of the spans that go."""
     if not 0 < gram < length:
         raise ValueError("gram must lie between 0 and length")
-    blocks = to_blocks(docs, doc_id, text)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = bucket_count(total)
     sent = blocks.mapInArrow(_send_runs(length, gram, buckets), MESSAGES_SQL)
@@ -394,8 +407,25 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     texts = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(-1).alias("kind"), "payload")
     marked = durable(texts.unionByName(told).groupBy("block").applyInArrow(_mark_block(length, gram, buckets), MESSAGES_SQL))
     edges = marked.where("kind = 2").groupBy("bucket").applyInArrow(_answer_fragments(length, gram), MESSAGES_SQL)
-    spans = marked.where("kind = 3").unionByName(edges)
-    return texts.unionByName(spans).groupBy("block").applyInArrow(_cut_block(keep_text), RESULT_SQL)
+    spans = marked.where("kind = 3").unionByName(edges).select("block", "kind", "payload", F.lit(None).cast("binary").alias("others"))
+    return blocks.select("block", F.lit(-1).alias("kind"), "payload", "others").unionByName(spans)
+
+
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Per document: ``n_bytes, n_removed, n_spans, kept_sha256`` and the removed spans (byte offsets).
+
+    ``gram`` (under ``length``) sets how dense anchors are: about one in ``(length - gram + 2) / 2`` bytes.
+    """
+    return _resolved(to_blocks(docs, doc_id, text), length, gram).groupBy("block").applyInArrow(_describe_block, RESULT_SQL)
+
+
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The documents with repeated passages cut out of their text; rows and all other columns stay, null texts come back empty.
+
+    Characters go as a whole: one of which only some bytes are repeated stays.
+    """
+    out = _resolved(to_blocks(docs, doc_id, text, carry=True), length, gram).groupBy("block").applyInArrow(_cut_block, carried_schema(docs, doc_id, text))
+    return restored(out, docs, doc_id, text)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
