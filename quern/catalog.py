@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.suite import chat, mixing, tokens
+
+SUITES = [tokens.suite, chat.suite, mixing.suite]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for s in SUITES for name, f in s.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for s in SUITES for name, sql in s.oracle.items()}
