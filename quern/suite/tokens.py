@@ -52,9 +52,9 @@ def unigram_vocab_encode(spark, sf_dir):
 
 @suite.query(f"""
 WITH k AS (SELECT doc_id, list_transform(t, lambda x: CASE WHEN x >= 200 THEN 63 ELSE x END) AS k FROM ({T})),
-p AS (SELECT doc_id, k, coalesce(list_position(k, 46), 0) AS at FROM k)
-SELECT doc_id, CAST(CASE WHEN at > 0 THEN at ELSE len(k) END AS INTEGER) AS n_kept, {D('CASE WHEN at > 0 THEN k[1:at] ELSE k END')} AS kept,
-  {D('list_transform(k, lambda x, i: CASE WHEN at > 0 AND i > at THEN -1 ELSE x END)')} AS padded FROM p""")
+p AS (SELECT doc_id, k, coalesce(list_position(k, 46), 0) AS pos FROM k)
+SELECT doc_id, CAST(CASE WHEN pos > 0 THEN pos ELSE len(k) END AS INTEGER) AS n_kept, {D('CASE WHEN pos > 0 THEN k[1:pos] ELSE k END')} AS kept,
+  {D('list_transform(k, lambda x, i: CASE WHEN pos > 0 AND i > pos THEN -1 ELSE x END)')} AS padded FROM p""")
 def decode_until_eos(spark, sf_dir):
     v = CodepointVocabulary(eos=46, unk=63)
     v.base_size = 200
