@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.suite import chat, mixing, tokens
+from quern.suite import chat, layout, metrics, mixing, tokens
 
-SUITES = [tokens.suite, chat.suite, mixing.suite]
+SUITES = [tokens.suite, chat.suite, mixing.suite, metrics.suite, layout.suite]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
