@@ -70,7 +70,7 @@ def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = WORDS, percent: int = PERCENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """The documents without those that hold an item, whole rows and all columns."""
     found = _found(docs, items, doc_id, text, item_id, item_text, words, percent, broadcast_shingles).select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h")).distinct()
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("found_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("found_h"))
+    same = docs[doc_id].cast("long").eqNullSafe(found["found_id"]) & (F.xxhash64(docs[text].cast("string")) == found["found_h"])
     return docs.join(found, same, "left_anti")
 
 

@@ -7,7 +7,7 @@ Two ways of finding them, side by side:
   order of global frequency, rarest first.  A block that contains at least ``percent`` of a template's tokens must
   hold one of its first ``n - t + 1`` (prefix filter), must have enough template tokens at all (length filter), and
   from the place of the first common token on both sets must have enough left (positional filter).  What is left
-  is verified by intersecting the sets.
+  is verified by intersecting the sets, and the block gets the label of the template that it holds best.
 """
 
 from __future__ import annotations
@@ -98,7 +98,9 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     )
     common = F.size(F.array_intersect("tokens", "body"))
     found = candidates.join(bodies, "template").withColumn("common", common).where(F.col("common") >= F.col("need"))
-    per_doc = found.groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("n")).alias("share"))
+    # a notice contains much of its relatives' templates too: a block's label is that of the fullest, then longest one
+    best = found.groupBy("doc_id", "h", "tokens").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "n", "label")).alias("best"))
+    per_doc = best.groupBy("doc_id", "h").agg(F.collect_set("best.label").alias("found"), F.max("best.share").alias("share"))
 
     any_phrase = "(?:" + "|".join(_pattern(p) for p, _ in phrases) + ")"
     t = F.col("text")
@@ -136,8 +138,9 @@ WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array({lower}, '{gap}'
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
 templates AS (SELECT i, label, list_distinct(body) AS body FROM (VALUES {rows}) t(i, label, body)),
-lines AS (SELECT doc_id, list_distinct(regexp_split_to_array(line, '{gap}')) AS b FROM (SELECT doc_id, unnest(regexp_split_to_array({lower}, '[\\r\\n]+')) AS line FROM documents)),
-found AS (SELECT doc_id, label, len(list_intersect(b, body)) AS common, len(body) AS n FROM lines, templates WHERE 100 * len(list_intersect(b, body)) >= {PERCENT} * len(body)),
+lines AS (SELECT doc_id, row_number() OVER () AS line, list_distinct(regexp_split_to_array(line, '{gap}')) AS b FROM (SELECT doc_id, unnest(regexp_split_to_array({lower}, '[\\r\\n]+')) AS line FROM documents)),
+found AS (SELECT doc_id, label, len(list_intersect(b, body)) AS common, len(body) AS n FROM lines, templates WHERE 100 * len(list_intersect(b, body)) >= {PERCENT} * len(body)
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY common / n DESC, n DESC, label DESC) = 1),
 method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(common / n) AS share FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base, CAST(b.first_word AS BIGINT) AS first_word,
   CAST(b.last_word AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
