@@ -119,16 +119,24 @@ class ModelVocabulary(Vocabulary):
 
         return run(text)
 
-    def _decode(self, ids: Column) -> Column:
-        loader = self.loader
+    def decode(self, ids: Column) -> Column:
+        """Unknown ids are replaced and the end of sequence ends the text, in the same pass as the model's decoding."""
+        loader, base, unk, eos = self.loader, self.base_size, self.unk, self.eos
 
         @F.pandas_udf("string")
         def run(batch: pd.Series) -> pd.Series:
             model = _opened(loader)
-            return pd.Series([model.decode([int(i) for i in x]) for x in batch])
+            out = []
+            for x in batch:
+                known = [int(i) if unk is None or i < base else unk for i in x]
+                out.append(model.decode(known[: known.index(eos) + 1] if eos in known else known))
+            return pd.Series(out)
 
         return run(ids)
 
+    def _decode(self, ids: Column) -> Column:
+        return self.decode(ids)
+
 
 _models: dict = {}
 
