@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import ensure_checkpoint_dir
+from quern.llm.blocks import documents, ensure_checkpoint_dir
 from quern.llm.bpe_transducer import bpe_encode, default_spec
 from quern.llm.decontamination import decontaminate
 from quern.llm.ngram_join import drop_near_duplicates
@@ -57,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what is between them lies in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i + 1 == len(STAGES):

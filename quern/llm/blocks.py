@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.corpus import spread
+
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 
@@ -148,6 +150,11 @@ def slices(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Itera
         at = end
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table ``documents``, dealt out if it comes in fewer parts than there are cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 class Block:
     """Documents of a block in ascending order of id; a missing id stands after all others."""
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.blocks import documents
+
 WORDS = 5
 PERCENT = 75
 #: Shingles of all items up to which their table (24 bytes each) is broadcast.
@@ -75,7 +77,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contained_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _oracle() -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, slices, text_buffers
+from quern.llm.blocks import U64, documents, slices, text_buffers
 from quern.llm.quality_ranking import held_out
 
 #: Bound of the sample a classifier is fitted on: rows of each language.
@@ -146,4 +146,4 @@ def languages(docs: DataFrame, *, parts: int = 4, part: int = 2, sample_rows: in
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
-    return languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return languages(documents(spark, sf_dir))

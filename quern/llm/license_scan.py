@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.blocks import documents
+
 
 PERCENT = 80
 
@@ -124,7 +126,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_scan(documents(spark, sf_dir))
 
 
 def _oracle() -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, Block, batch, bucket_count, durable, mix, pack, rows, table, to_blocks, unpack
+from quern.llm.blocks import U64, Block, batch, bucket_count, documents, durable, mix, pack, rows, table, to_blocks, unpack
 from quern.llm.quality_ranking import held_out
 from quern.llm.words import word_hashes, word_spans
 
@@ -358,4 +358,4 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, pa
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lm_scores(documents(spark, sf_dir))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, Block, batch, bucket_count, carried_schema, durable, mix, pack, read_others, restored, rows, table, to_blocks, unpack
+from quern.llm.blocks import U64, Block, batch, bucket_count, carried_schema, documents, durable, mix, pack, read_others, restored, rows, table, to_blocks, unpack
 from quern.llm.components import components
 from quern.llm.words import shingles
 
@@ -427,4 +427,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_join(documents(spark, sf_dir))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import slices, text_buffers
+from quern.llm.blocks import documents, slices, text_buffers
 from quern.llm.words import word_hashes, word_spans
 
 #: Bound of the sample a classifier is fitted on: rows of each label.
@@ -216,4 +216,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def op8_quality_ranking(spark, sf_dir: str) -> DataFrame:
-    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

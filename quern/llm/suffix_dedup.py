@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, Block, PrefixHash, batch, bucket_count, carried_schema, durable, mix, pack, read_others, restored, rows, table, to_blocks, unpack
+from quern.llm.blocks import U64, Block, PrefixHash, batch, bucket_count, carried_schema, documents, durable, mix, pack, read_others, restored, rows, table, to_blocks, unpack
 
 LENGTH = 50
 GRAM = 20
@@ -429,5 +429,5 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import slices
+from quern.llm.blocks import documents, slices
 
 RULES = ("start", "end", "most")
 CHUNK_BYTES = 2 << 20
@@ -125,4 +125,4 @@ def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
+    return section_tokens(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
