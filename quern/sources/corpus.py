@@ -11,6 +11,12 @@ from quern.operators.relations import global_shards
 RECORD = "id string, text string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores if the scan has fewer parts than there are (a few large files); else nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD, nested: bool = False) -> DataFrame:
     """JSON lines (``.gz`` too) of a folder, or of the folders one level below it, with the file of each row."""
     pattern = f"{path.rstrip('/')}/{'*/' if nested else ''}*"
