@@ -83,7 +83,10 @@ class PrefixHash:
         n = len(data)
         p, self.inv = powers(n + 1)
         self.pre = np.zeros(n + 1, U64)
-        np.cumsum(code[data] * p[:n], out=self.pre[1:])
+        for i in range(0, n, 1 << 18):  # a piece at a time, so that only the sums are as long as the text
+            j = min(n, i + (1 << 18))
+            np.cumsum(code[data[i:j]] * p[i:j], out=self.pre[i + 1 : j + 1])
+            self.pre[i + 1 : j + 1] += self.pre[i]
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         return (self.pre[start + length] - self.pre[start]) * self.inv[start]
