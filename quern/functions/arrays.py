@@ -117,3 +117,32 @@ def hashed_uniform(key: Column, seed: int = 0) -> Column:
 def hashed_uniform_sql(key: str, seed: int = 0) -> str:
     """The same as SQL."""
     return f"(((((({key}) * 1103515245 + {seed * 12345 + 6789}) % 2147483648) * 69069 + 1) % 2147483648) / 2147483648.0::DOUBLE)"
+
+
+def choose(options: Column, key: Column, seed: int = 0) -> Column:
+    """One of an array's values by hash of the key; null if there is none."""
+    return F.get(options, F.floor(hashed_uniform(key, seed) * F.size(options)).cast("int"))
+
+
+def sample_marked(mask: Column, n: int, key: Column, seed: int = 0) -> Column:
+    """``n`` places of a 0/1 mask in shuffled order, the marked ones first; all places if there are fewer."""
+    ranked = F.transform(mask, lambda m, i: F.struct((F.lit(1) - m).alias("last"), hashed_uniform(key * F.lit(4096) + i, seed).alias("u"), i.alias("i")))
+    return F.slice(F.transform(F.array_sort(ranked), lambda r: r["i"]), 1, n)
+
+
+def length_budget(length: int, add_eos: bool) -> int:
+    """Tokens of a text that leave room for the end of sequence."""
+    if length - add_eos < 1:
+        raise ValueError("no room for any token")
+    return length - int(add_eos)
+
+
+def mixed_radix(index: int, sizes: list[int]) -> list[int]:
+    """Coordinates of the ``index``-th cell of a grid, the last axis running fastest."""
+    out = []
+    for n in reversed(sizes):
+        out.append(index % n)
+        index //= n
+    if index:
+        raise ValueError("the index lies outside the grid")
+    return out[::-1]

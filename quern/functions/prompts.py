@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import append, choose
+
 # The public prompt formats of these model families.
 TEMPLATES: dict[str, dict[str, str] | None] = {
     "null": None,
@@ -115,3 +117,14 @@ def kept_turns(conversation: Column, roles: tuple[str, ...] = ("human", "gpt"))
 def prompt_and_text(conversation: Column) -> tuple[Column, Column, Column]:
     """(whether there are just two turns, the first one's value, the second one's)."""
     return F.size(conversation) == 2, F.get(conversation, 0)["value"], F.get(conversation, 1)["value"]
+
+
+def caption_response(captions: Column, key: Column, encode, eos: int, seed: int = 0) -> tuple[Column, Column]:
+    """One caption of a list with its end of sequence, and loss on all of it."""
+    tokens = append(encode(choose(captions, key, seed)), eos)
+    return tokens, F.array_repeat(F.lit(1), F.size(tokens))
+
+
+def styled_prefix(styles: list[str], key: Column, seed: int = 0) -> Column:
+    """One of several wordings of a request, by hash of the key."""
+    return choose(F.array(*map(F.lit, styles)), key, seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import hashed_uniform
 from quern.operators.order import with_global_order
 
 
@@ -93,12 +94,15 @@ def interleave(df: DataFrame, task: str, keys: list[str], rates: dict[str, float
 
 def epochs(df: DataFrame, n: int, key: Column, seed: int | None = None) -> DataFrame:
     """Every row once for each epoch; with a seed also ``place``, by which an epoch's rows are shuffled."""
-    from quern.functions.arrays import hashed_uniform
-
     out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return out if seed is None else out.withColumn("place", hashed_uniform(key * F.lit(31) + F.col("epoch"), seed))
 
 
+def shuffled_shards(df: DataFrame, key: Column, keys: list[str], shards: int, seed: int = 0) -> DataFrame:
+    """Adds ``shard`` and ``place``: a shuffle by hash of the key, dealt out in equal runs of the shuffled order."""
+    return global_shards(df.withColumn("place", hashed_uniform(key, seed)), ["place", *keys], shards).drop("idx")
+
+
 def first_n(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Adds ``split``: ``validation`` for the first ``n`` rows, else ``train``."""
     return with_global_order(df, keys).withColumn("split", F.when(F.col("idx") < n, "validation").otherwise("train"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.prompts import kept_turns
 from quern.operators.relations import global_shards
 
 RECORD = "id string, text string"
@@ -39,6 +40,25 @@ def stream_jsonl(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return parse_lines(lines, "value", schema)
 
 
+INSTRUCTIONS = "id string, image string, conversations array<struct<from:string,value:string,text:string>>"
+
+
+def read_instructions(spark: SparkSession, path: str, images: str | None = None, roles: tuple[str, ...] = ("human", "gpt")) -> DataFrame:
+    """Records of a visual-instruction file (one JSON array, or lines): ``key, has_image, image, conversations``.
+
+    Only turns of the given roles stay. Images are joined by file name from a folder of files; a record without one has
+    ``has_image`` 0. The key is a digest of the record, so it is the same in every run.
+    """
+    raw = spark.read.schema(INSTRUCTIONS).option("multiLine", True).json(path)
+    turns = kept_turns(F.col("conversations"), roles)
+    out = raw.select(F.sha2(F.to_json(F.struct("*")), 256).alias("key"), F.col("image").alias("name"), turns.alias("conversations"))
+    if images is None:
+        return out.select("key", F.lit(0).alias("has_image"), F.lit(None).cast("binary").alias("image"), "conversations")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(images).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("image"))
+    joined = out.join(files, F.element_at(F.split("name", "/"), -1) == F.col("file"), "left")
+    return joined.select("key", F.when(F.col("image").isNotNull(), 1).otherwise(0).alias("has_image"), "image", "conversations")
+
+
 def count_lines(df: DataFrame, *by: str) -> DataFrame:
     """Rows by file (or whatever tells sources apart)."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))

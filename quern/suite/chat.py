@@ -86,3 +86,18 @@ def role_filter(spark, sf_dir):
     turn = F.struct("turn", name.alias("from"), F.when(~gpt, F.col("text")).alias("value"), F.when(gpt, F.col("text")).alias("text"))
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("c")).select("conv_id", P.kept_turns(F.col("c")).alias("k"))
     return c.select("conv_id", F.size("k").alias("n_turns"), F.md5(F.array_join(F.col("k.value"), "|")).alias("kept"))
+
+
+STYLES = ["Describe:", "What is this?", "Tell me more:"]
+U = A.hashed_uniform_sql("conv_id", 2)
+
+
+@suite.query(f"""
+WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS x FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, {cp(f"x[CAST(floor({U} * len(x)) AS BIGINT) + 1]")} AS t FROM c)
+SELECT conv_id, CAST(len(t) + 1 AS INTEGER) AS n_loss, {D('list_concat(t, [2])')} AS tokens, ['{"', '".join(STYLES)}'][CAST(floor({A.hashed_uniform_sql("conv_id", 4)} * {len(STYLES)}) AS BIGINT) + 1] AS prefix FROM p""")
+def caption_choice(spark, sf_dir):
+    """One caption of each list and one wording of the request, chosen by hash."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("r")).select("conv_id", F.col("r.text").alias("x"))
+    tokens, mask = P.caption_response(F.col("x"), F.col("conv_id"), CODEPOINTS.encode, CODEPOINTS.eos, 2)
+    return c.select("conv_id", F.size(mask).alias("n_loss"), A.digest(tokens).alias("tokens"), P.styled_prefix(STYLES, F.col("conv_id"), 4).alias("prefix"))

@@ -136,6 +136,14 @@ def resize_and_pad(spark, sf_dir):
     return sizes(spark, sf_dir).select("doc_id", *[f[n].alias(n) for n in ("scaled_h", "scaled_w", "pad_top", "pad_left")], G.is_tall(F.col("h"), F.col("w")).alias("tall"))
 
 
+@suite.query(f"""
+WITH m AS (SELECT doc_id, i, CASE WHEN (doc_id + i) % 3 = 0 THEN 1 ELSE 0 END AS m, {A.hashed_uniform_sql('doc_id * 4096 + i', 1)} AS u FROM documents, range(0, 20) r(i)),
+o AS (SELECT doc_id, list(i ORDER BY 1 - m, u, i) AS o FROM m GROUP BY doc_id) SELECT doc_id, {D('o[1:10]')} AS places FROM o""")
+def sample_patches(spark, sf_dir):
+    mask = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.when((F.col("doc_id") + i) % 3 == 0, 1).otherwise(0))
+    return table(spark, sf_dir, "documents").select("doc_id", A.digest(A.sample_marked(mask, 10, F.col("doc_id"), 1)).alias("places"))
+
+
 TOKENS = f"SELECT doc_id, {cp('text')} AS t FROM documents"
 
 

@@ -110,6 +110,13 @@ def epoch_shuffle(spark, sf_dir):
     return R.epochs(docs(spark, sf_dir), 3, F.col("doc_id"), 9).select("doc_id", "epoch", F.round("place", 9).alias("place"))
 
 
+@suite.query(f"""
+WITH p AS (SELECT doc_id, {hashed_uniform_sql('doc_id', 7)} AS place FROM documents), i AS (SELECT doc_id, row_number() OVER (ORDER BY place, doc_id) - 1 AS i, count(*) OVER () AS n FROM p)
+SELECT doc_id, CAST(i // CAST(ceil(n / 6) AS BIGINT) AS INTEGER) AS shard FROM i""")
+def shuffled_shards(spark, sf_dir):
+    return R.shuffled_shards(docs(spark, sf_dir), F.col("doc_id"), ["doc_id"], 6, 7).select("doc_id", "shard")
+
+
 CORPORA = [("cc_en_head", "cc_en_head-", 612), ("cc_en_middle", "cc_en_middle-", 777), ("cc_en_tail", "cc_en_tail-", 1493), ("peS2o", "s2_v3-", 42), ("c4", "c4-", 86), ("books", "books-", 3), ("wiki", "en_simple_wiki-", 2)]
 
 

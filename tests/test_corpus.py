@@ -32,6 +32,26 @@ def test_jsonl_scan_counts_and_shards(spark, tmp_path):
     assert C.shard_name("b", "f", "p", "train", 3, 64) == "b/f/1.0.0/p-train-00003-of-00064"
 
 
+def test_instruction_records(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.jpg").write_bytes(b"pixels")
+    turns = [{"from": "human", "value": "hi"}, {"from": "system", "value": "no"}, {"from": "gpt", "text": "yes"}]
+    (tmp_path / "x.json").write_text(json.dumps([{"id": "1", "image": "sub/a.jpg", "conversations": turns}, {"id": "2", "conversations": turns[:1]}]))
+    out = C.read_instructions(spark, str(tmp_path / "x.json"), str(tmp_path / "img")).orderBy("has_image").collect()
+    assert [(r["has_image"], r["image"]) for r in out] == [(0, None), (1, b"pixels")]
+    assert [t["value"] for t in out[1]["conversations"]] == ["hi", "yes"]
+    assert {r["has_image"] for r in C.read_instructions(spark, str(tmp_path / "x.json")).collect()} == {0}
+
+
+def test_plan_time_arithmetic():
+    from quern.functions.arrays import length_budget, mixed_radix
+
+    assert length_budget(8, True) == 7 and mixed_radix(5, [2, 3]) == [1, 2]
+    for bad in (lambda: length_budget(1, True), lambda: mixed_radix(6, [2, 3])):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_malformed_lines(spark):
     df = spark.createDataFrame([('{"k": 3}',), ("",), ("{bad",), ('{"z": 1}',)], "line string")
     out = C.parse_lines(df, "line", "k int").collect()
