@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, documents, slices, text_buffers
+from quern.llm.blocks import U64, documents, durable, slices, text_buffers
 from quern.llm.quality_ranking import held_out
 
-#: Bound of the sample a classifier is fitted on: rows of each language.
-SAMPLE_ROWS = 1500
+#: Bounds of the sample a classifier is fitted on: rows of each language, and rows in all.
+SAMPLE_ROWS = 600
+MOST_ROWS = 12_000
 DIMENSIONS = 4096
 CENTROIDS = 4
 CHUNK_BYTES = 1 << 20
@@ -96,10 +97,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def languages(docs: DataFrame, *, parts: int = 4, part: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def languages(docs: DataFrame, *, parts: int = 4, part: int = 2, sample_rows: int = SAMPLE_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score, rejected``.
 
-    Fitted on at most ``sample_rows`` documents of each language (a documented bound), never on those whose
+    Fitted on at most ``sample_rows`` documents of each language, fewer if that would make over ``most_rows`` in all
+    (documented bounds; those of least hash are taken), never on those whose
     ``crc32(doc_id) % parts`` is ``part``; every whole text is classified. ``lang_pred`` is a learnt language, or
     ``und`` (score 0) if the text is null, has no letter, or nothing was learnt; ``score`` is the cosine with the
     nearest centroid. Rows with a null language or id teach nothing; equal texts get equal answers, ties go to the
@@ -108,8 +110,10 @@ def languages(docs: DataFrame, *, parts: int = 4, part: int = 2, sample_rows: in
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample_rows)
-    few = picked.limit(sample_rows * 200).select("doc_id").distinct()  # so it may be broadcast
+    picked = durable(known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample_rows))
+    each = max(1, most_rows // max(1, picked.select("lang").distinct().count()))
+    few = picked.where(F.col("rank") <= each).select("doc_id").distinct()
+    few = F.broadcast(few) if few.count() <= most_rows else few
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +125,7 @@ def languages(docs: DataFrame, *, parts: int = 4, part: int = 2, sample_rows: in
                     rows.append(at.astype(np.int16).tobytes() + r[at].astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(rows, pa.binary())], ["lang", "x"])
 
-    got = known.join(F.broadcast(few), "doc_id", "left_semi").select("lang", "text").mapInArrow(count, "lang string, x binary").collect()
+    got = known.join(few, "doc_id", "left_semi").select("lang", "text").mapInArrow(count, "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     c = np.zeros((len(got), DIMENSIONS), np.float32)
     for i, r in enumerate(got):
