@@ -20,12 +20,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_global_order(df: DataFrame, keys: list[str], size: Column | None = None, index: str = "idx", offset: str = "offset", total: str | None = None) -> DataFrame:
+def with_global_order(df: DataFrame, keys: list[str], size: Column | None = None, index: str = "idx", offset: str = "offset", total: str | None = None, join_back: bool = False) -> DataFrame:
     """Adds ``index``, the rank from 0 by ``keys`` (which must tell rows apart), and ``offset``, the sum of ``size`` before the row.
 
     Rows are dealt out by range and kept once, so that ranks can't change when a task is run again; only one row for
     each partition meets on the way.
+
+    ``join_back`` is for wide rows: only keys and sizes are ordered and kept, and then joined to the rows by key (keys must
+    not be null). Columns that cost much are then best computed and stored before.
     """
+    if join_back:
+        narrow = df.select(*keys, (size if size is not None else F.lit(0)).alias("_own_size"))
+        ranked = with_global_order(narrow, keys, F.col("_own_size") if size is not None else None, index, offset, total)
+        return df.join(ranked.drop("_own_size"), keys)
     sized = df.withColumn("_size", (size if size is not None else F.lit(0)).cast("long"))
     dealt = kept(sized.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     sums = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_s"))

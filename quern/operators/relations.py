@@ -61,7 +61,7 @@ def pad_to_multiple(df: DataFrame, keys: list[str], multiple: int) -> DataFrame:
 
 def group_concat(df: DataFrame, keys: list[str], tokens: str, group: int, strip_zero: bool = False) -> DataFrame:
     """``gid, tokens``: the tokens of each ``group`` consecutive rows end to end."""
-    numbered = with_global_order(df, keys).withColumn("gid", F.floor(F.col("idx") / group).cast("long"))
+    numbered = with_global_order(df, keys, join_back=True).withColumn("gid", F.floor(F.col("idx") / group).cast("long"))
     joined = numbered.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(tokens).alias("x")))).alias("parts"))
     flat = F.flatten(F.transform("parts", lambda p: p["x"]))
     return joined.select("gid", (F.filter(flat, lambda v: v != 0) if strip_zero else flat).alias(tokens))

@@ -17,10 +17,10 @@ def concat_and_chunk(df: DataFrame, keys: list[str], tokens: str, rows: int, len
     sums give, so no array is longer than a document or a chunk. ``bos`` overwrites the first input of each row.
     """
     size = rows * length
-    placed = with_global_order(df, keys, F.size(tokens), total="_total").where(F.size(tokens) > 0)
+    placed = with_global_order(df, keys, F.size(tokens), total="all_tokens", join_back=True).where(F.size(tokens) > 0)
     first = F.greatest(F.floor((F.col("offset") - 1) / size), F.lit(0))
     last = F.floor((F.col("offset") + F.size(tokens) - 1) / size)
-    pieces = placed.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long")))).where(F.col("_total") > (F.col("chunk") + 1) * size + 1)
+    pieces = placed.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long")))).where(F.col("all_tokens") > (F.col("chunk") + 1) * size + 1)
     start = F.greatest(F.col("chunk") * size - F.col("offset"), F.lit(0)).cast("int")
     end = F.least((F.col("chunk") + 1) * size + 1 - F.col("offset"), F.size(tokens).cast("long")).cast("int")
     cut = pieces.where(end > start).select("chunk", "idx", F.slice(tokens, start + 1, end - start).alias("x"))
@@ -34,8 +34,8 @@ def concat_and_chunk(df: DataFrame, keys: list[str], tokens: str, rows: int, len
 
 def stream_totals(df: DataFrame, keys: list[str], tokens: str, rows: int, length: int) -> DataFrame:
     """For each document the running totals of tokens and of chunks that are complete after it."""
-    placed = with_global_order(df, keys, F.size(tokens))
-    total = F.col("offset") + F.size(tokens)
+    placed = with_global_order(df.select(*keys, F.size(tokens).alias("_n")), keys, F.col("_n"))
+    total = F.col("offset") + F.col("_n")
     ready = F.greatest(F.floor((total - 2) / (rows * length)), F.lit(0))
     return placed.select(*keys, F.col("idx").alias("example_index"), total.cast("long").alias("total_tokens"), ready.cast("long").alias("chunks"))
 
