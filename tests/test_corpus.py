@@ -92,7 +92,7 @@ def test_registry(spark):
 
 
 def test_prompts(spark):
-    for bad in ("llava", "null"):
+    for bad in ("unknown", "null"):
         with pytest.raises(ValueError):
             P.template(bad)
     with pytest.raises(ValueError):
