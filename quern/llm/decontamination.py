@@ -38,13 +38,14 @@ def _shingles(text: Column, k: int) -> Column:
 
 
 def item_table(items: DataFrame, item_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """``s, item_id, n_item, signed``: each item's shingles, those of its partition's signature marked."""
+    """``s, item_id, item_h, n_item, signed``: each item's shingles, those of its partition's signature marked."""
     sets = items.select(F.col(item_id).cast("long").alias("item_id"), _shingles(F.col(text).cast("string"), k).alias("set")).where("size(set) > 0")
     sets = sets.dropDuplicates(["item_id", "set"]).withColumn("n_item", F.size("set").cast("long"))
     most = (F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1) - 1).cast("long")  # the greatest size of the partition
     length = most - F.ceil(most * percent / 100).cast("long") + 1
-    each = sets.withColumn("length", length).withColumn("set", F.array_sort("set")).select("item_id", "n_item", "length", F.posexplode("set").alias("pos", "s"))
-    return each.select("s", "item_id", "n_item", (F.col("pos") < F.col("length")).alias("signed"))
+    each = sets.withColumn("length", length).withColumn("set", F.array_sort("set")).withColumn("item_h", F.xxhash64("set"))
+    each = each.select("item_id", "item_h", "n_item", "length", F.posexplode("set").alias("pos", "s"))
+    return each.select("s", "item_id", "item_h", "n_item", (F.col("pos") < F.col("length")).alias("signed"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = WORDS, percent: int = PERCENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -56,6 +57,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     are ignored; whole texts are searched.
     """
     found = _found(docs, items, doc_id, text, item_id, item_text, words, percent, broadcast_shingles)
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
@@ -63,10 +65,12 @@ def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
     table = item_table(items, item_id, item_text, words, percent)
     if table.count() <= broadcast_shingles:
         table = F.broadcast(table)
-    numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("text"))
-    each = numbered.select("row", "doc_id", "h", F.explode(_shingles(F.col("text"), words)).alias("s"))
-    hits = each.join(table, "s").groupBy("row", "doc_id", "h", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"), F.max("signed").alias("candidate"))
-    return hits.where("candidate").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    # rows are known by what they hold, not by a number that a retried task might give anew; equal rows are counted
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    each = own.select("doc_id", "h", F.explode(_shingles(F.col("text"), words)).alias("s"))
+    hits = each.join(table, "s").groupBy("doc_id", "h", "item_id", "item_h", "n_item", "s").agg(F.count(F.lit(1)).alias("copies"), F.max("signed").alias("signed"))
+    found = hits.groupBy("doc_id", "h", "item_id", "item_h", "n_item").agg(F.count(F.lit(1)).alias("n_shared"), F.max("signed").alias("candidate"), F.max("copies").alias("copies"))
+    return found.where("candidate").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = WORDS, percent: int = PERCENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:

@@ -47,6 +47,9 @@ def test_decontamination_of_odd_rows(spark, odd, empty, texts):
     out = decontaminate(odd, items)
     assert out.columns == odd.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [6, None]
+    twins = spark.createDataFrame([(7, "a b c d e f"), (7, "b c d e f g"), (7, "b c d e f g")], "item_id long, text string")
+    one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    assert [(r["n_shared"], r["n_item"]) for r in contained_items(one, twins).collect()] == [(2, 2)]
     assert contained_items(empty, items).count() == contained_items(odd, items.limit(0)).count() == decontaminate(empty, items).count() == 0
     assert decontaminate(odd, items.limit(0)).count() == odd.count()
 
