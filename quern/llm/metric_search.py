@@ -264,7 +264,8 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
     Components become ``floor(scale * x)``; the score is their integer inner product, which must fit into 53 bits.
     Ties go to the smaller id. Vectors that are null or hold null or non-finite components, and null ids, take no
-    part; shorter vectors count as padded with zeros; rows are told apart by id, and a repeated row counts once. An
+    part; shorter vectors count as padded with zeros; rows are told apart by id, and a repeated row counts once (of
+    several vectors with one id all are candidates and the least is the query). An
     empty table gives an empty result; extra columns are ignored.
     """
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
@@ -291,7 +292,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
             at, q = quantise(b.column(1), scale)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(q, pa.binary())], ["query_id", "q"])
 
-    queries = durable(own.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).mapInArrow(raw, "query_id long, q binary"))
+    queries = durable(own.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(raw, "query_id long, q binary"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
     spread = trees.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "payload").groupBy("shard", "block")
