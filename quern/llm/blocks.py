@@ -10,6 +10,8 @@ a hash that a block holds a thousand times is sent once.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from quern.sources.corpus import spread
 
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -77,19 +79,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PrefixHash:
-    """Polynomial prefix hashes of a byte string: the hash of any substring in constant time."""
+    """Polynomial prefix hashes of a byte string: the hash of any substring in constant time.
 
-    def __init__(self, data: np.ndarray, code: np.ndarray = BYTE_CODE):
+    ``phase`` gives each byte its exponent where the string is made of short parts, so that no more powers are needed
+    than the longest part has bytes; substrings then lie within a part.
+    """
+
+    def __init__(self, data: np.ndarray, code: np.ndarray = BYTE_CODE, phase: np.ndarray | None = None):
         n = len(data)
-        p, self.inv = powers(n + 1)
+        self.phase = phase
+        p, self.inv = powers(n + 1 if phase is None else int(phase.max(initial=0)) + 2)
         self.pre = np.zeros(n + 1, U64)
         for i in range(0, n, 1 << 18):  # a piece at a time, so that only the sums are as long as the text
             j = min(n, i + (1 << 18))
-            np.cumsum(code[data[i:j]] * p[i:j], out=self.pre[i + 1 : j + 1])
+            np.cumsum(code[data[i:j]] * (p[i:j] if phase is None else p[phase[i:j]]), out=self.pre[i + 1 : j + 1])
             self.pre[i + 1 : j + 1] += self.pre[i]
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.pre[start + length] - self.pre[start]) * self.inv[start]
+        return (self.pre[start + length] - self.pre[start]) * self.inv[start if self.phase is None else self.phase[start]]
 
 
 # ---------------------------------------------------------------- blobs
@@ -233,8 +240,16 @@ def bucket_count(n_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     return int(max(16, -(-int(n_bytes) // bucket_bytes)))
 
 
+def give_back() -> None:
+    """Lets the operating system have what earlier groups have freed; workers are used again and again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows(batch_or_table) -> Iterator[dict]:
     """Rows of an Arrow batch one after the other."""
+    give_back()
     columns = batch_or_table.schema.names
     for i in range(batch_or_table.num_rows):
         yield {c: batch_or_table.column(j)[i].as_py() for j, c in enumerate(columns)}

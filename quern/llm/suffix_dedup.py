@@ -228,9 +228,9 @@ def _mark_block(length: int, gram: int, buckets: int):
 class SuffixOrder:
     """Suffixes of a byte string in order, each up to its own end, by mergesort with hashed common extensions."""
 
-    def __init__(self, data: np.ndarray, group: np.ndarray, start: np.ndarray, room: np.ndarray, most: int):
+    def __init__(self, data: np.ndarray, group: np.ndarray, start: np.ndarray, room: np.ndarray, most: int, phase: np.ndarray | None = None):
         """``group`` is ascending; suffixes are sorted within a group. ``room``: bytes of each suffix, of which ``most`` count."""
-        self.data, self.ph = data, PrefixHash(data)
+        self.data, self.ph = data, PrefixHash(data, phase=phase)
         self.start, self.room, self.most = start, np.minimum(room, most), most
         n = len(start)
         self.order = np.arange(n)
@@ -298,9 +298,10 @@ def _answer_fragments(length: int, gram: int):
         a, s0, size, off, ids, text = (np.concatenate(x) for x in zip(*parts, strict=True))
         block = np.concatenate(blocks)
         start = np.cumsum(size.astype(np.int64)) - size
+        phase = np.arange(len(text), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
         by = np.argsort(a, kind="stable")
         a, s0, size, off, ids, block, start = (x[by] for x in (a, s0, size, off, ids, block, start))
-        so = SuffixOrder(text, a, start + off, size - off, length)
+        so = SuffixOrder(text, a, start + off, size - off, length, phase)
         o = so.order
         lcp = np.zeros(len(o), np.int64)
         inner = np.flatnonzero(~so.new)
