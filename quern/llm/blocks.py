@@ -155,7 +155,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Itera
     off, _ = text_buffers(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        end = max(at + 1, min(at + (1 << 19), int(np.searchsorted(off, off[at] + most, "right")) - 1))  # ranks in a block have 20 bits
         yield batch.slice(at, end - at)
         at = end
 
