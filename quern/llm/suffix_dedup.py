@@ -7,7 +7,8 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
    anchor form a run, whose text is a *fragment*.  Blocks send (anchor, fragment hash, least
    document) to buckets by anchor.
 2. A bucket finds the least document of each fragment: equal fragments in a larger document go
-   whole.  Where one anchor has several fragments, the text of each different one is asked for, once.
+   whole.  Where one anchor has several fragments, the text of each different one is asked for, once, and
+   with it all its places in that document.
 3. Those fragments are sorted by what follows the anchor: a mergesort whose comparisons find the
    common extension by binary search over prefix polynomial hashes (logarithmic, not linear in the
    length).  Neighbours' common extensions to the right, and prefix hashes to the left, give the
@@ -201,6 +202,7 @@ def _mark_block(length: int, gram: int, buckets: int):
         r = Runs(block, length, gram)
         r.distinct(buckets)
         told, g, found = np.zeros(len(r.first), bool), np.full(len(r.first), Block.NO_ID), []
+        often = np.add.reduceat((r.ids[r.order] == r.least[r.group]).astype(np.int64), r.first)  # places in the least document, which stand first
         for k, blob in answers.items():
             i, j = int(r.bounds[k]), int(r.bounds[k + 1])
             t, q, x = unpack(blob)
@@ -213,7 +215,9 @@ def _mark_block(length: int, gram: int, buckets: int):
                 s0, size = r.s0[run], r.s1[run] + length - r.s0[run]
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 text = block.data[np.repeat(s0 - start, size) + np.arange(size.sum())]
-                found.append((k, key[0].as_py(), 2, pack(r.ua[u], s0, size.astype(np.int32), (r.at[run] - s0).astype(np.int32), r.ids[run], text)))
+                n = often[u]
+                places = r.s0[r.order[np.repeat(r.first[u] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+                found.append((k, key[0].as_py(), 2, pack(r.ua[u], n.astype(np.int32), places, size.astype(np.int32), (r.at[run] - s0).astype(np.int32), r.ids[run], text)))
         u = r.group
         dup = told[u] & (g[u] < r.ids[r.order])
         run = r.order[dup]
@@ -295,12 +299,14 @@ def _answer_fragments(length: int, gram: int):
             p = unpack(row["payload"])
             parts.append(p)
             blocks.append(np.full(len(p[0]), row["block"]))
-        a, s0, size, off, ids, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        a, n, places, size, off, ids, text = (np.concatenate(x) for x in zip(*parts, strict=True))
         block = np.concatenate(blocks)
+        n = n.astype(np.int64)
+        place = np.cumsum(n) - n
         start = np.cumsum(size.astype(np.int64)) - size
         phase = np.arange(len(text), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
         by = np.argsort(a, kind="stable")
-        a, s0, size, off, ids, block, start = (x[by] for x in (a, s0, size, off, ids, block, start))
+        a, n, place, size, off, ids, block, start = (x[by] for x in (a, n, place, size, off, ids, block, start))
         so = SuffixOrder(text, a, start + off, size - off, length, phase)
         o = so.order
         lcp = np.zeros(len(o), np.int64)
@@ -308,7 +314,8 @@ def _answer_fragments(length: int, gram: int):
         lcp[inner] = so.common(o[inner - 1], o[inner])
         lcp[so.new] = -1
         at, room, left, doc = so.start[o], (size - off)[o], off[o], ids[o]
-        hit_block, hit_start = [], []
+        # all windows of a fragment hold its anchor, so those that go make one span
+        least, most = np.full(len(o), length), np.full(len(o), -1)
         for l in range(length - gram + 1):
             fit = np.flatnonzero((left >= l) & (room >= length - l))
             if len(fit) < 2:
@@ -333,20 +340,20 @@ def _answer_fragments(length: int, gram: int):
                 span = np.arange(length)
                 same = (text[(at[x] - l)[:, None] + span] == text[(at[y] - l)[:, None] + span]).all(axis=1)
                 x = o[x[same]]
-                hit_block.append(block[x])
-                hit_start.append(s0[x] + off[x] - l)
-        if not hit_block:
+                least[x], most[x] = np.minimum(least[x], l), l
+        hit = np.flatnonzero(most >= 0)
+        if not len(hit):
             return table(MESSAGES, [])
-        b, s = np.concatenate(hit_block), np.concatenate(hit_start)
+        n, first = n[hit], place[hit]
+        s0 = places[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]  # every place of the fragment
+        b, s, e = np.repeat(block[hit], n), s0 + np.repeat(off[hit] - most[hit], n), s0 + np.repeat(off[hit] - least[hit] + length, n)
         order = np.lexsort((s, b))
-        b, s = b[order], s[order]
+        b, s, e = b[order], s[order], e[order]
         found, cut = [], np.flatnonzero(np.diff(b, prepend=b[0] - 1))
         for i, j in zip(cut, np.append(cut[1:], len(b)), strict=True):
-            x = np.unique(s[i:j])
-            new = np.ones(len(x), bool)
-            new[1:] = np.diff(x) > length
-            f = np.flatnonzero(new)
-            found.append((-1, int(b[i]), 3, pack(x[f], np.append(x[f[1:] - 1], x[-1]) + length)))
+            x, y = s[i:j], np.maximum.accumulate(e[i:j])
+            f = np.flatnonzero(np.append(True, x[1:] > y[:-1]))
+            found.append((-1, int(b[i]), 3, pack(x[f], np.append(y[f[1:] - 1], y[-1]))))
         return table(MESSAGES, found)
 
     return answer

@@ -1,6 +1,7 @@
 """op1 and op3 against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -58,6 +59,18 @@ def test_suffix_dedup_of_odd_rows(odd, empty):
         S.suffix_dedup(empty, length=10, gram=10)
 
 
+def test_every_place_of_a_fragment_within_its_document_goes(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for i in range(8):
+        passage, before, after = text(50), text(90), text(90)
+        rows.append((i, text(90) + passage + text(90)))
+        rows.append((100 + i, (before + passage + after) * 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in S.suffix_dedup(df).select(COLUMNS).collect()), key=str) == expected(rows)
+
+
 def test_cut_repeats_keeps_rows_columns_and_characters(docs, odd, empty, texts):
     cut = {r["doc_id"]: r["text"] for r in S.cut_repeats(docs).collect()}
     for (i, t), c in zip(enumerate(texts), brute_spans(list(enumerate(texts))), strict=True):
