@@ -3,11 +3,14 @@
 Two ways of finding them, side by side:
 
 * *phrases*: places where a phrase's words stand one after the other, found by one regular expression;
-* *templates*: an exact set-similarity join of text blocks (lines) with licence templates.  Token sets are put in
-  order of global frequency, rarest first.  A block that contains at least ``percent`` of a template's tokens must
-  hold one of its first ``n - t + 1`` (prefix filter), must have enough template tokens at all (length filter), and
-  from the place of the first common token on both sets must have enough left (positional filter).  What is left
-  is verified by intersecting the sets, and the block gets the label of the template that it holds best.
+* *templates*: an exact set-similarity join of text blocks with licence templates.  Blocks are the lines and, for
+  notices that wrap, the words around each line end: of a template of w words the w - 1 before and the w - 1 after
+  it, over further line ends.  Token sets are put in order of global frequency, rarest first.  A block that contains at
+  least ``percent`` of a template's tokens must hold one of its first ``n - t + 1`` (prefix filter), must have enough
+  template tokens at all (length filter), and from the place of the first common token on both sets must have enough
+  left (positional filter).  What is left is verified by intersecting the sets, and the block gets the label of the
+  template that it holds best.
+  A document that as a whole holds too few tokens of every template has no such block and isn't cut into blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import let
 from quern.llm.blocks import documents
 
 
@@ -60,10 +64,36 @@ def _tokens(text: Column) -> Column:
     return F.split(F.lower(F.replace(text, F.lit("K"), F.lit("é"))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def _blocks(keyed: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Lines that hold template tokens: ``doc_id, h, tokens`` (distinct, in the order of ``vocabulary``)."""
-    lines = keyed.select("doc_id", "h", F.explode(F.split("text", r"[\r\n]+")).alias("line"))
-    return lines.select("doc_id", "h", F.array_intersect(F.array(*map(F.lit, vocabulary)), _tokens(F.col("line"))).alias("tokens")).where(F.size("tokens") > 0)
+def _around_ends(lines: Column, sizes: list[int]) -> Column:
+    """For each line end between words and each size: ``words, tokens`` of up to ``size - 1`` words before and after it."""
+    found = F.filter(F.transform(lines, lambda x: F.filter(_tokens(x), lambda w: w != "")), lambda x: F.size(x) > 0)
+
+    def cut(ls: Column) -> Column:
+        words = F.flatten(ls)
+        number = F.flatten(F.transform(ls, lambda x, i: F.array_repeat(i, F.size(x))))  # each word's line
+        ends = let(number, lambda n: F.filter(F.transform(n, lambda v, i: F.when((i > 0) & (F.get(n, i - 1) != v), i)), lambda e: e.isNotNull()))
+
+        def around(w: Column, e: Column, size: int) -> Column:
+            first = F.greatest(e - (size - 1), F.lit(0))
+            return F.struct(F.lit(size).alias("words"), F.slice(w, first + 1, e - first + size - 1).alias("tokens"))
+
+        return let(words, lambda w: F.flatten(F.transform(ends, lambda e: F.array(*[around(w, e, size) for size in sizes]))))
+
+    return let(found, cut)
+
+
+def _blocks(keyed: DataFrame, vocabulary: list[str], wanted: list[tuple[str, list[str], int, int]]) -> DataFrame:
+    """Blocks that hold template tokens: ``doc_id, h, words, tokens`` (distinct, in the order of ``vocabulary``).
+
+    ``words`` is null for lines, and for words around a line end the size of the templates they are meant for.
+    """
+    own = lambda x: F.array_intersect(F.array(*map(F.lit, vocabulary)), x)
+    bodies = F.array(*[F.struct(F.array(*map(F.lit, t)).alias("body"), F.lit(need).alias("need")) for _, t, need, _ in wanted])
+    enough = let(own(_tokens(F.col("text"))), lambda v: F.exists(bodies, lambda b: F.size(F.array_intersect(v, b["body"])) >= b["need"]))
+    lines = keyed.where(enough).select("doc_id", "h", F.split("text", r"[\r\n]+").alias("lines"))
+    single = F.transform("lines", lambda x: F.struct(F.lit(None).cast("int").alias("words"), _tokens(x).alias("tokens")))
+    blocks = lines.select("doc_id", "h", F.explode(F.concat(single, _around_ends(F.col("lines"), sorted({w for *_, w in wanted})))).alias("b"))
+    return blocks.select("doc_id", "h", "b.words", own(F.col("b.tokens")).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
@@ -74,35 +104,37 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     equal rows; an empty table an empty result. Extra columns are ignored; whole texts are searched, however long.
     """
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.md5("text"))
-    wanted = [(label, sorted(set(t.split()))) for label, t in templates]
-    vocabulary = sorted({w for _, t in wanted for w in t})
+    sized = [(label, sorted(set(t.split())), len(t.split())) for label, t in templates]
+    wanted = [(label, t, -(-percent * len(t) // 100), words) for label, t, words in sized]
+    vocabulary = sorted({w for _, t, *_ in wanted for w in t})
     # global frequencies of the templates' tokens: as many rows as the templates have tokens
-    counted = dict(_blocks(keyed, vocabulary).select(F.explode("tokens").alias("t")).groupBy("t").count().collect())
+    counted = dict(_blocks(keyed, vocabulary, wanted).select(F.explode("tokens").alias("t")).groupBy("t").count().collect())
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     index, sets = [], []
-    for i, (label, t) in enumerate(wanted):
+    for i, (label, t, need, words) in enumerate(wanted):
         t = sorted(t, key=rank.get)
-        need = -(-percent * len(t) // 100)
-        index += [(w, i, label, j, len(t), need) for j, w in enumerate(t[: len(t) - need + 1])]
+        index += [(w, i, label, j, len(t), need, words) for j, w in enumerate(t[: len(t) - need + 1])]
         sets.append((i, t))
     spark = docs.sparkSession
-    prefixes = F.broadcast(spark.createDataFrame(index, "token string, template int, label string, at int, n int, need int"))  # a constant of this module
+    prefixes = F.broadcast(spark.createDataFrame(index, "token string, template int, label string, at int, n int, need int, size int"))  # a constant of this module
     bodies = F.broadcast(spark.createDataFrame(sets, "template int, body array<string>"))
-    blocks = _blocks(keyed, order).withColumn("m", F.size("tokens"))
+    blocks = _blocks(keyed, order, wanted).withColumn("m", F.size("tokens"))
     probes = blocks.select("*", F.posexplode("tokens").alias("pos", "token"))
     candidates = (
         probes.join(prefixes, "token")
         .where(F.col("m") >= F.col("need"))
-        .groupBy("doc_id", "h", "tokens", "m", "template", "label", "n", "need")
+        .groupBy("doc_id", "h", "words", "tokens", "m", "template", "label", "n", "need", "size")
         .agg(F.min(F.struct("at", "pos")).alias("first"))
         .where(F.least(F.col("n") - F.col("first.at"), F.col("m") - F.col("first.pos")) >= F.col("need"))
     )
-    common = F.size(F.array_intersect("tokens", "body"))
-    found = candidates.join(bodies, "template").withColumn("common", common).where(F.col("common") >= F.col("need"))
+    found = candidates.join(bodies, "template").withColumn("common", F.array_intersect("tokens", "body")).where(F.size("common") >= F.col("need"))
     # a notice contains much of its relatives' templates too: a block's label is that of the fullest, then longest one
-    best = found.groupBy("doc_id", "h", "tokens").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "n", "label")).alias("best"))
-    per_doc = best.groupBy("doc_id", "h").agg(F.collect_set("best.label").alias("found"), F.max("best.share").alias("share"))
+    held = found.groupBy("doc_id", "h", "words", "tokens").agg(F.collect_list(F.struct((F.size("common") / F.col("n")).alias("share"), "n", "label", "common", "size")).alias("held"))
+    key = lambda x: F.struct(x["share"], x["n"], x["label"])
+    covers = lambda y, x: key(y) > key(x)
+    left = F.filter("held", lambda x: ~F.exists("held", lambda y: covers(y, x)) & (F.col("words").isNull() | (x["size"] == F.col("words"))))
+    per_doc = held.select("doc_id", "h", F.explode(left).alias("best")).groupBy("doc_id", "h").agg(F.collect_set("best.label").alias("found"), F.max("best.share").alias("share"))
 
     any_phrase = "(?:" + "|".join(_pattern(p) for p, _ in phrases) + ")"
     t = F.col("text")

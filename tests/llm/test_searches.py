@@ -106,6 +106,30 @@ def test_license_scan_of_odd_texts(spark, odd, empty):
     assert license_scan(odd).count() == odd.count() and license_scan(empty).count() == 0
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+GPL3 = "This work is licensed under the GNU General Public License, version 3."
+
+
+def labels_of(spark, texts):
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_wrapped_notices_are_found(spark):
+    texts = [
+        "Some name\n\n * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that\n",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+        "\n".join(GPL3.split()),
+        "\n\n".join(BSD.split()) + "\nand more",
+        "licensed under cc by\nnc 4.0",
+        "licensed under cc by 4.0\nother words",
+        "redistribution and use in source\n" + "word " * 40 + "\nand binary forms with or without modification are permitted",
+    ]
+    got = labels_of(spark, texts)
+    assert [x for x, _ in got] == ["bsd", "mpl-2", "gpl-3", "bsd", "cc-by-nc", "cc-by", ""]
+    assert [y for _, y in got[:6]] == [1.0] * 6 and got[6][1] == 0
+
+
 def test_boundary_rules():
     start, end, cuts = np.array([0, 3, 5]), np.array([3, 5, 9]), np.array([0, 4, 6])
     assert [list(attribute(start, end, cuts, r)[0]) for r in ("start", "end", "most")] == [[2, 1, 0], [1, 1, 1], [2, 0, 1]]
