@@ -8,8 +8,8 @@ Two ways of finding them, side by side:
   it, over further line ends.  Token sets are put in order of global frequency, rarest first.  A block that contains at
   least ``percent`` of a template's tokens must hold one of its first ``n - t + 1`` (prefix filter), must have enough
   template tokens at all (length filter), and from the place of the first common token on both sets must have enough
-  left (positional filter).  What is left is verified by intersecting the sets, and the block gets the label of the
-  template that it holds best.
+  left (positional filter).  What is left is verified by intersecting the sets.  A block gets the label of every
+  template that it holds, but for those whose common tokens a fuller one has all in common with it.
   A document that as a whole holds too few tokens of every template has no such block and isn't cut into blocks.
 """
 
@@ -129,10 +129,10 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
         .where(F.least(F.col("n") - F.col("first.at"), F.col("m") - F.col("first.pos")) >= F.col("need"))
     )
     found = candidates.join(bodies, "template").withColumn("common", F.array_intersect("tokens", "body")).where(F.size("common") >= F.col("need"))
-    # a notice contains much of its relatives' templates too: a block's label is that of the fullest, then longest one
+    # a notice contains much of its relatives' templates too: those go whose common tokens a fuller (then longer) one has as well
     held = found.groupBy("doc_id", "h", "words", "tokens").agg(F.collect_list(F.struct((F.size("common") / F.col("n")).alias("share"), "n", "label", "common", "size")).alias("held"))
     key = lambda x: F.struct(x["share"], x["n"], x["label"])
-    covers = lambda y, x: key(y) > key(x)
+    covers = lambda y, x: (key(y) > key(x)) & (F.size(F.array_except(x["common"], y["common"])) == 0)
     left = F.filter("held", lambda x: ~F.exists("held", lambda y: covers(y, x)) & (F.col("words").isNull() | (x["size"] == F.col("words"))))
     per_doc = held.select("doc_id", "h", F.explode(left).alias("best")).groupBy("doc_id", "h").agg(F.collect_set("best.label").alias("found"), F.max("best.share").alias("share"))
 

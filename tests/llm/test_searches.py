@@ -130,6 +130,11 @@ def test_wrapped_notices_are_found(spark):
     assert [y for _, y in got[:6]] == [1.0] * 6 and got[6][1] == 0
 
 
+def test_every_notice_of_a_line_is_labelled(spark):
+    texts = [f"{GPL3} x y {BSD}", f"{BSD} {GPL3} This Source Code Form is subject to the terms of the Mozilla Public License", "licensed under cc by nc 4 0", GPL3, f"{GPL3} {GPL3.replace('3', '2')}"]
+    assert [x for x, _ in labels_of(spark, texts)] == ["bsd,gpl-3", "bsd,gpl-3,mpl-2", "cc-by-nc", "gpl-3", "gpl-2,gpl-3"]
+
+
 def test_boundary_rules():
     start, end, cuts = np.array([0, 3, 5]), np.array([3, 5, 9]), np.array([0, 4, 6])
     assert [list(attribute(start, end, cuts, r)[0]) for r in ("start", "end", "most")] == [[2, 1, 0], [1, 1, 1], [2, 0, 1]]
