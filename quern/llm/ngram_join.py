@@ -13,6 +13,9 @@
    verified, so a group of near copies costs about one verification a document, and loses no component.
 5. A coarse component above ``big`` shingles is dealt out over chunks, each with the same few pivot
    documents; documents that this leaves outside its largest component are then held against every chunk.
+6. Where links are to be counted, every pair that shares a prefix shingle is verified, connected or not, within the
+   task of its coarse component, or for a large one in a task for each pair of its chunks.  Only sums leave a task.
+   A family of f documents that all link takes f^2 / 2 verifications, each a look at one set's shared shingles.
 
 Shingles are compared by 64-bit hashes.
 """
@@ -127,8 +130,8 @@ def _add_up(key: tuple, got: pa.Table) -> pa.Table:
     return table(MESSAGES, found)
 
 
-ALIVE = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("payload", pa.binary())])
-ALIVE_SQL = "uid long, n long, m long, payload binary"
+ALIVE = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("copies", pa.int64()), ("payload", pa.binary())])
+ALIVE_SQL = "uid long, n long, m long, copies long, payload binary"
 
 
 def _required(n, percent: int):
@@ -137,14 +140,15 @@ def _required(n, percent: int):
 
 def _alive(k: int, buckets: int, percent: int):
     def alive(key: tuple, got: pa.Table) -> pa.Table:
-        block, answers, chosen = None, {}, []
+        block, answers, chosen, copies = None, {}, [], []
         for row in rows(got):
             if row["kind"] < 0:
                 block = Block.from_blob(row["payload"])
             elif row["kind"] == 1:
                 answers[row["bucket"]] = row["payload"]
             else:
-                chosen += row["idx"]
+                chosen += row["idx"][0::2]
+                copies += row["idx"][1::2]
         if block is None or not chosen:
             return table(ALIVE, [])
         off, s, place, u, bounds = _distinct_in_block(block, k, buckets)
@@ -154,7 +158,7 @@ def _alive(k: int, buckets: int, percent: int):
             many = np.unpackbits(many, count=int(bounds[i + 1] - bounds[i])).astype(bool)
             df[bounds[i] : bounds[i + 1]][many] = x
         found = []
-        for d in chosen:
+        for d, c in zip(chosen, copies, strict=True):
             lo, hi = int(off[d]), int(off[d + 1])
             f = df[place[lo:hi]]
             keep = f > 1
@@ -162,7 +166,7 @@ def _alive(k: int, buckets: int, percent: int):
             if m and m >= _required(n, percent):
                 h, f = s[lo:hi][keep], f[keep]
                 order = np.lexsort((h, h >> _CUT, f))
-                found.append((_place(key[0].as_py()) + d, n, m, pack(h[order], f[order].astype(np.uint32))))
+                found.append((_place(key[0].as_py()) + d, n, m, c, pack(h[order], f[order].astype(np.uint32))))
         return table(ALIVE, found)
 
     return alive
@@ -190,6 +194,9 @@ def _send_prefixes(percent: int, buckets: int):
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Links that connect, and rows (uid, uid, number of links with other sets, each as often as it has copies).
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+LINKS_SQL = "a long, b long, links long"
 
 
 def _stars(key: tuple, got: pa.Table) -> pa.Table:
@@ -208,11 +215,11 @@ def _stars(key: tuple, got: pa.Table) -> pa.Table:
 
 
 class _Doc:
-    __slots__ = ("uid", "n", "m", "t", "tokens", "df", "ordered")
+    __slots__ = ("uid", "n", "m", "t", "tokens", "df", "ordered", "copies")
 
-    def __init__(self, uid: int, n: int, blob: bytes, percent: int):
+    def __init__(self, uid: int, n: int, blob: bytes, percent: int, copies: int = 1):
         self.tokens, self.df = unpack(blob)
-        self.uid, self.n, self.m, self.t = uid, n, len(self.tokens), _required(n, percent)
+        self.uid, self.n, self.m, self.t, self.copies = uid, n, len(self.tokens), _required(n, percent), copies
         self.ordered = np.sort(self.tokens)
 
 
@@ -304,22 +311,74 @@ def solve(docs: list[_Doc], percent: int, labels: dict[int, int] | None = None)
     return links
 
 
-def _solve_groups(percent: int):
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def count_links(docs: list[_Doc], percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each document the copies of all that link with it; with ``sides`` only of those on another side."""
+    n, m, t, copies = (np.array([getattr(d, c) for d in docs], np.int64) for c in ("n", "m", "t", "copies"))
+    degree = np.zeros(len(docs), np.int64)
+    off = np.cumsum(m) - m
+    _, token = np.unique(np.concatenate([d.tokens for d in docs]), return_inverse=True)
+    head = np.maximum(m - t + 1, 0)
+    at = _places(off, head)
+    owner = np.repeat(np.arange(len(docs)), head)[np.argsort(token[at], kind="stable")]
+    end = np.cumsum(np.bincount(token[at], minlength=int(token.max(initial=-1)) + 1))
+    start = np.append(0, end[:-1])
+    mine = np.zeros(len(end), bool)
+    for i in range(len(docs)):
+        first = token[off[i] : off[i] + head[i]]
+        start[first] += 1  # postings are in order of documents, so what is left are later ones
+        j = np.unique(owner[_places(start[first], end[first] - start[first])])
+        j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+        if sides is not None:
+            j = j[sides[j] != sides[i]]
+        if not len(j):
+            continue
+        own = token[off[i] : off[i] + m[i]]
+        mine[own] = True
+        common = np.add.reduceat(mine[token[_places(off[j], m[j])]].astype(np.int64), np.cumsum(m[j]) - m[j])
+        mine[own] = False
+        j = j[100 * common >= percent * (n[i] + n[j] - common)]
+        degree[i] += copies[j].sum()
+        degree[j] += copies[i]
+    return degree
+
+
+def _count_pairs(percent: int):
+    """Links between two chunks of a large component, or within one."""
+
+    def counted(key: tuple, got: pa.Table) -> pa.Table:
+        docs, sides = [], []
+        for row in rows(got):
+            docs.append(_Doc(row["uid"], row["n"], row["payload"], percent, row["copies"]))
+            sides.append(row["chunk"])
+        degree = count_links(docs, percent, None if key[1].as_py() == key[2].as_py() else np.array(sides))
+        return table(LINKS, [(d.uid, d.uid, x) for d, x in zip(docs, degree.tolist(), strict=True) if x])
+
+    return counted
+
+
+def _solve_groups(percent: int, count: bool = False):
     def solved(key: tuple, got: pa.Table) -> pa.Table:
         groups: dict[int, dict[int, _Doc]] = defaultdict(dict)
         labels: dict[int, int] = {}
         for row in rows(got):
-            groups[row["component"]][row["uid"]] = _Doc(row["uid"], row["n"], row["payload"], percent)
+            groups[row["component"]][row["uid"]] = _Doc(row["uid"], row["n"], row["payload"], percent, row["copies"])
             if row["label"] is not None:
                 labels[row["uid"]] = row["label"]
-        found = [link for docs in groups.values() for link in solve(list(docs.values()), percent, labels)]
-        return table(EDGES, found)
+        found = [(a, b, None) for docs in groups.values() for a, b in solve(list(docs.values()), percent, labels)]
+        if count:
+            docs = [d for x in groups.values() for d in x.values()]
+            found += [(d.uid, d.uid, x) for d, x in zip(docs, count_links(docs, percent).tolist(), strict=True) if x]
+        return table(LINKS, found)
 
     return solved
 
 
-def _links(alive: DataFrame, coarse: DataFrame, percent: int, big: int, group_tokens: int) -> DataFrame:
-    """Links of all coarse components."""
+def _links(alive: DataFrame, coarse: DataFrame, percent: int, big: int, group_tokens: int, count: bool) -> DataFrame:
+    """Links that connect all coarse components, and with ``count`` each document's number of links."""
     solved = _solve_groups(percent)
     docs = alive.join(coarse.withColumnRenamed("node", "uid"), "uid")
     weights = docs.groupBy("component").agg(F.sum("m").alias("weight"))
@@ -327,17 +386,21 @@ def _links(alive: DataFrame, coarse: DataFrame, percent: int, big: int, group_to
     total = alive.agg(F.sum("m")).first()[0] or 0
     groups = max(16, -(-total // group_tokens))
     none = F.lit(None).cast("long").alias("label")
-    small = docs.join(large, "component", "left_anti").select(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("gid"), "component", "uid", "n", "payload", none)
-    links = small.groupBy("gid").applyInArrow(solved, "a long, b long")
+    small = docs.join(large, "component", "left_anti").select(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("gid"), "component", "uid", "n", "copies", "payload", none)
+    links = small.groupBy("gid").applyInArrow(_solve_groups(percent, count), LINKS_SQL)
     if large.isEmpty():
         return links
     links = durable(links)
     parts = durable(docs.join(large, "component").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks"))))
     pivots = parts.groupBy("component", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(64)).alias("p")).agg(F.min("uid").alias("uid")).select("component", "uid")
     spread = parts.join(pivots, ["component", "uid"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    columns = ["component", "chunk", "uid", "n", "payload"]
+    if count:
+        pairs = parts.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        pairs = pairs.select("component", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "uid", "n", "copies", "payload")
+        links = links.unionByName(pairs.groupBy("component", "i", "j").applyInArrow(_count_pairs(percent), LINKS_SQL))
+    columns = ["component", "chunk", "uid", "n", "copies", "payload"]
     first = parts.select(columns).unionByName(spread.select(columns)).withColumn("label", F.lit(None).cast("long"))
-    near = durable(first.groupBy("component", "chunk").applyInArrow(solved, "a long, b long"))
+    near = durable(first.groupBy("component", "chunk").applyInArrow(solved, LINKS_SQL))
     label = durable(components(near)).withColumnsRenamed({"node": "uid", "component": "label"})
     named = durable(parts.join(label, "uid", "left").withColumn("label", F.coalesce("label", "uid")))
     most = named.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", F.negative("label"))).alias("main"))
@@ -345,15 +408,15 @@ def _links(alive: DataFrame, coarse: DataFrame, percent: int, big: int, group_to
     if not rest.isEmpty():
         own = rest.groupBy("component").agg(F.ceil(F.sum("m") / group_tokens).cast("long").alias("shares"))
         dealt = rest.join(own, "component").withColumn("share", F.pmod(F.xxhash64("uid", F.lit(2)), F.col("shares")))
-        columns = ["component", "share", "chunk", "uid", "n", "payload", "label"]
+        columns = ["component", "share", "chunk", "uid", "n", "copies", "payload", "label"]
         mine = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(columns)
         every = named.join(own, "component").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select(columns)
-        near = near.unionByName(mine.unionByName(every).groupBy("component", "share", "chunk").applyInArrow(solved, "a long, b long"))
+        near = near.unionByName(mine.unionByName(every).groupBy("component", "share", "chunk").applyInArrow(solved, LINKS_SQL))
     return links.unionByName(near)
 
 
-def _joined(blocks: DataFrame, words: int, percent: int, big: int, group_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (``uid, doc_id, n, f1, f2``) and classes with shingles (``f1, f2, least, head, component, copies, n_links``)."""
+def _joined(blocks: DataFrame, words: int, percent: int, big: int, group_tokens: int, count: bool) -> tuple[DataFrame, DataFrame]:
+    """Documents (``uid, doc_id, n, f1, f2``) and classes with shingles (``f1, f2, first, copies``, and with ``count`` also ``n_links``)."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = bucket_count(total)
     describe, kinds = _describe(words)
@@ -362,7 +425,7 @@ def _joined(blocks: DataFrame, words: int, percent: int, big: int, group_tokens:
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("head")
     classes = durable(each.where("n > 0").groupBy("f1", "f2").agg(head, F.count(F.lit(1)).alias("copies")).withColumn("uid", F.col("head.uid")))
     place = F.shiftright("uid", 40) * F.lit(1 << 32) + F.shiftright(F.col("uid").bitwiseAND((1 << 40) - 1), _RANK)
-    chosen = classes.groupBy(place.alias("block")).agg(F.collect_list(F.col("uid").bitwiseAND((1 << _RANK) - 1).cast("int")).alias("idx"))
+    chosen = classes.groupBy(place.alias("block")).agg(F.flatten(F.collect_list(F.array(F.col("uid").bitwiseAND((1 << _RANK) - 1).cast("int"), F.col("copies").cast("int")))).alias("idx"))
     nothing = F.lit(None).cast("binary").alias("payload")
     told = blocks.mapInArrow(_send_shingles(words, buckets), MESSAGES_SQL).groupBy("bucket").applyInArrow(_add_up, MESSAGES_SQL)
     zero = F.lit(-1).cast("long").alias("bucket")
@@ -371,26 +434,29 @@ def _joined(blocks: DataFrame, words: int, percent: int, big: int, group_tokens:
     alive = durable(texts.unionByName(told).unionByName(flags).groupBy("block").applyInArrow(_alive(words, buckets, percent), ALIVE_SQL))
     stars = alive.mapInArrow(_send_prefixes(percent, buckets), MESSAGES_SQL).groupBy("bucket").applyInArrow(_stars, "a long, b long")
     coarse = durable(components(stars))
-    links = durable(_links(alive, coarse, percent, big, group_tokens))
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("degree"))
-    named = classes.join(labels.withColumnRenamed("node", "uid"), "uid", "left").join(degree, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    links = durable(_links(alive, coarse, percent, big, group_tokens, count))
+    labels = components(links.where("links IS NULL"))
+    named = classes.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    columns = ["f1", "f2", "first", "copies"]
+    if count:
+        degree = links.where("links IS NOT NULL").groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("degree"))
+        named = named.join(degree, "uid", "left")
+        columns.append((F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = named.groupBy("component").agg(F.min("head").alias("first"))
-    return each, named.join(least, "component").select("f1", "f2", "first", "copies", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return each, named.join(least, "component").select(*columns)
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, big: int = 2 * GROUP_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, copies, n_links``.
 
     ``component_id`` is the least id reachable by links (Jaccard of at least ``percent``); ``copies``: documents with
-    the very same set; ``n_links``: verified links of this set that hold its component together (a spanning forest),
-    and one for each of its copies.
+    the very same set; ``n_links``: other documents that link with this one, its copies among them.
 
     Nulls and the like: a null or wordless text has no shingles and no links. A document with a null id takes part
     only as a copy or partner that others are linked through; its own component is that of its set, null if no id is
     known there. Rows with equal ids stand on their own. An empty table gives an empty result; extra columns are ignored.
     """
-    each, named = _joined(to_blocks(docs, doc_id, text), words, percent, big, group_tokens)
+    each, named = _joined(to_blocks(docs, doc_id, text), words, percent, big, group_tokens, True)
     classes = named.select("f1", "f2", F.col("first.doc_id").alias("component_id"), "copies", "n_links")
     alone = each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
     return each.where("n > 0").join(classes, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "copies", "n_links").unionByName(alone)
@@ -417,7 +483,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     joined: blocks carry the rows, and each is told which to let go.
     """
     blocks = to_blocks(docs, doc_id, text, carry=True)
-    each, named = _joined(blocks, words, percent, big, group_tokens)
+    each, named = _joined(blocks, words, percent, big, group_tokens, False)
     stay = named.select(F.col("first.uid").alias("uid")).distinct().unionByName(each.where("n = 0").select("uid"))
     place = F.shiftright("uid", 40) * F.lit(1 << 32) + F.shiftright(F.col("uid").bitwiseAND((1 << 40) - 1), _RANK)
     told = stay.groupBy(place.alias("block")).agg(F.collect_list(F.col("uid").bitwiseAND((1 << _RANK) - 1).cast("int")).alias("idx"))

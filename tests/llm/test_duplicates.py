@@ -162,6 +162,23 @@ def test_ngram_join_equals_brute_force(docs, texts, limits):
     assert all((r["n_links"] > 0) == (size[r["component_id"]] > 1) for r in got)
 
 
+def brute_links(rows, percent=75):
+    sets = sets_of(rows)
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    return [(d, sum(linked(sets[i], sets[j]) for j in range(len(rows)) if j != i)) for i, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"big": 40, "group_tokens": 150}, {"big": 40, "group_tokens": 1000}])
+def test_ngram_join_counts_every_link(spark, texts, odd, limits):
+    family = [" ".join(w if j != i else "other" for j, w in enumerate(f"w{k}" for k in range(80))) for i in range(20)]
+    rows = list(enumerate([*texts, *family, family[0], family[7]]))
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **limits).collect()
+    want = brute_links(rows)
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted(want) and max(n for _, n in want) >= 21
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert sorted(((r["doc_id"], r["n_links"]) for r in ngram_join(odd, **limits).collect()), key=str) == sorted(brute_links(rows), key=str)
+
+
 def test_ngram_join_of_odd_rows(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join(odd).collect()]
