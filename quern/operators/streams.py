@@ -60,8 +60,12 @@ def split_rows(df: DataFrame, tokens: str, length, seg: str = "seg") -> DataFram
     return cut.withColumn(tokens, F.slice(tokens, F.col(seg) * F.col("_length") + 1, F.col("_length"))).drop("_length")
 
 
-def full_lm(df: DataFrame, keys: list[str], tokens: str, sequence_length: int, eos: int, bos: int, most: int = 65536, group: int = 128, strip_zero: bool = False, seed: int = 0) -> DataFrame:
-    """``gid, seg, tokens``: a chunk of each document, then end and begin marks, groups end to end, and pieces of a length."""
+def full_lm(df: DataFrame, keys: list[str], tokens: str, sequence_length: int, eos: int, bos: int, most: int | None = 65536, group: int = 128, strip_zero: bool = False, seed: int = 0) -> DataFrame:
+    """``gid, seg, tokens``: a chunk of each document, then end and begin marks, groups end to end, and pieces of a length.
+
+    The chunk is one of the aligned pieces of ``most`` tokens, chosen by key; with None it is the whole document.
+    """
     some = df.where(F.size(tokens) > 0)
-    cut = some.withColumn(tokens, append(random_chunk(F.col(tokens), most, hashed_uniform(F.col(keys[0]), seed)), eos, bos))
+    chunk = F.col(tokens) if most is None else random_chunk(F.col(tokens), most, hashed_uniform(F.col(keys[0]), seed))
+    cut = some.withColumn(tokens, append(chunk, eos, bos))
     return split_rows(group_concat(cut.select(*keys, tokens), keys, tokens, group, strip_zero), tokens, sequence_length)

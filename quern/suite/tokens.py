@@ -131,7 +131,7 @@ f AS (SELECT gid, flatten(list(t ORDER BY doc_id)) AS t FROM g GROUP BY gid),
 s AS (SELECT gid, t, unnest(range(0, CAST(ceil(len(t) / 2048) AS BIGINT))) AS seg FROM f)
 SELECT CAST(gid AS BIGINT) AS gid, CAST(seg AS INTEGER) AS seg, CAST(len(t[seg * 2048 + 1:seg * 2048 + 2048]) AS INTEGER) AS n_tokens, {D('t[seg * 2048 + 1:seg * 2048 + 2048]')} AS digest FROM s""")
 def full_lm(spark, sf_dir):
-    out = streams.full_lm(tokens(spark, sf_dir), ["doc_id"], "t", 2048, 2, 1)
+    out = streams.full_lm(tokens(spark, sf_dir), ["doc_id"], "t", 2048, 2, 1, most=None)
     return out.select("gid", "seg", F.size("t").alias("n_tokens"), A.digest(F.col("t")).alias("digest"))
 
 
