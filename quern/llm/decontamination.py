@@ -4,10 +4,10 @@ Documents are far longer than items, so signatures are of the items alone and as
 the size of their shingle sets, and an item of a partition with sizes up to u is signed with the
 ``u - ceil(t u) + 1`` least hashes of its set (a bottom-k MinHash).  A document that contains a share ``t`` of the
 item misses at most ``n - ceil(t n)`` of its shingles and so must contain one of its signature: the search loses
-nothing, whatever the lengths.  Candidates are then verified by their exact containment.
+nothing, whatever the lengths.
 
-The shingles of documents are looked up once in a table of the items' shingles, where those of a signature are
-marked.  The table is broadcast if it is small enough, else both sides are shuffled by shingle.
+The signatures prune nothing here: the shingles of documents are looked up once in a table of *all* the items' shingles,
+where those of a signature are marked, and the containment counted from that exact join implies the mark.  The table is broadcast if it is small enough, else both sides are shuffled by shingle.
 """
 
 from __future__ import annotations
