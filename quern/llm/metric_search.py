@@ -5,12 +5,14 @@ turn inner products into Euclidean distances, ``|q' - x'|^2 = |q|^2 + M^2 - 2 q.
 the nearest neighbours in a metric space.
 
 * Equal vectors are held once, with their least ids (more can't enter a result).
-* Vectors go to the shard of the nearest pivot; a shard above its size is dealt out over several.  Each shard is an
-  M-tree in pages: a page has its objects (routing objects or vectors) with their distances to the parent object and
-  covering radii.
+* Vectors go to the cell of the nearest of at most ``cells`` pivots, within a cell over its size to the nearest of at
+  most ``SUBCELLS`` pivots of its own, and what is still over its size is dealt out.  Each shard is an M-tree in pages:
+  a page has its objects (routing objects or vectors) with their distances to the parent object and covering radii.
 * A query visits a shard's pages in the order of their least possible distance.  An object is skipped unseen if its
   stored distance to the parent already rules it out, and a page if its covering ball does.
-* Queries first visit their nearest shard; the score found there then rules out other shards as a whole.
+* Queries first visit their nearest shard; the score found there then rules out other cells, and shards of the cells
+  left, as a whole.  Only the balls of the cells are collected and broadcast, a fixed number; those of shards meet the
+  queries in a join by cell, and a tree is copied only for blocks of queries that visit it.
 
 Bounds are computed with a margin for rounding; scores are integers and exact.
 """
@@ -25,29 +27,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import durable, pack, table, unpack
+from quern.llm.blocks import batch, durable, pack, table, unpack
 
 SCALE = 256
 TOP = 5
-SHARD = 16_384
+SHARD = 4096
 PAGE = 256
 FAN = 16
 QUERY_BLOCK = 20_000
+#: Most pivots of all vectors (the only ones that are broadcast), and most of a cell's own.
+CELLS = 1024
+SUBCELLS = 256
+_CELL, _SUB = 1 << 40, 1 << 24
+_ROWS = 2048
 
 
 def quantise(lists: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, list[bytes]]:
     """Which vectors take part, and each of those as little-endian 64-bit integers without trailing zeros."""
-    keep, out = [], []
-    for i, v in enumerate(lists):
-        x = v.as_py()
-        if x is None or any(c is None for c in x):
-            continue
-        a = np.array(x, np.float64)
-        if not np.isfinite(a).all():
-            continue
-        keep.append(i)
-        out.append(np.trim_zeros(np.floor(scale * a), "b").astype("<i8").tobytes())
-    return np.array(keep, np.int64), out
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    offsets, flat = np.asarray(lists.offsets, np.int64), lists.values
+    x = np.asarray(flat.fill_null(np.nan), np.float64)
+    finite = np.isfinite(x)
+    bad = np.concatenate([[0], np.cumsum(~finite)])
+    start, end = offsets[:-1], offsets[1:]
+    keep = np.flatnonzero(np.asarray(lists.is_valid()) & (bad[end] == bad[start]))
+    q = np.floor(scale * np.where(finite, x, 0.0)).astype("<i8")
+    some = np.append(-1, np.flatnonzero(q))
+    start = start[keep]
+    end = np.maximum(some[np.searchsorted(some, end[keep]) - 1] + 1, start)  # after the last component that isn't 0
+    raw = q.tobytes()
+    return keep, [raw[8 * i : 8 * j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 def _matrix(raw: list[bytes], width: int) -> np.ndarray:
@@ -166,21 +176,45 @@ def _local(scale: int, keep: int):
 
 TREES = pa.schema([("shard", pa.int64()), ("centre", pa.binary()), ("radius", pa.float64()), ("payload", pa.binary())])
 TREES_SQL = "shard long, centre binary, radius double, payload binary"
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-FOUND_SQL = "query_id long, vec_id long, score long"
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int64())])
+FOUND_SQL = "query_id long, vec_id long, score long, shard long"
+
+
+def _nearest(raw: list[bytes], pivots: list[bytes], width: int, top: float) -> np.ndarray:
+    """For each vector the number of the nearest pivot."""
+    p = _matrix(pivots, width).astype(float)
+    pn = (p * p).sum(axis=1)
+    extra = np.sqrt(np.maximum(top - pn, 0))
+    out = [np.zeros(0, np.int64)]
+    for i in range(0, len(raw), _ROWS):
+        x = _matrix(raw[i : i + _ROWS], width).astype(float)
+        xn = (x * x).sum(axis=1)
+        d = xn[:, None] + pn - 2 * (x @ p.T) + (np.sqrt(np.maximum(top - xn, 0))[:, None] - extra) ** 2
+        out.append(d.argmin(axis=1))
+    return np.concatenate(out)
 
 
 def _assign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, width, top = shared.value
-        p = _matrix(raw, width).astype(float)
-        pn = (p * p).sum(axis=1)
-        pa_ = np.sqrt(np.maximum(top - pn, 0))
+        pivots, width, top = shared.value
         for b in batches:
-            x = _matrix(b.column(0).to_pylist(), width).astype(float)
-            xn = (x * x).sum(axis=1)
-            d = xn[:, None] + pn - 2 * (x @ p.T) + (np.sqrt(np.maximum(top - xn, 0))[:, None] - pa_) ** 2
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.argmin(axis=1))], ["q", "ids", "pivot"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_nearest(b.column(0).to_pylist(), pivots, width, top))], ["q", "ids", "cell"])
+
+    return run
+
+
+PLACED = pa.schema([("q", pa.binary()), ("ids", pa.list_(pa.int64())), ("shard", pa.int64())])
+PLACED_SQL = "q binary, ids array<long>, shard long"
+
+
+def _refine(width: int, top: float):
+    """A share of a large cell's vectors goes to the nearest of the cell's own pivots."""
+
+    def run(key: tuple, own: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return table(PLACED, [])
+        at = _nearest(own.column("q").to_pylist(), sorted(pivots.column("q").to_pylist()), width, top)
+        return pa.Table.from_arrays([own.column("q"), own.column("ids"), pa.array(key[0].as_py() * _CELL + at * _SUB)], schema=PLACED)
 
     return run
 
@@ -211,7 +245,7 @@ def _open(blob: bytes, width: int, top: float) -> tuple[MTree, np.ndarray, np.nd
 
 
 def _search(width: int, top: float, k: int):
-    def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
+    def run(key: tuple, trees: pa.Table, queries: pa.Table) -> pa.Table:
         if not trees.num_rows or not queries.num_rows:
             return table(FOUND, [])
         t, n, ids = _open(trees.column("payload")[0].as_py(), width, top)
@@ -225,48 +259,79 @@ def _search(width: int, top: float, k: int):
             for row in t.nearest(f, top, k + 1, limit, n):  # one more, for the query itself may be among them
                 score = int(t.x[row].astype(np.int64) @ v)
                 hits += [(-score, int(i)) for i in ids[begin[row] : begin[row] + n[row]] if i != qid]
-            found += [(qid, i, -s) for s, i in sorted(hits)[:k]]
+            found += [(qid, i, -s, key[0].as_py()) for s, i in sorted(hits)[:k]]
         return table(FOUND, found)
 
     return run
 
 
+ROUTED = pa.schema([("at", pa.int64()), ("query_id", pa.int64()), ("q", pa.binary()), ("least", pa.int64()), ("seen", pa.int64())])
+ROUTED_SQL = "at long, query_id long, q binary, least long, seen long"
+
+
+def _within(balls: tuple[list, list, list], queries, width: int, top: float, others: bool, shards: bool) -> list[tuple]:
+    """Queries with the balls (names, centres, radii) that they visit: the nearest, or all that may hold as good a score, but for the shard already seen."""
+    names, centres, radii = balls
+    c, r = _matrix(centres, width).astype(float), np.array(radii)
+    columns = [queries.column(x).to_pylist() for x in ("query_id", "q", "least", "seen")]
+    out = []
+    for i in range(0, len(columns[0]), _ROWS):
+        qid, raw, least, seen = (x[i : i + _ROWS] for x in columns)
+        q = _matrix(raw, width).astype(float)
+        qn = (q * q).sum(axis=1)
+        low = np.sqrt(np.maximum(qn[:, None] + top - 2 * (q @ c.T), 0)) - r
+        if others:
+            limit = np.array([np.inf if x is None else np.sqrt(max(n + top - 2.0 * x, 0)) for n, x in zip(qn.tolist(), least, strict=True)])
+            rows, balls_ = np.nonzero(low <= (limit + 1e-9 * (1 + np.sqrt(qn + top)))[:, None])
+        else:
+            rows, balls_ = np.arange(len(q)), low.argmin(axis=1)
+        out += [(names[j], qid[k], raw[k], least[k], seen[k]) for k, j in zip(rows.tolist(), balls_.tolist(), strict=True) if not shards or names[j] != seen[k]]
+    return out
+
+
 def _route(shared, others: bool):
-    """Queries with the shards that they visit: the nearest one, or the others that may hold as good a score."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balls, width, top = shared.value
+        for b in batches:
+            yield batch(ROUTED, _within(balls, b, width, top, others, False))
+
+    return run
+
+
+def _route_in_cell(width: int, top: float, others: bool):
+    def run(key: tuple, roots: pa.Table, queries: pa.Table) -> pa.Table:
+        if not roots.num_rows or not queries.num_rows:
+            return table(ROUTED, [])
+        balls = tuple(roots.column(x).to_pylist() for x in ("shard", "centre", "radius"))
+        return table(ROUTED, _within(balls, queries, width, top, others, True))
+
+    return run
+
+
+def _reach(shared):
+    """How far a shard's ball reaches from its cell's pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, centres, radii, width, top = shared.value
-        c = _matrix(centres, width).astype(float)
-        r = np.array(radii)
+        pivots, width, top = shared.value
+        p = _matrix(pivots, width).astype(float)
         for b in batches:
-            qid, raw, least = (b.column(i).to_pylist() for i in range(3))
-            q = _matrix(raw, width).astype(float)
-            d = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + top - 2 * (q @ c.T), 0))
-            low = d - r
-            first = low.argmin(axis=1)
-            out = []
-            for i in range(len(qid)):
-                if not others:
-                    go = [int(first[i])]
-                else:
-                    qn = float((q[i] * q[i]).sum())
-                    limit = np.inf if least[i] is None else np.sqrt(max(qn + top - 2.0 * least[i], 0))
-                    go = [j for j in np.flatnonzero(low[i] <= limit + 1e-9 * (1 + np.sqrt(qn + top))).tolist() if j != first[i]]
-                out += [(shards[j], qid[i], raw[i], least[i]) for j in go]
-            schema = pa.schema([("shard", pa.int64()), ("query_id", pa.int64()), ("q", pa.binary()), ("least", pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
-
-    return run, "shard long, query_id long, q binary, least long"
-
-
-def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", *, every: int = 50, k: int = TOP, scale: int = SCALE, shard: int = SHARD, page: int = PAGE) -> DataFrame:
+            cell = np.asarray(b.column(0)) // _CELL
+            x, y = _matrix(b.column(1).to_pylist(), width).astype(float), p[cell]
+            extra = lambda v: np.sqrt(np.maximum(top - (v * v).sum(axis=1), 0))
+            d = np.sqrt(((x - y) ** 2).sum(axis=1) + (extra(x) - extra(y)) ** 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(d + np.asarray(b.column(2)))], ["cell", "reach"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", *, every: int = 50, k: int = TOP, scale: int = SCALE, shard: int = SHARD, page: int = PAGE, cells: int = CELLS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best other vectors for each query (ids divisible by ``every``).
 
     Components become ``floor(scale * x)``; the score is their integer inner product, which must fit into 53 bits.
     Ties go to the smaller id. Vectors that are null or hold null or non-finite components, and null ids, take no
     part; shorter vectors count as padded with zeros; rows are told apart by id, and a repeated row counts once (of
-    several vectors with one id all are candidates and the least is the query). An
-    empty table gives an empty result; extra columns are ignored.
+    several valid vectors with one id all are candidates and the least is the query). An
+    empty table gives an empty result; extra columns are ignored; vectors may be of any length.
     """
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     run, kinds = _local(scale, k + 1)
@@ -279,33 +344,51 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         return spark.createDataFrame([], schema)
     width, top = max(width, 1), float(top)
     sc = spark.sparkContext
-    pivots = [r["q"] for r in base.orderBy(F.xxhash64("q"), "q").select("q").limit(max(1, -(-n // shard))).collect()]  # one for each shard
-    assigned = durable(base.mapInArrow(_assign(sc.broadcast((pivots, width, top))), "q binary, ids array<long>, pivot long"))
-    shares = assigned.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / shard).cast("long").alias("shares"))
-    placed = assigned.join(shares, "pivot").withColumn("shard", F.col("pivot") * F.lit(1 << 24) + F.pmod(F.xxhash64("q"), F.col("shares")))
+    pivots = [r["q"] for r in base.orderBy(F.xxhash64("q"), "q").select("q").limit(max(1, min(cells, -(-n // shard)))).collect()]  # a fixed number at most
+    shared = sc.broadcast((pivots, width, top))
+    shares = F.ceil(F.count(F.lit(1)) / shard).cast("long").alias("shares")
+    assigned = durable(base.mapInArrow(_assign(shared), "q binary, ids array<long>, cell long"))
+    assigned = assigned.join(assigned.groupBy("cell").agg(shares), "cell")
+    large = assigned.where("shares > 1")
+    placed = assigned.where("shares = 1").select("q", "ids", (F.col("cell") * _CELL).alias("shard"))
+    few = F.least("shares", F.lit(SUBCELLS).cast("long"))
+    inner = large.groupBy("cell", "shares", F.pmod(F.xxhash64("q", F.lit(1)), few).alias("class")).agg(F.min_by("q", F.struct(F.xxhash64("q", F.lit(2)), "q")).alias("q"))
+    inner = inner.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    inner = inner.select(F.col("cell").alias("of_cell"), F.col("share").alias("of_share"), "q")
+    dealt = large.withColumn("share", F.pmod(F.xxhash64("q"), F.col("shares"))).groupBy("cell", "share")
+    placed = durable(placed.unionByName(dealt.cogroup(inner.groupBy("of_cell", "of_share")).applyInArrow(_refine(width, top), PLACED_SQL)))
+    placed = placed.join(placed.groupBy("shard").agg(shares), "shard").withColumn("shard", F.col("shard") + F.pmod(F.xxhash64("q", F.lit(3)), F.col("shares")))
     trees = durable(placed.groupBy("shard").applyInArrow(_build(width, top, page), TREES_SQL))
-    roots = trees.select("shard", "centre", "radius").orderBy("shard").collect()
-    shared = sc.broadcast(([r["shard"] for r in roots], [r["centre"] for r in roots], [r["radius"] for r in roots], width, top))
+    roots = trees.select(F.shiftright("shard", 40).alias("cell"), "shard", "centre", "radius")
+    reach = trees.select("shard", "centre", "radius").mapInArrow(_reach(shared), "cell long, reach double").groupBy("cell").agg(F.max("reach").alias("reach")).orderBy("cell").collect()
+    balls = sc.broadcast((([r["cell"] for r in reach], [pivots[r["cell"]] for r in reach], [r["reach"] for r in reach]), width, top))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, q = quantise(b.column(1), scale)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(q, pa.binary())], ["query_id", "q"])
 
-    queries = durable(own.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(raw, "query_id long, q binary"))
+    valid = own.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(raw, "query_id long, q binary")
+    queries = durable(valid.groupBy("query_id").agg(F.min("q").alias("q")))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-    spread = trees.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "payload").groupBy("shard", "block")
+
+    def copies(of: DataFrame, asked: DataFrame, key: str):
+        """Rows of ``of`` for each block of queries that goes to their ``key``."""
+        return of.join(asked.select(F.col("at").alias(key), F.col("block").alias("for_block")).distinct(), key).groupBy(key, "for_block")
 
     def visit(asked: DataFrame, others: bool) -> DataFrame:
-        route, kinds = _route(shared, others)
-        gone = asked.select("query_id", "q", "least").mapInArrow(route, kinds).select("*", block)
-        return spread.cogroup(gone.groupBy("shard", "block")).applyInArrow(_search(width, top, k), FOUND_SQL)
-
-    found = durable(visit(queries.withColumn("least", F.lit(None).cast("long")), False))
-    if len(roots) > 1:
-        least = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-        found = found.unionByName(visit(queries.join(least, "query_id", "left"), True))
+        """Scores found, with the shard that was visited."""
+        cells_ = durable(asked.select("query_id", "q", "least", "seen").mapInArrow(_route(balls, others), ROUTED_SQL).select("*", block))
+        inside = copies(roots, cells_, "cell").cogroup(cells_.groupBy("at", "block"))
+        shards = durable(inside.applyInArrow(_route_in_cell(width, top, others), ROUTED_SQL).select("*", block))
+        found = copies(trees.select("shard", "payload"), shards, "shard").cogroup(shards.groupBy("at", "block"))
+        return found.applyInArrow(_search(width, top, k), FOUND_SQL)
+
+    nothing = F.lit(None).cast("long")
+    found = durable(visit(queries.select("query_id", "q", nothing.alias("least"), nothing.alias("seen")), False))
+    least = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"), F.first("shard").alias("seen"))
+    found = found.unionByName(visit(queries.join(least, "query_id", "left"), True))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -65,7 +65,7 @@ def brute_top(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("size", [{}, {"shard": 40, "page": 4}])
+@pytest.mark.parametrize("size", [{}, {"shard": 40, "page": 4}, {"shard": 20, "page": 4, "cells": 3}])
 def test_top_k_equals_brute_force(spark, size):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(5, 8))
@@ -83,6 +83,24 @@ def test_top_k_of_few_rows(spark):
     assert top_k(few.limit(0)).count() == top_k(few.where("vec_id = 1")).count() == 0
 
 
+def test_an_invalid_vector_does_not_hide_a_valid_one_of_its_id(spark):
+    rows = [(0, [None, 1.0]), (0, [2.0, 1.0]), (0, [float("nan"), 0.0]), (0, None), (1, [1.0, 1.0]), (2, [0.0, 0.0]), (3, [0.5])]
+    got = [tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 3 * 65536), (0, 2, 3, 65536), (0, 3, 2, 0)]
+
+
+def test_quantising_equals_one_by_one():
+    import pyarrow as pa
+
+    from quern.llm.metric_search import quantise
+
+    lists = [[0.5, -0.001, 0.0], None, [], [None], [1.0, float("inf")], [0.0, 0.0], [3.0], [0.0, 2.0]]
+    for a in (pa.array(lists, pa.list_(pa.float64())), pa.array([[9.0], *lists], pa.list_(pa.float64())).slice(1)):
+        at, raw = quantise(a)
+        assert at.tolist() == [0, 2, 5, 6, 7]
+        assert [np.frombuffer(r, "<i8").tolist() for r in raw] == [[128, -1], [], [], [768], [0, 512]]
+
+
 def test_m_tree_skips_pages():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.5, (400, 6)) for c in (-40, 0, 40)]).round().astype(np.int64)
