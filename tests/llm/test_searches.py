@@ -1,11 +1,14 @@
 """op2, op5, op6 and op7 against brute force and SQL."""
 
+import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.llm import license_scan as license_scan_module
 from quern.llm import queries as Q
 from quern.llm.decontamination import contained_items, decontaminate
 from quern.llm.license_scan import license_scan
@@ -153,6 +156,38 @@ def test_every_notice_of_a_line_is_labelled(spark):
     assert [x for x, _ in labels_of(spark, texts)] == ["bsd,gpl-3", "bsd,gpl-3,mpl-2", "cc-by-nc", "gpl-3", "gpl-2,gpl-3"]
 
 
+def test_word_places_after_characters_outside_the_basic_plane(spark):
+    texts = ["\U0001F600\U0001F600 a b under the mit license c under the mit license", "x\U0001D400y \U0001F600" * 40 + " cc by nc", "apache license version 2 \U0001F600"]
+    out = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"]) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t) for t in texts]
+    assert out == {0: (2, 3, 8), 1: (1, len(words[1]) - 3, len(words[1]) - 3), 2: (1, 0, 0)}
+
+
+MIT = next(t for label, t in license_scan_module.TEMPLATES if label == "mit" and "merge" in t)
+
+
+def test_every_match_is_reported_with_its_share(spark):
+    texts = ["This library is licensed under the GNU General Public License, version 3", GPL3, MIT, "\n".join(MIT[i : i + 40] for i in range(0, len(MIT), 40)).replace("\n", "- "), "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software", "nothing"]
+    out = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0]["matches"] == "gpl-2:83,gpl-3:91,lgpl:90" and out[0]["labels"] == "gpl-3,lgpl"
+    assert out[1]["matches"] == "gpl-2:91,gpl-3:100,lgpl:81" and out[1]["labels"] == "gpl-3"
+    assert out[2]["labels"] == "mit" and out[2]["score"] == 1 and "mit:100" in out[2]["matches"]
+    assert out[4]["labels"] == "mit" and out[5]["matches"] == out[5]["labels"] == ""
+
+
+def test_wrapped_full_notices_equal_sql(spark, tmp_path):
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = [wrap(t, n) for _, t in license_scan_module.TEMPLATES for n in (3, 9)] + [f"{GPL3} {BSD}\nother", None, "", "a\n\nb"]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = license_scan(df)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(c.sql(license_scan_module.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in got.collect())
+    labels = {r["doc_id"]: r["labels"].split(",") for r in got.collect()}
+    assert all(label in labels[2 * i] and label in labels[2 * i + 1] for i, (label, _) in enumerate(license_scan_module.TEMPLATES))
+
+
 def test_boundary_rules():
     start, end, cuts = np.array([0, 3, 5]), np.array([3, 5, 9]), np.array([0, 4, 6])
     assert [list(attribute(start, end, cuts, r)[0]) for r in ("start", "end", "most")] == [[2, 1, 0], [1, 1, 1], [2, 0, 1]]
