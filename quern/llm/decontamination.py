@@ -1,13 +1,17 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search, with DataFrame functions only.
 
-Documents are far longer than items, so signatures are of the items alone and asymmetric: items are partitioned by
-the size of their shingle sets, and an item of a partition with sizes up to u is signed with the
-``u - ceil(t u) + 1`` least hashes of its set (a bottom-k MinHash).  A document that contains a share ``t`` of the
-item misses at most ``n - ceil(t n)`` of its shingles and so must contain one of its signature: the search loses
-nothing, whatever the lengths.
-
-The signatures prune nothing here: the shingles of documents are looked up once in a table of *all* the items' shingles,
-where those of a signature are marked, and the containment counted from that exact join implies the mark.  The table is broadcast if it is small enough, else both sides are shuffled by shingle.
+1. Documents are far longer than items, so signatures are of the items alone and asymmetric: items are partitioned by
+   the size of their shingle sets, and an item of a partition with sizes up to u is signed with the ``u - ceil(t u) + 1``
+   first shingles of its set (a bottom-k MinHash), in order of hash, those that many items share after rarer ones.  A
+   document that contains a share ``t`` of the item misses at most ``n - ceil(t n)`` of its shingles and so must
+   contain one of its signature: the search loses nothing, whatever the lengths.
+2. Documents probe the table of signatures with the hashes of their shingles.  A hit makes a candidate: a pair of a
+   document and an item.
+3. Only the candidates are verified: the shingles of their documents, as text, are counted in the whole sets of their
+   items.
+
+Tables of items, and the keys of candidates and of documents that go, are broadcast if counted small enough, else both
+sides are shuffled.
 """
 
 from __future__ import annotations
@@ -15,67 +19,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import documents
+from quern.functions.arrays import let
+from quern.llm.blocks import documents, durable
 
 WORDS = 5
 PERCENT = 75
-#: Shingles of all items up to which their table (24 bytes each) is broadcast.
-BROADCAST_SHINGLES = 1_000_000
+#: Rows of a table (an item's shingle, a document's key) up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
-def _shingles(text: Column, k: int) -> Column:
-    """Hashes of the distinct ``k``-word runs of a text, of the whole text if it has fewer words."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
-    def runs(h: Column) -> Column:
-        n = F.size(h)
-        long = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-        return F.when(n >= k, long).when(n > 0, F.array(F.xxhash64(F.lit(k), h))).otherwise(F.array().cast("array<bigint>"))
 
-    # the one-element array keeps the hashed words from being computed again for every place
-    return F.array_distinct(F.flatten(F.transform(F.array(hashed), runs)))
+def _runs(words: Column, k: int, one) -> Column:
+    """``one`` of each start of a ``k``-word run, of the whole text if it has fewer words."""
+    n = F.size(words)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: one(i))).when(n > 0, F.array(one(F.lit(0))))
 
 
-def item_table(items: DataFrame, item_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """``s, item_id, item_h, n_item, signed``: each item's shingles, those of its partition's signature marked."""
-    sets = items.select(F.col(item_id).cast("long").alias("item_id"), _shingles(F.col(text).cast("string"), k).alias("set")).where("size(set) > 0")
-    sets = sets.dropDuplicates(["item_id", "set"]).withColumn("n_item", F.size("set").cast("long"))
+def shingles(text: Column, k: int) -> Column:
+    """The distinct ``k``-word runs of a text."""
+    return F.array_distinct(let(_words(text), lambda w: _runs(w, k, lambda i: F.array_join(F.slice(w, i + 1, k), " "))))
+
+
+def _hash_of_words(word_hash, k: int) -> Column:
+    return F.xxhash64(*[word_hash(j) for j in range(k)])
+
+
+def _shingle_hashes(text: Column, k: int) -> Column:
+    """Hashes of the same runs, from hashes of words; a text of fewer words is padded with nulls."""
+    return F.array_distinct(let(F.transform(_words(text), lambda w: F.xxhash64(w)), lambda h: _runs(h, k, lambda i: _hash_of_words(lambda j: F.get(h, i + j), k))))
+
+
+def item_sets(items: DataFrame, item_id: str, text: str, k: int) -> DataFrame:
+    """``item_id, item_h, n_item, shingles``: each different item with its set."""
+    sets = items.select(F.col(item_id).cast("long").alias("item_id"), F.array_sort(shingles(F.col(text).cast("string"), k)).alias("shingles")).where("size(shingles) > 0")
+    return sets.dropDuplicates(["item_id", "shingles"]).select("item_id", F.xxhash64("shingles").alias("item_h"), F.size("shingles").cast("long").alias("n_item"), "shingles")
+
+
+def signatures(each: DataFrame, k: int, percent: int) -> DataFrame:
+    """``s, item_id, item_h``: the hashes that sign each item; ``each``: ``item_id, item_h, n_item, shingle``."""
+    split = F.split("shingle", " ")
+    hashed = each.withColumn("s", let(F.transform(split, lambda w: F.xxhash64(w)), lambda h: _hash_of_words(lambda j: F.get(h, F.lit(j)), k)))
+    shared = each.groupBy("shingle").agg(F.floor(F.log2(F.count(F.lit(1)))).alias("often"))
     most = (F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1) - 1).cast("long")  # the greatest size of the partition
     length = most - F.ceil(most * percent / 100).cast("long") + 1
-    each = sets.withColumn("length", length).withColumn("set", F.array_sort("set")).withColumn("item_h", F.xxhash64("set"))
-    each = each.select("item_id", "item_h", "n_item", "length", F.posexplode("set").alias("pos", "s"))
-    return each.select("s", "item_id", "item_h", "n_item", (F.col("pos") < F.col("length")).alias("signed"))
+    place = F.row_number().over(Window.partitionBy("item_id", "item_h").orderBy("often", F.xxhash64("s"), "shingle"))  # an item's shingles, which are short texts'
+    return hashed.join(shared, "shingle").withColumn("place", place).where(F.col("place") <= length).select("s", "item_id", "item_h")
+
+
+def _maybe_broadcast(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
 
+def candidates(docs: DataFrame, signed: DataFrame, words: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``doc_id, h, item_id, item_h``: the pairs of which the document (``doc_id, text, h``) holds a shingle of the item's signature."""
+    each = docs.select("doc_id", "h", F.explode(_shingle_hashes(F.col("text"), words)).alias("s"))
+    return each.join(_maybe_broadcast(signed, broadcast_rows), "s").select("doc_id", "h", "item_id", "item_h").distinct()
 
-def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = WORDS, percent: int = PERCENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+
+def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = WORDS, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment`` of every document that holds at least ``percent`` of an item's shingles.
 
     Words are runs of other than ASCII white space, in lower case. Null and wordless texts contain nothing and aren't
     contained; rows with a null document id are looked at like others and reported with it, equal rows each; several
     rows with one item id stand for several items of that name. An empty table gives an empty result; extra columns
-    are ignored; whole texts are searched.
+    are ignored; whole texts are searched, however long.
     """
-    found = _found(docs, items, doc_id, text, item_id, item_text, words, percent, broadcast_shingles)
+    found = _found(docs, items, doc_id, text, item_id, item_text, words, percent, broadcast_rows)
     found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, words: int, percent: int, broadcast_shingles: int) -> DataFrame:
-    table = item_table(items, item_id, item_text, words, percent)
-    if table.count() <= broadcast_shingles:
-        table = F.broadcast(table)
+def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, words: int, percent: int, broadcast_rows: int) -> DataFrame:
+    sets = durable(item_sets(items, item_id, item_text, words))
+    each = sets.select("item_id", "item_h", "n_item", F.explode("shingles").alias("shingle"))
     # rows are known by what they hold, not by a number that a retried task might give anew; equal rows are counted
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    each = own.select("doc_id", "h", F.explode(_shingles(F.col("text"), words)).alias("s"))
-    hits = each.join(table, "s").groupBy("doc_id", "h", "item_id", "item_h", "n_item", "s").agg(F.count(F.lit(1)).alias("copies"), F.max("signed").alias("signed"))
-    found = hits.groupBy("doc_id", "h", "item_id", "item_h", "n_item").agg(F.count(F.lit(1)).alias("n_shared"), F.max("signed").alias("candidate"), F.max("copies").alias("copies"))
-    return found.where("candidate").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = WORDS, percent: int = PERCENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """The documents without those that hold an item, whole rows and all columns."""
-    found = _found(docs, items, doc_id, text, item_id, item_text, words, percent, broadcast_shingles).select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h")).distinct()
+    pairs = durable(candidates(own, signatures(each, words, percent), words, broadcast_rows))
+    keys = _maybe_broadcast(pairs.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).distinct(), broadcast_rows)
+    chosen = own.join(keys, (F.col("h") == F.col("of_h")) & F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    held = chosen.select("doc_id", "h", F.explode(shingles(F.col("text"), words)).alias("shingle"))
+    hits = held.join(_maybe_broadcast(each, broadcast_rows), "shingle").groupBy("doc_id", "h", "item_id", "item_h", "n_item", "shingle").agg(F.count(F.lit(1)).alias("copies"))
+    shared = hits.groupBy("doc_id", "h", "item_id", "item_h", "n_item").agg(F.count(F.lit(1)).alias("n_shared"), F.max("copies").alias("copies"))
+    enough = shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).alias("e")
+    p = pairs.alias("p")
+    same = (F.col("e.h") == F.col("p.h")) & (F.col("e.item_h") == F.col("p.item_h")) & F.col("e.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("e.item_id").eqNullSafe(F.col("p.item_id"))
+    return enough.join(p, same, "left_semi")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = WORDS, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents without those that hold an item, whole rows and all columns, nulls too; texts aren't shuffled while the keys of what goes are few."""
+    found = durable(_found(docs, items, doc_id, text, item_id, item_text, words, percent, broadcast_rows).select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h")).distinct())
+    found = _maybe_broadcast(found, broadcast_rows)
     same = docs[doc_id].cast("long").eqNullSafe(found["found_id"]) & (F.xxhash64(docs[text].cast("string")) == found["found_h"])
     return docs.join(found, same, "left_anti")
 

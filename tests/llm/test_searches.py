@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.llm import decontamination
 from quern.llm import license_scan as license_scan_module
 from quern.llm import queries as Q
 from quern.llm.decontamination import contained_items, decontaminate
@@ -38,12 +39,31 @@ def test_contained_items_equal_brute_force(spark, docs, texts):
             if s and 100 * len(s & shingles(t)) >= 75 * len(s):
                 want.add((d, i, len(s & shingles(t)), len(s)))
     for most in (10**6, 0):
-        got = contained_items(docs, items, broadcast_shingles=most).collect()
+        got = contained_items(docs, items, broadcast_rows=most).collect()
         assert {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in got} == want and len(got) == len(want)
     left = sorted(r["doc_id"] for r in decontaminate(docs, items).collect())
     assert left == sorted(set(range(len(texts))) - {d for d, *_ in want})
 
 
+def test_signatures_choose_the_candidates(spark, docs, texts, monkeypatch):
+    words = [t.split() for t in texts if t and len(t.split()) > 40]
+    parts = [" ".join(w[5:37]) for w in words] + [" ".join(w[3:9] + ["other"] * 30) for w in words]
+    items = spark.createDataFrame(list(enumerate(parts)), "item_id long, text string")
+    each = decontamination.item_sets(items, "item_id", "text", 5).select("item_id", "item_h", "n_item", F.explode("shingles").alias("shingle"))
+    signed = decontamination.signatures(each, 5, 75)
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    pairs = {(r["doc_id"], r["item_id"]) for r in decontamination.candidates(own, signed, 5).collect()}
+    sets = [shingles(t) for t in texts]
+    touching = {(d, i) for i, p in enumerate(parts) for d, s in enumerate(sets) if shingles(p) & s}
+    holding = {(d, i) for d, i in touching if 100 * len(shingles(parts[i]) & sets[d]) >= 75 * len(shingles(parts[i]))}
+    assert holding <= pairs < touching  # the signature prunes pairs, and none that counts
+    sizes = {r["item_id"]: r["n"] for r in signed.groupBy("item_id").agg(F.count("s").alias("n")).collect()}
+    assert all(sizes[i] < len(shingles(p)) for i, p in enumerate(parts) if len(shingles(p)) > 8)
+    real = decontamination.signatures
+    monkeypatch.setattr(decontamination, "signatures", lambda each, k, percent: real(each, k, percent).where("item_id <> 3"))
+    assert {r["item_id"] for r in contained_items(docs, items).collect()} == {i for _, i in holding} - {3}  # what isn't found by it isn't in the result
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty, texts):
     items = spark.createDataFrame([(1, " ".join(texts[-1].split()[:30])), (None, texts[30])], "item_id long, text string")
     assert Counter((r["doc_id"], r["item_id"]) for r in contained_items(odd, items).collect()) == Counter([(3, 1), (5, 1), (None, None), (3, None), (3, None)])
