@@ -150,12 +150,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0] : off[-1]]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``most`` bytes of text, a row at least."""
+def slices(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES, most_rows: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``most`` bytes of text and ``most_rows`` rows at most (ranks in a block have 20 bits), a row at least."""
     off, _ = text_buffers(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, min(at + (1 << 19), int(np.searchsorted(off, off[at] + most, "right")) - 1))  # ranks in a block have 20 bits
+        end = max(at + 1, min(at + most_rows, int(np.searchsorted(off, off[at] + most, "right")) - 1))
         yield batch.slice(at, end - at)
         at = end
 

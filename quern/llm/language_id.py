@@ -24,6 +24,10 @@ MOST_ROWS = 12_000
 DIMENSIONS = 4096
 CENTROIDS = 4
 CHUNK_BYTES = 1 << 20
+#: Rows of a piece, as each has a dense vector while it is worked on.
+CHUNK_ROWS = 1024
+#: Parts of a language's rows, each cut to the sample by itself first.
+SALTS = 64
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -102,22 +106,26 @@ def languages(docs: DataFrame, *, parts: int = 4, part: int = 2, sample_rows: in
 
     Fitted on at most ``sample_rows`` documents of each language, fewer if that would make over ``most_rows`` in all
     (documented bounds; those of least hash are taken), never on those whose
-    ``crc32(doc_id) % parts`` is ``part``; every whole text is classified. ``lang_pred`` is a learnt language, or
-    ``und`` (score 0) if the text is null, has no letter, or nothing was learnt; ``score`` is the cosine with the
-    nearest centroid. Rows with a null language or id teach nothing; equal texts get equal answers, ties go to the
-    first language in order. Extra columns are ignored.
+    ``crc32(doc_id) % parts`` is ``part``; every whole text is classified, however long. ``lang_pred`` is a learnt
+    language, or ``und`` (score 0) if the text is null, has no letter, or nothing was learnt; ``score`` is the cosine
+    with the nearest centroid. Rows with a null language or id teach nothing; equal texts get equal answers, ties go to
+    the first language in order. An empty table gives an empty result. Extra columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = durable(known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample_rows))
+    # a language may hold most rows, so its parts are cut to the sample before they meet
+    first = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
+    salted = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    some = salted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_rows)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = durable(some.withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("doc_id", "lang", "rank"))
     each = max(1, most_rows // max(1, picked.select("lang").distinct().count()))
     few = picked.where(F.col("rank") <= each).select("doc_id").distinct()
     few = F.broadcast(few) if few.count() <= most_rows else few
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in slices(b, 1, CHUNK_BYTES):
+            for piece in slices(b, 1, CHUNK_BYTES, CHUNK_ROWS):
                 x = counts(*text_buffers(piece.column(1)))
                 rows = []
                 for r in x:
@@ -136,7 +144,7 @@ def languages(docs: DataFrame, *, parts: int = 4, part: int = 2, sample_rows: in
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for piece in slices(b, 1, CHUNK_BYTES):
+            for piece in slices(b, 1, CHUNK_BYTES, CHUNK_ROWS):
                 some = np.array([has_letter(t) for t in piece.column(1).to_pylist()], bool)
                 if model.langs:
                     l, s, far = model.nearest(counts(*text_buffers(piece.column(1))))

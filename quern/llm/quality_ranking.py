@@ -185,9 +185,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     """One row per document: ``doc_id, held_out, score, predicted``.
 
     Fitted on at most ``sample_rows`` labelled documents of each label (a documented bound), never on those whose
-    ``crc32(doc_id) % parts`` is ``part``; every whole text is scored. A null text is the empty text and is scored as
-    that; a null id is scored and never learnt from; labels that are null or neither 0 nor 1 are passed over; without
-    labels every score is under 0.5. Equal texts get equal scores. Extra columns are ignored.
+    ``crc32(doc_id) % parts`` is ``part``; every whole text is scored, however long. A null text is the empty text and
+    is scored as that; a null id is scored and never learnt from; labels that are null or neither 0 nor 1 are passed
+    over; without labels every score is under 0.5. Equal texts get equal scores, and a score of just 0.5 counts as 1.
+    Repeated rows each get a row; an empty table gives an empty result. Extra columns are ignored. The sample's texts
+    are found by one scan with a broadcast of its ids (twice ``sample_rows`` at most).
     """
     shared = _fitted(docs, labels, doc_id, text, ~held_out(F.col("doc_id"), parts, part), sample_rows)
 
@@ -203,7 +205,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that score 0.5 or more, whole rows and all columns; learnt from all labels (a bounded sample of them)."""
+    """The documents that score 0.5 or more, whole rows and all columns; learnt from all labels (a bounded sample of them).
+
+    Null texts are scored as empty ones and, if kept, stay null; null ids, repeated rows and extra columns (whatever their
+    names) are kept with their rows; an empty table gives an empty result.
+    """
     shared = _fitted(docs, labels, doc_id, text, F.lit(True), sample_rows)
     at = docs.columns.index(text)
 

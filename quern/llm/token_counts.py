@@ -11,6 +11,7 @@ token that crosses a boundary goes to sections by an explicit rule:
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -46,6 +47,18 @@ class Encoder:
         return np.concatenate([[0], end[:-1]]) if len(end) else end, end
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(raw: str, pattern: str) -> Encoder:
+    """The encoder of a worker, made once for all its tasks."""
+    key = hashlib.sha256((pattern + raw).encode()).hexdigest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder({base64.b64decode(k): v for k, v in json.loads(raw)}, pattern)
+    return _encoders[key]
+
+
 def attribute(start: np.ndarray, end: np.ndarray, cuts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each section, and how many of them cross a boundary; ``cuts``: where sections begin, from 0."""
     first = np.searchsorted(cuts, start, "right") - 1
@@ -84,8 +97,7 @@ def _counter(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rule: str,
     shared = docs.sparkSession.sparkContext.broadcast((json.dumps([[base64.b64encode(k).decode(), v] for k, v in ranks.items()]), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, pat = shared.value
-        encoder = Encoder({base64.b64decode(k): v for k, v in json.loads(raw)}, pat)
+        encoder = _encoder(*shared.value)
         for b in batches:
             for piece in slices(b, 1, CHUNK_BYTES):
                 ids, texts, out, count = piece.column(0).to_pylist(), piece.column(1).fill_null("").to_pylist(), [], []
@@ -108,7 +120,7 @@ def section_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_i
 
     The tokens of a document's sections add up to those of its whole text. A null or empty text is one empty section
     without tokens; a null id is kept; equal rows give equal rows; an empty table an empty result. Extra columns are
-    ignored; texts are never cut.
+    ignored; texts are never cut, however long.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return own.mapInArrow(_counter(docs, ranks, pattern, rule, 0), RESULT_SQL)

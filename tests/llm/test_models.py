@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -10,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import bpe_transducer as B
-from quern.llm.language_id import languages
+from quern.llm.language_id import counts, languages
+from quern.llm.language_id import fit as fit_centroids
 from quern.llm.lm_scoring import LogBilinear, lm_scores
-from quern.llm.quality_ranking import features, fit, keep_good, quality_scores
+from quern.llm.quality_ranking import _CLASS, features, fit, keep_good, quality_scores
 from quern.llm.quality_ranking import text_buffers
 
 SF = "/root/testdata/sf0.01"
@@ -89,6 +91,128 @@ def test_languages_on_held_out_documents(spark):
     assert hit[0] >= 0.97 and 0 <= hit[1] <= hit[2] <= 1
 
 
+def brute_ngrams(text):
+    """Counts of folded 2- to 4-grams of bytes that aren't blank at both ends, by dimension."""
+    b = [c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (text or "").encode()]
+    out = Counter()
+    for k in (2, 3, 4):
+        for i in range(len(b) - k + 1):
+            h = int.from_bytes(bytes(b[i : i + k]), "big")
+            if b[i] != 32 or b[i + k - 1] != 32:
+                out[(h * 0x9E3779B97F4A7C15 % 2**64) >> 52] += 1
+    return out
+
+
+def brute_cosines(text, model):
+    v = {d: math.log1p(n) * float(model.idf[d]) for d, n in brute_ngrams(text).items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    return [sum(x / norm * float(c[d]) for d, x in v.items()) for c in model.centre]
+
+
+def test_languages_equal_brute_force(spark, texts):
+    """Every prediction against centroids taken from the same training rows and vectors made one n-gram at a time."""
+    rng = random.Random(1)
+    words = {"aa": ["ka", "lo", "mi", "ne"], "bb": ["sht", "örl", "grum", "zak"], "cc": ["oui", "bleu", "çah", "eux"]}
+    rows = [(i, " ".join(rng.choice(words[l]) for _ in range(rng.randint(1, 30))), l) for i, l in enumerate(sorted(words) * 20)]
+    rows += [(100, None, "aa"), (101, "12 !", "bb"), (102, "KA lo " * 3000, None), (103, "x", None)]
+    train = sorted((l, t) for i, t, l in rows if l and t and any(c.isalpha() for c in t) and zlib.crc32(str(i).encode()) % 4 != 2)
+    import pyarrow as pa
+
+    c = counts(*text_buffers(pa.array([t for _, t in train])))
+    for row, (_, t) in zip(c, train, strict=True):
+        assert {int(d): int(row[d]) for d in np.flatnonzero(row)} == dict(brute_ngrams(t))
+    order = sorted(range(len(train)), key=lambda i: (train[i][0], _sparse(c[i])))
+    model = fit_centroids(c[order], [train[i][0] for i in order])
+    got = {r["doc_id"]: r for r in languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, t, _ in rows:
+        r = got[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not t or not any(ch.isalpha() for ch in t):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cos = brute_cosines(t, model)
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert r["lang_pred"] == model.langs[model.of[best]] and r["score"] == pytest.approx(min(max(cos[best], 0), 1), abs=1e-4)
+
+
+def _sparse(row):
+    at = np.flatnonzero(row)
+    return at.astype(np.int16).tobytes() + row[at].astype(np.float32).tobytes()
+
+
+def test_language_sample_is_bounded_and_the_same_however_rows_lie(spark):
+    rows = [(i, f"ka lo {i % 7} mi" if i % 3 else "sht grum", "aa" if i % 3 else "bb") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (sorted(tuple(r) for r in languages(df.repartition(n), sample_rows=10).collect()) for n in (1, 7))
+    assert a == b and {r[2] for r in a} == {"aa", "bb"}
+
+
+def brute_features(text):
+    """Shares of byte classes and of neighbouring ones, one byte at a time, and counts of words and lines."""
+    b = (text or "").encode()
+    cls = [int(_CLASS[c]) for c in b]
+    words, lines = b.split(), [x for x in b.split(b"\n") if x]
+    one = [cls.count(k) / max(len(b), 1) for k in range(14)]
+    pairs = Counter(zip(cls, cls[1:], strict=False))
+    two = [pairs[i, j] / max(len(b) - 1, 1) for i in range(14) for j in range(14)]
+    low = [w.lower() for w in words]
+    return one, two, len(words), len(set(low)) / max(len(words), 1), len(lines), sum(map(len, words)) / max(len(words), 1) / 10
+
+
+def test_quality_features_equal_brute_force(texts):
+    import pyarrow as pa
+
+    own = [t for t in [*texts, "A b\nA b\n!? <x> é"]]
+    x = features(*text_buffers(pa.array(own)))
+    for row, t in zip(x, own, strict=True):
+        one, two, n_words, distinct, n_lines, mean = brute_features(t)
+        assert row[:14] == pytest.approx(one) and row[14 : 14 + 196] == pytest.approx(two)
+        tail = row[14 + 196 :]
+        assert tail[1] == pytest.approx(math.log1p(n_words)) and tail[2] == pytest.approx(mean) and tail[6] == pytest.approx(distinct)
+        assert tail[12] == pytest.approx(math.log1p(max(n_lines, 1))) and tail[13] == float(not (t or ""))
+
+
+def test_quality_ranking_equals_brute_force(spark):
+    """The pair loss of the learnt weights against small changes, the cut against every cut, and the query against the model."""
+    rng = random.Random(2)
+    good, bad = (lambda: " ".join(rng.choice(["river", "stone", "walks", "under"]) for _ in range(30)) + "."), (lambda: " ".join(rng.choice(["!!", "x1", "$$", "BUY"]) for _ in range(30)))
+    rows = [(i, good() if i % 2 else bad()) for i in range(120)]
+    labels = [(i, i % 2 if i % 11 else 1 - i % 2) for i, _ in rows]
+    train = [(i, t, q) for (i, t), (_, q) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 3 != 1]
+    import pyarrow as pa
+
+    x = features(*text_buffers(pa.array([t for _, t, _ in train]))).astype(np.float32)
+    order = sorted(range(len(train)), key=lambda i: (train[i][2], x[i].tobytes()))
+    x, y = x[order].astype(float), np.array([train[i][2] for i in order])
+    model = fit(x, y)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+
+    def loss(w):
+        s = z @ w
+        return float(np.mean([math.log1p(math.exp(-(s[i] - s[j]))) for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)]))
+
+    noise = np.random.default_rng(0)
+    assert loss(model.w) < loss(np.zeros_like(model.w)) and np.mean([loss(model.w) <= loss(model.w + noise.normal(0, 0.3, len(model.w))) for _ in range(20)]) >= 0.9
+    s = model.worth(x)
+    right = lambda cut: (s[y == 1] >= cut).mean() + (s[y == 0] < cut).mean()
+    assert right(model.cut) == pytest.approx(max(right(c) for c in [*s, s.max() + 1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in quality_scores(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    for i, t in rows:
+        v = np.clip((features(*text_buffers(pa.array([t])))[0] - model.mean) / model.scale, -8, 8)
+        want = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(v, model.w, strict=True)) - model.cut) / model.width))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6) and got[i]["predicted"] == int(want >= 0.5)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_very_long_texts(spark):
+    long = "ka lo mi " * 120_000
+    df = spark.createDataFrame([(1, long, "aa"), (3, "sht grum örl", "bb"), (4, "ka lo", "aa"), (5, long, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in languages(df).collect()}[5] == "aa"
+    scores = {r["doc_id"]: r["score"] for r in quality_scores(df, spark.createDataFrame([(1, 1), (3, 0), (4, 0)], "doc_id long, quality int")).collect()}
+    assert scores[1] == scores[5] and len(scores) == 4
+
+
 def test_languages_of_odd_rows(spark, odd, empty):
     out = languages(odd).collect()
     assert len(out) == odd.count()
@@ -151,6 +275,19 @@ def _language(a, s):
     return out
 
 
+def test_lexicon_holds_frequent_words_of_the_corpus(spark, pair):
+    plain = B.WordBpe(pair[0])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["zorblaxian zorblaxian quix", "Zorblaxian once", None, "onlyoncehere " + "y" * 30_000])], "doc_id long, text string")
+    words = B.frequent_words(df, plain)
+    assert words[0] == "zorblaxian" and "onlyoncehere" not in words
+    bpe = B.WordBpe(pair[0], plain.with_words(words))
+    raw = b"zorblaxian"
+    assert plain.lexicon.ranks([raw])[0] < 0 <= bpe.lexicon.ranks([raw])[0]
+    r = bpe.lexicon.ranks([raw])[0]
+    at, ids = bpe.merges.encode([raw])
+    assert len(ids) > 1 and list(bpe.lexicon.ids[bpe.lexicon.at[r] : bpe.lexicon.at[r + 1]]) == list(ids)
+
+
 def test_merges_of_many_words_equal_one_by_one(pair):
     m = B.WordBpe(pair[0]).merges
     words = [b"aaaaaaa", b"banana", b"x", b"mississippi", "über".encode(), b"aaaa", b"thethethe"]
