@@ -2,17 +2,15 @@
 
 Several operators must compare every document with every other one by hash.  Shuffling one row
 per hash would cost tens of bytes for each, so they send *blobs*: a task packs its documents into
-blocks of bounded size, sorts the hashes of a block and sends one compressed array per
-(block, bucket).  A bucket's reducer answers each block by position in what the block sent.
-A block or a bucket is bounded by bytes, never by a key, so no hot key makes one of them large:
-a hash that a block holds a thousand times is sent once.
+blocks of bounded size, sorts the hashes of a block and sends compressed arrays of them (:mod:`quern.llm.exchange`).
+A bucket's reducer answers each block by position in what the block sent.  A block is bounded by bytes, and a hash
+that a block holds a thousand times is sent once.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.order import kept
 from quern.sources.corpus import spread
 
 BLOCK_BYTES = 8 << 20
@@ -32,18 +31,9 @@ _GOLD = U64(0xBF58476D1CE4E5B9)
 _MIX2 = U64(0x94D049BB133111EB)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's ``spark.checkpoint.dir`` holds; where none is set (tests), a folder of our own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        set_dir = spark.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="quern-checkpoint-"))
-
-
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return kept(df)
 
 
 # ---------------------------------------------------------------- hashes
@@ -170,8 +160,8 @@ class Block:
 
     NO_ID = np.iinfo(np.int64).max
 
-    def __init__(self, ids: np.ndarray, has_id: np.ndarray, offsets: np.ndarray, data: np.ndarray):
-        self.ids, self.has_id, self.offsets, self.data = ids, has_id, offsets, data
+    def __init__(self, ids: np.ndarray, has_id: np.ndarray, has_text: np.ndarray, offsets: np.ndarray, data: np.ndarray):
+        self.ids, self.has_id, self.has_text, self.offsets, self.data = ids, has_id, has_text, offsets, data
 
     @classmethod
     def of(cls, ids: pa.Array, text: pa.Array) -> Block:
@@ -179,17 +169,23 @@ class Block:
         values = np.where(has, np.asarray(ids.cast(pa.int64()).fill_null(cls.NO_ID)), cls.NO_ID).astype(np.int64)
         order = np.argsort(values, kind="stable")
         off, data = text_buffers(text.take(pa.array(order)) if len(order) else text)
-        block = cls(values[order], has[order], off, data)
+        block = cls(values[order], has[order], np.asarray(text.is_valid())[order], off, data)
         block.order = order
         return block
 
     def blob(self) -> bytes:
-        return pack(self.ids, self.has_id, self.offsets, self.data, level=5)
+        return pack(self.ids, self.has_id, self.has_text, self.offsets, self.data, level=5)
 
     @classmethod
     def from_blob(cls, blob: bytes) -> Block:
         return cls(*unpack(blob))
 
+    def texts(self, offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+        """Texts of the block's documents, null where they were."""
+        valid = np.packbits(self.has_text, bitorder="little")
+        binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.ids), [pa.py_buffer(valid), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        return binary.cast(pa.large_string()).cast(pa.string())
+
 
 BLOCKS = "block long, n_bytes long, payload binary, others binary"
 

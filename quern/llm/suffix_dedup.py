@@ -12,22 +12,29 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
 3. Those fragments are sorted by what follows the anchor: a mergesort whose comparisons find the
    common extension by binary search over prefix polynomial hashes (logarithmic, not linear in the
    length).  Neighbours' common extensions to the right, and prefix hashes to the left, give the
-   windows that agree; the bytes of each pair are then compared, so a collision removes nothing.
+   windows that agree; the bytes of each pair are then compared, so a collision in the sort removes nothing.
 4. Each block unites its spans and cuts them out.
 
-Anchors and fragments are sent as 48 and 40 bits of hash, and only equal both are taken as equal without a
-look at the bytes.  Data moved: about 11 bytes for each 16 bytes of text in (1), compressed text twice, and the
+*Hot grams.*  A string that stands in very many documents, each time among other words, would be the anchor of as many
+different fragments, all in one bucket.  Such grams are found beforehand on a sample of whole documents (of equal
+texts all or none) and rank after all others, so they are anchors only of windows that have nothing else: those lie
+within a common passage, and their fragments are the same everywhere.  Which grams count as hot changes no result.
+
+*What hashes decide.*  Whole equal fragments are taken as equal by 104 bits of hash (48 of the anchor, 56 of the
+fragment) without comparing their bytes; at 100 TB, with some 6e12 fragments, two different ones agree with a chance
+of about one in a million.  Data moved: about 13 bytes for each 16 bytes of text in (1), compressed text twice, and the
 fragments at the edges of copies.  No step holds more than a block or a bucket.
 
 Nulls: a null text is the empty text; a document with a null id counts as later than all others and
 loses what any document with an id holds.  Documents with equal ids don't remove from each other.
-An empty table gives an empty result; texts under ``length`` bytes are kept whole; extra columns
-are ignored.
+An empty table gives an empty result; texts under ``length`` bytes are kept whole, very long ones are worked on in
+overlapping stretches; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,18 +42,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, Block, PrefixHash, batch, bucket_count, carried_schema, documents, durable, mix, pack, read_others, restored, rows, table, to_blocks, unpack
+from quern.llm.blocks import BLOCK_BYTES, U64, Block, PrefixHash, bucket_count, carried_schema, documents, durable, mix, pack, read_others, restored, rows, table, to_blocks, unpack
+from quern.llm.exchange import ANSWER, FAN, MESSAGES, MESSAGES_SQL, answers_at, bounds_of, bucket_of, exchanged, stretches
 
 LENGTH = 50
 GRAM = 20
 _PIECE = 1 << 19
 _POS_BITS = U64(24)
 _POS_MASK = U64((1 << 24) - 1)
-_F_MASK = U64((1 << 40) - 1)
+_F_MASK = U64((1 << 56) - 1)
 _A_CUT = U64(16)
-
-MESSAGES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-MESSAGES_SQL = "bucket long, block long, kind int, payload binary"
+_HOT = U64(1 << 63)
+#: A gram is hot if its different fragments would fill this share of a bucket; of them the sample should hold so many.
+HOT_SHARE, HOT_HITS = 1 / 8, 64
+#: Most hot grams (they are broadcast), and rounds in which more are looked for once those found give way to others.
+MOST_HOT, HOT_ROUNDS = 1 << 16, 8
+#: Kinds of messages beside those of the exchange: the block itself, fragments' texts, spans.
+TEXT, FRAGMENTS, SPANS = -1, 3, 4
 
 
 # ---------------------------------------------------------------- runs
@@ -67,10 +79,29 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.nda
         i = j
 
 
+class Hot:
+    """A set of gram hashes, tested by a table of their first bits before the set itself."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.sort(grams)
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(self.grams >> U64(44)).astype(np.int64)] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.some[(h >> U64(44)).astype(np.int64)])
+        found = self.grams[np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)] == h[at]
+        return at[found]
+
+
+NONE_HOT = Hot(np.zeros(0, U64))
+
+
 class Runs:
     """Runs of a block: anchor hash, fragment hash, document, first and last window start, anchor place."""
 
-    def __init__(self, block: Block, length: int, gram: int):
+    def __init__(self, block: Block, length: int, gram: int, hot: Hot = NONE_HOT):
         w = length - gram + 1
         found = []
         for lo, hi, bounds in _pieces(block.offsets, length):
@@ -79,7 +110,8 @@ class Runs:
                 continue
             ph = PrefixHash(block.data[lo:hi])
             hk = mix((ph.pre[gram:] - ph.pre[:-gram]) * ph.inv[: n - gram + 1])
-            v = (hk & ~_POS_MASK) | np.arange(len(hk), dtype=U64)
+            v = ((hk >> U64(1)) & ~_POS_MASK) | np.arange(len(hk), dtype=U64)
+            v[hot.places(hk)] |= _HOT
             width = 1
             while 2 * width <= w:
                 v = np.minimum(v[:-width], v[width:])
@@ -97,18 +129,19 @@ class Runs:
             anchor = m[s0].astype(np.int64)
             size = s1 + length - s0
             f = mix(ph.of(s0, size) + U64(0x632BE59BD9B4E019) * (size * 4096 + anchor - s0).astype(U64)) & _F_MASK
-            found.append((mix(hk[anchor]) >> _A_CUT, f, s0 + lo, s1 + lo, anchor + lo))
+            found.append((hk[anchor], f, s0 + lo, s1 + lo, anchor + lo))
         if found:
-            self.a, self.f, self.s0, self.s1, self.at = (np.concatenate(x) for x in zip(*found, strict=True))
+            self.gram, self.f, self.s0, self.s1, self.at = (np.concatenate(x) for x in zip(*found, strict=True))
         else:
-            self.a = self.f = np.zeros(0, U64)
+            self.gram = self.f = np.zeros(0, U64)
             self.s0 = self.s1 = self.at = np.zeros(0, np.int64)
+        self.a = mix(self.gram) >> _A_CUT
         self.doc = np.searchsorted(block.offsets, self.s0, "right") - 1
         self.ids = block.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
 
-    def distinct(self, buckets: int) -> None:
+    def distinct(self, buckets: int, fan: int = FAN) -> None:
         """Orders by (bucket, anchor, fragment, document); ``first`` are the places where a new (anchor, fragment) begins."""
-        bucket = (self.a % U64(buckets)).astype(np.int32)
+        bucket = bucket_of(self.a, buckets)
         self.order = np.lexsort((self.f, self.a, bucket))
         a, f = self.a[self.order], self.f[self.order]
         new = np.ones(len(a), bool)
@@ -119,35 +152,70 @@ class Runs:
         last = np.append(self.first[1:], len(a)) - 1
         self.ua, self.uf, self.least = a[self.first], f[self.first], ids[self.first]
         self.several = ids[last] != self.least if len(ids) else np.zeros(0, bool)
-        self.bounds = np.searchsorted(bucket[self.order][self.first], np.arange(buckets + 1))
+        self.bounds = bounds_of(self.ua, buckets, fan)
+
 
+def _sampled(modulo: int):
+    """Blocks of the whole documents whose text falls into the sample."""
 
-def _send_runs(length: int, gram: int, buckets: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows(b):
-                r = Runs(Block.from_blob(row["payload"]), length, gram)
-                r.distinct(buckets)
-                found = []
-                for k in range(buckets):
-                    i, j = r.bounds[k], r.bounds[k + 1]
-                    if i < j:
-                        a = r.ua[i:j]
-                        found.append((k, row["block"], 0, pack(np.diff(a, prepend=U64(0)), r.uf[i:j], r.least[i:j], r.several[i:j])))
-                yield batch(MESSAGES, found)
-
-    return send
-
-
-def _answer_runs(key: tuple, got: pa.Table) -> pa.Table:
-    """For each block: which fragments have a least document to tell, that document, and which fragments' text is asked for."""
-    blocks, sizes, parts = [], [], []
-    for row in rows(got):
-        d, f, least, several = unpack(row["payload"])
-        blocks.append(row["block"])
-        sizes.append(len(d))
-        parts.append((np.cumsum(d, dtype=U64), f, least, several))
-    a, f, least, several = (np.concatenate(x) for x in zip(*parts, strict=True))
+                block = Block.from_blob(row["payload"])
+                o, data = block.offsets.tolist(), block.data
+                take = np.array([zlib.crc32(data[i:j]) % modulo == 0 for i, j in zip(o[:-1], o[1:], strict=True)], bool)
+                size = np.diff(block.offsets)[take]
+                own = Block(block.ids[take], block.has_id[take], block.has_text[take], np.concatenate([[0], np.cumsum(size)]), data[np.repeat(take, np.diff(block.offsets))])
+                yield pa.RecordBatch.from_arrays([pa.array([own.blob()], pa.binary())], ["payload"])
+
+    return run
+
+
+def _grams(length: int, gram: int, hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in rows(b):
+                r = Runs(Block.from_blob(row["payload"]), length, gram, hot.value)
+                each = np.unique(np.stack([r.gram, r.f], axis=1), axis=0) if len(r.f) else np.zeros((0, 2), U64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(each[:, i]).view(np.int64)) for i in (0, 1)], ["gram", "f"])
+
+    return run
+
+
+def hot_grams(blocks: DataFrame, length: int, gram: int, n_bytes: int, buckets: int) -> Hot:
+    """Grams that would be the anchors of so many different fragments that they weigh on a bucket, as a sample tells.
+
+    The rarer the sample, the larger a bucket is, so that a hot gram has about ``HOT_HITS`` fragments in it. What
+    comes back to the driver is bounded by ``MOST_HOT``.
+    """
+    most = max(HOT_HITS, int(HOT_SHARE * n_bytes / (length - gram + 2) * 2 / buckets))
+    modulo = max(1, most // HOT_HITS)
+    sample = blocks.select("payload") if modulo == 1 else durable(blocks.select("payload").mapInArrow(_sampled(modulo), "payload binary"))
+    found = np.zeros(0, U64)
+    sc = blocks.sparkSession.sparkContext
+    for _ in range(HOT_ROUNDS):
+        each = sample.mapInArrow(_grams(length, gram, sc.broadcast(Hot(found))), "gram long, f long").distinct()
+        many = each.groupBy("gram").count().where(F.col("count") >= most // modulo).orderBy(F.desc("count"), "gram").limit(MOST_HOT).collect()
+        new = np.setdiff1d(np.array([r["gram"] for r in many], np.int64).view(U64), found)[: MOST_HOT - len(found)]
+        if not len(new):
+            break
+        found = np.concatenate([found, new])
+    return Hot(found)
+
+
+def _keys_of(length: int, gram: int, buckets: int, fan: int, hot):
+    def keys(b: pa.RecordBatch):
+        for row in rows(b):
+            r = Runs(Block.from_blob(row["payload"]), length, gram, hot.value)
+            r.distinct(buckets, fan)
+            yield row["block"], r.ua, [r.uf, r.least, r.several]
+
+    return keys
+
+
+def _answer_runs(a: np.ndarray, values: list[np.ndarray]):
+    """Which fragments have a least document to tell, that document, and which fragments' text is asked for."""
+    f, least, several = values
     order = np.lexsort((f, a))
     a, f, l, s = a[order], f[order], least[order], several[order]
     new_a = np.ones(len(a), bool)
@@ -159,19 +227,11 @@ def _answer_runs(key: tuple, got: pa.Table) -> pa.Table:
     of_f = np.minimum.reduceat(l, ff)[gf]
     shared = (np.minimum.reduceat(l, fa) != np.maximum.reduceat(l, fa)) | np.logical_or.reduceat(s, fa)
     mixed = (shared & (np.add.reduceat(new_f.astype(np.int64), fa) > 1))[ga]
-    told = np.empty(len(a), bool)
-    told[order] = (of_f < l) | s
-    ask = np.empty(len(a), bool)
-    ask[order] = mixed & (l == of_f)
-    g = np.empty(len(a), np.int64)
-    g[order] = of_f
-    found, at = [], 0
-    for b, n in zip(blocks, sizes, strict=True):
-        t, q, x = told[at : at + n], ask[at : at + n], g[at : at + n]
-        if t.any() or q.any():
-            found.append((key[0].as_py(), b, 1, pack(np.packbits(t), np.packbits(q), x[t])))
-        at += n
-    return table(MESSAGES, found)
+    flags, g = np.empty(len(a), np.uint8), np.empty(len(a), np.int64)
+    told = (of_f < l) | s
+    flags[order] = told + 2 * (mixed & (l == of_f))
+    g[order] = np.where(told, of_f, 0)
+    return flags > 0, [flags, g], None
 
 
 # ---------------------------------------------------------------- spans and fragments
@@ -189,41 +249,41 @@ def _cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def _mark_block(length: int, gram: int, buckets: int):
+def _mark_block(length: int, gram: int, buckets: int, fan: int, hot):
     def mark(key: tuple, got: pa.Table) -> pa.Table:
         block, answers = None, {}
         for row in rows(got):
-            if row["kind"] < 0:
+            if row["kind"] == TEXT:
                 block = Block.from_blob(row["payload"])
             else:
                 answers[row["bucket"]] = row["payload"]
         if block is None or not answers:
             return table(MESSAGES, [])
-        r = Runs(block, length, gram)
-        r.distinct(buckets)
+        r = Runs(block, length, gram, hot.value)
+        r.distinct(buckets, fan)
+        at, (flags, of) = answers_at(r.bounds, answers)
         told, g, found = np.zeros(len(r.first), bool), np.full(len(r.first), Block.NO_ID), []
+        own = (flags & 1) > 0
+        told[at[own]] = True
+        g[at[own]] = of[own]
+        asked = np.sort(at[(flags & 2) > 0])
         often = np.add.reduceat((r.ids[r.order] == r.least[r.group]).astype(np.int64), r.first)  # places in the least document, which stand first
-        for k, blob in answers.items():
-            i, j = int(r.bounds[k]), int(r.bounds[k + 1])
-            t, q, x = unpack(blob)
-            t, q = np.unpackbits(t, count=j - i).astype(bool), np.unpackbits(q, count=j - i).astype(bool)
-            told[i:j] = t
-            g[i:j][t] = x
-            if q.any():
-                u = i + np.flatnonzero(q)
-                run = r.order[r.first[u]]
-                s0, size = r.s0[run], r.s1[run] + length - r.s0[run]
-                start = np.concatenate([[0], np.cumsum(size)[:-1]])
-                text = block.data[np.repeat(s0 - start, size) + np.arange(size.sum())]
-                n = often[u]
-                places = r.s0[r.order[np.repeat(r.first[u] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
-                found.append((k, key[0].as_py(), 2, pack(r.ua[u], n.astype(np.int32), places, size.astype(np.int32), (r.at[run] - s0).astype(np.int32), r.ids[run], text)))
+        bucket = bucket_of(r.ua[asked], buckets)
+        for i, j in stretches(bucket):
+            u = asked[i:j]
+            run = r.order[r.first[u]]
+            s0, size = r.s0[run], r.s1[run] + length - r.s0[run]
+            start = np.cumsum(size) - size
+            text = block.data[np.repeat(s0 - start, size) + np.arange(size.sum())]
+            n = often[u]
+            places = r.s0[r.order[np.repeat(r.first[u] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+            found.append((int(bucket[i]), key[0].as_py(), FRAGMENTS, pack(r.ua[u], n.astype(np.int32), places, size.astype(np.int32), (r.at[run] - s0).astype(np.int32), r.ids[run], text)))
         u = r.group
         dup = told[u] & (g[u] < r.ids[r.order])
         run = r.order[dup]
         if len(run):
             covered = _cover(len(block.data), r.s0[run], r.s1[run] + length)
-            found.append((-1, key[0].as_py(), 3, pack(*_spans(covered))))
+            found.append((-1, key[0].as_py(), SPANS, pack(*_spans(covered))))
         return table(MESSAGES, found)
 
     return mark
@@ -304,7 +364,9 @@ def _answer_fragments(length: int, gram: int):
         n = n.astype(np.int64)
         place = np.cumsum(n) - n
         start = np.cumsum(size.astype(np.int64)) - size
-        phase = np.arange(len(text), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
+        phase = np.ones(len(text), np.int32)  # each byte's place in its fragment
+        phase[start] = 1 - np.append(1, size[:-1])
+        phase = np.cumsum(phase, dtype=np.int32, out=phase)
         by = np.argsort(a, kind="stable")
         a, n, place, size, off, ids, block, start = (x[by] for x in (a, n, place, size, off, ids, block, start))
         so = SuffixOrder(text, a, start + off, size - off, length, phase)
@@ -349,11 +411,11 @@ def _answer_fragments(length: int, gram: int):
         b, s, e = np.repeat(block[hit], n), s0 + np.repeat(off[hit] - most[hit], n), s0 + np.repeat(off[hit] - least[hit] + length, n)
         order = np.lexsort((s, b))
         b, s, e = b[order], s[order], e[order]
-        found, cut = [], np.flatnonzero(np.diff(b, prepend=b[0] - 1))
-        for i, j in zip(cut, np.append(cut[1:], len(b)), strict=True):
+        found = []
+        for i, j in stretches(b):
             x, y = s[i:j], np.maximum.accumulate(e[i:j])
             f = np.flatnonzero(np.append(True, x[1:] > y[:-1]))
-            found.append((-1, int(b[i]), 3, pack(x[f], np.append(y[f[1:] - 1], y[-1]))))
+            found.append((-1, int(b[i]), SPANS, pack(x[f], np.append(y[f[1:] - 1], y[-1]))))
         return table(MESSAGES, found)
 
     return answer
@@ -367,7 +429,7 @@ def _gathered(got: pa.Table) -> tuple[Block | None, np.ndarray, bytes | None]:
     """A block, which of its bytes go, and its other columns."""
     block, others, spans = None, None, []
     for row in rows(got):
-        if row["kind"] < 0:
+        if row["kind"] == TEXT:
             block, others = Block.from_blob(row["payload"]), row["others"]
         else:
             spans.append(unpack(row["payload"]))
@@ -398,41 +460,40 @@ def _cut_block(key: tuple, got: pa.Table) -> pa.Table:
         gone = np.repeat(whole, np.diff(np.append(first, len(gone))))
     kept = np.concatenate([[0], np.cumsum(~gone)])[block.offsets]
     data = block.data[~gone]
-    n = len(block.ids)
-    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data)])
-    columns = [pa.array(block.ids, mask=~block.has_id), text.cast(pa.large_string()).cast(pa.string()), *(c.combine_chunks() for c in others.columns)]
+    columns = [pa.array(block.ids, mask=~block.has_id), block.texts(kept, data), *(c.combine_chunks() for c in others.columns)]
     return pa.Table.from_arrays(columns, ["doc_id", "text", *others.schema.names])
 
 
-def _resolved(blocks: DataFrame, length: int, gram: int) -> DataFrame:
+def _resolved(blocks: DataFrame, length: int, gram: int, fan: int) -> DataFrame:
     """Rows (``block, kind, payload, others``) of each block and of the spans that go."""
     if not 0 < gram < length:
         raise ValueError("gram must lie between 0 and length")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = bucket_count(total)
-    sent = blocks.mapInArrow(_send_runs(length, gram, buckets), MESSAGES_SQL)
-    told = sent.groupBy("bucket").applyInArrow(_answer_runs, MESSAGES_SQL)
-    texts = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(-1).alias("kind"), "payload")
-    marked = durable(texts.unionByName(told).groupBy("block").applyInArrow(_mark_block(length, gram, buckets), MESSAGES_SQL))
-    edges = marked.where("kind = 2").groupBy("bucket").applyInArrow(_answer_fragments(length, gram), MESSAGES_SQL)
-    spans = marked.where("kind = 3").unionByName(edges).select("block", "kind", "payload", F.lit(None).cast("binary").alias("others"))
-    return blocks.select("block", F.lit(-1).alias("kind"), "payload", "others").unionByName(spans)
+    hot = blocks.sparkSession.sparkContext.broadcast(hot_grams(blocks, length, gram, total, buckets))
+    told = exchanged(blocks, _keys_of(length, gram, buckets, fan, hot), _answer_runs, buckets, fan)
+    texts = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(TEXT).alias("kind"), "payload")
+    marked = durable(texts.unionByName(told.where(F.col("kind") == ANSWER)).groupBy("block").applyInArrow(_mark_block(length, gram, buckets, fan, hot), MESSAGES_SQL))
+    edges = marked.where(F.col("kind") == FRAGMENTS).groupBy("bucket").applyInArrow(_answer_fragments(length, gram), MESSAGES_SQL)
+    spans = marked.where(F.col("kind") == SPANS).unionByName(edges).select("block", "kind", "payload", F.lit(None).cast("binary").alias("others"))
+    return blocks.select("block", F.lit(TEXT).alias("kind"), "payload", "others").unionByName(spans)
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """Per document: ``n_bytes, n_removed, n_spans, kept_sha256`` and the removed spans (byte offsets).
 
-    ``gram`` (under ``length``) sets how dense anchors are: about one in ``(length - gram + 2) / 2`` bytes.
+    ``gram`` (under ``length``) sets how dense anchors are: about one in ``(length - gram + 2) / 2`` bytes; ``fan``
+    is the most messages a block sends (:mod:`quern.llm.exchange`).
     """
-    return _resolved(to_blocks(docs, doc_id, text), length, gram).groupBy("block").applyInArrow(_describe_block, RESULT_SQL)
+    return _resolved(to_blocks(docs, doc_id, text, block_bytes), length, gram, fan).groupBy("block").applyInArrow(_describe_block, RESULT_SQL)
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The documents with repeated passages cut out of their text; rows and all other columns stay, null texts come back empty.
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
+    """The documents with repeated passages cut out of their text; rows, null texts and all other columns stay.
 
     Characters go as a whole: one of which only some bytes are repeated stays.
     """
-    out = _resolved(to_blocks(docs, doc_id, text, carry=True), length, gram).groupBy("block").applyInArrow(_cut_block, carried_schema(docs, doc_id, text))
+    out = _resolved(to_blocks(docs, doc_id, text, block_bytes, carry=True), length, gram, fan).groupBy("block").applyInArrow(_cut_block, carried_schema(docs, doc_id, text))
     return restored(out, docs, doc_id, text)
 
 

@@ -2,12 +2,13 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from quern.llm import ngram_join as N
 from quern.llm import suffix_dedup as S
 from quern.llm.blocks import Block, pack, unpack
 from quern.llm.ngram_join import drop_near_duplicates, ngram_join
@@ -45,9 +46,9 @@ def expected(rows, length=50):
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-@pytest.mark.parametrize(("length", "gram"), [(50, 20), (50, 7), (20, 11)])
-def test_suffix_dedup_equals_brute_force(docs, texts, length, gram):
-    got = sorted((tuple(r) for r in S.suffix_dedup(docs, length=length, gram=gram).select(COLUMNS).collect()), key=str)
+@pytest.mark.parametrize(("length", "gram", "more"), [(50, 20, {}), (50, 7, {}), (20, 11, {}), (50, 20, {"fan": 4, "block_bytes": 5000})])
+def test_suffix_dedup_equals_brute_force(docs, texts, length, gram, more):
+    got = sorted((tuple(r) for r in S.suffix_dedup(docs, length=length, gram=gram, **more).select(COLUMNS).collect()), key=str)
     assert got == expected(list(enumerate(texts)), length)
 
 
@@ -71,6 +72,33 @@ def test_every_place_of_a_fragment_within_its_document_goes(spark):
     assert sorted((tuple(r) for r in S.suffix_dedup(df).select(COLUMNS).collect()), key=str) == expected(rows)
 
 
+@pytest.mark.parametrize("hits", [64, 8])
+def test_a_string_of_all_documents_fills_no_bucket(spark, monkeypatch, hits):
+    """One string of 20 and one of 40 bytes in every document, each time among other words."""
+    from quern.llm.blocks import to_blocks
+    from quern.llm.exchange import scattered
+
+    monkeypatch.setattr(S, "HOT_HITS", hits)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    common, longer = text(20), text(40)
+    rows = [(i, text(100) + common + text(60) + longer + text(80)) for i in range(1500)] + [(9000, None), (9001, ""), (9002, longer + common)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    blocks = to_blocks(df, "doc_id", "text", 50_000)
+    total = sum(len((t or "").encode()) for _, t in rows)
+    hot = S.hot_grams(blocks, 50, 20, total, 16)
+
+    def largest(h):
+        sent = scattered(blocks, S._keys_of(50, 20, 16, 4096, spark.sparkContext.broadcast(h)), 16).collect()
+        size = Counter()
+        for r in sent:
+            size[r["bucket"]] += len(unpack(r["payload"])[0])
+        return max(size.values()) / sorted(size.values())[len(size) // 2]
+
+    assert len(hot.grams) and largest(hot) < 2 < largest(S.NONE_HOT)
+    assert sorted((tuple(r) for r in S.suffix_dedup(df).select(COLUMNS).collect()), key=str) == expected(rows)
+
+
 def test_cut_repeats_keeps_rows_columns_and_characters(docs, odd, empty, texts):
     cut = {r["doc_id"]: r["text"] for r in S.cut_repeats(docs).collect()}
     for (i, t), c in zip(enumerate(texts), brute_spans(list(enumerate(texts))), strict=True):
@@ -79,7 +107,7 @@ def test_cut_repeats_keeps_rows_columns_and_characters(docs, odd, empty, texts):
             n = len(ch.encode())
             want += "" if c[at : at + n].all() else ch
             at += n
-        assert cut[i] == want
+        assert cut[i] == (None if t is None else want)
     out = S.cut_repeats(odd)
     assert out.schema.simpleString() == odd.schema.simpleString()
     assert out.count() == odd.count() and all(r[c] == i for r in out.collect() for i, c in enumerate(CLASHING))
@@ -152,7 +180,10 @@ def brute_components(rows, percent=75):
     return [(d, len(sets[i]), (min(members[find(i)], default=None) if sets[i] else d)) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"big": 40, "group_tokens": 150}])
+LIMITS = [{}, {"big": 40, "group_tokens": 150}, {"big": 40, "group_tokens": 1000, "fan": 4, "block_bytes": 5000}, {"big": 400, "group_tokens": 60}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
 def test_ngram_join_equals_brute_force(docs, texts, limits):
     got = ngram_join(docs, **limits).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(list(enumerate(texts))))
@@ -168,7 +199,38 @@ def brute_links(rows, percent=75):
     return [(d, sum(linked(sets[i], sets[j]) for j in range(len(rows)) if j != i)) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"big": 40, "group_tokens": 150}, {"big": 40, "group_tokens": 1000}])
+def test_ngram_join_is_the_same_for_all_limits(docs):
+    own = [sorted(tuple(r) for r in ngram_join(docs, **limits).collect()) for limits in LIMITS[:3]]
+    assert own[0] == own[1] == own[2]
+
+
+def test_chains_lose_no_pair_that_passes_the_filters():
+    rng = np.random.default_rng(4)
+    h, u = rng.integers(0, 40, 600).astype(np.uint64), np.arange(600)
+    n = rng.integers(5, 80, 600)
+    left = np.maximum(1, (n * rng.uniform(0.5, 1, 600)).astype(int))
+    a, b = N.chained(h, u, n.astype(np.uint32), left.astype(np.uint32), 75)
+    parent = {}
+
+    def find(i):
+        while parent.get(i, i) != i:
+            i = parent[i]
+        return i
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        parent[find(x)] = find(y)
+    links = cut = 0
+    for i in range(600):
+        for j in range(i):
+            if h[i] == h[j]:
+                passes = 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]) and 175 * min(left[i], left[j]) >= 75 * (n[i] + n[j])
+                links += passes
+                cut += find(i) != find(j)
+                assert not passes or find(i) == find(j)
+    assert links and cut
+
+
+@pytest.mark.parametrize("limits", LIMITS)
 def test_ngram_join_counts_every_link(spark, texts, odd, limits):
     family = [" ".join(w if j != i else "other" for j, w in enumerate(f"w{k}" for k in range(80))) for i in range(20)]
     rows = list(enumerate([*texts, *family, family[0], family[7]]))
