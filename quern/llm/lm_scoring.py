@@ -1,15 +1,18 @@
 """Language-model scores of whole documents: a log-bilinear model learnt by noise-contrastive estimation.
 
-The model predicts a token's class from the two tokens before it: the sum of their vectors, each through a
-matrix of its place, times the class's vector plus its bias.  Classes are the most frequent training tokens and
-groups of all others by their ending.  Within a group a token has its smoothed unigram probability, so
-probabilities sum to 1 over all training tokens and one unknown one of each group.  Batched matrix products over all pairs of context classes give
-the normalising constants once, and each token's score is then exact.
+The model predicts a token from the three before it: the sum of their vectors, each through a matrix of its place, is
+compared with vectors of what may come.  Its outcomes are the 16,384 most frequent training tokens and 64 groups of all
+others by their ending; ordered by frequency they make up classes of 128, and a token's probability is that of its
+class times that within the class, both log-bilinear.  Within a group a token has its smoothed unigram probability, so
+probabilities sum to 1 over all training tokens and one unknown one of each group.  The normalising constants, over all
+classes and over all outcomes of the token's class, come from batched matrix products, so each token's score is exact.
 
 1. Blocks send their distinct tokens with training counts to buckets by hash; a bucket adds up the counts over
-   the whole corpus and answers each block.  Totals and the most frequent tokens come from the buckets.
-2. A start is learnt on a few blocks; from it every task learns on all training documents of its blocks, and
-   the tasks' parameters are averaged by weight, a slice of parameters at a time.
+   the whole corpus and answers each block.  Totals and the most frequent tokens are merged from the buckets in a tree.
+2. Training documents go, as outcomes, to groups by their content.  A start is learnt on one group; from it every
+   group learns on its distinct (context, token) with their counts, in an order of their own, and the groups' parameters
+   are averaged in a tree, each vector weighted by how often the group met it.  So neither the number of tasks nor the
+   order of rows has a say in what is learnt.
 3. Every document is scored, held out or not.
 
 Tokens are told apart by 64-bit hashes.
@@ -18,7 +21,7 @@ Tokens are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,25 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import U64, Block, batch, bucket_count, documents, durable, mix, pack, rows, table, to_blocks, unpack
+from quern.llm.blocks import BLOCK_BYTES, U64, Block, bucket_count, documents, durable, mix, pack, rows, table, text_buffers, to_blocks, unpack
+from quern.llm.exchange import ANSWER, FAN, SUMMARY, answers_at, bounds_of, bucket_of, exchanged, stretches
 from quern.llm.quality_ranking import held_out
 from quern.llm.words import word_hashes, word_spans
 
-CLASSES = 512
-DIMENSIONS = 24
-NOISE = 32
-START_BLOCKS = 2
-START_ROUNDS = 3
-SLICES = 8
+#: The model's size: frequent tokens, outcomes of a class, numbers of a vector, tokens of context.
+VOCABULARY = 16_384
+CLASS = 128
+DIMENSIONS = 32
+CONTEXT = 3
+#: Noise classes of a step, noise tokens of each class in it, examples of a step.
+NOISE, OWN_NOISE, STEP = 32, 16, 2048
+#: Text that a group learns on, and rounds over the one that gives the start.
+GROUP_BYTES = 16 << 20
+START_ROUNDS = 1
+TREE = 64
 #: Groups of tokens by their last two bytes, kept in the low bits of a token's hash.
 GROUPS = 64
 _LOW = U64(GROUPS - 1)
 _LOWER = np.arange(256, dtype=U64)
 _LOWER[65:91] += U64(32)
 END = mix(np.array([0x656E64], U64))[0]
-
-MESSAGES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-MESSAGES_SQL = "bucket long, block long, kind int, payload binary"
+_BITS = 15
+TEXT = -1
 
 
 class Tokens:
@@ -65,58 +73,74 @@ class Tokens:
 
 
 def _distinct(tokens: Tokens, buckets: int):
-    u, place = np.unique(tokens.hash, return_inverse=True)
-    key = ((u >> U64(6)) % U64(buckets)).astype(np.int64)
-    order = np.argsort(key, kind="stable")
+    """The block's different tokens in order of bucket, and each token's place among them."""
+    u, place = np.unique(tokens.hash >> U64(6) << U64(6) | tokens.hash & _LOW, return_inverse=True)
+    order = np.argsort(bucket_of(u >> U64(6), buckets), kind="stable")
     rank = np.empty(len(u), np.int64)
     rank[order] = np.arange(len(u))
-    return u[order], rank[place.reshape(-1)], np.searchsorted(key[order], np.arange(buckets + 1))
+    return u[order], rank[place.reshape(-1)]
 
 
-def _send_counts(parts: int, part: int, buckets: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in rows(b):
-                t = Tokens(Block.from_blob(row["payload"]), parts, part)
-                u, place, bounds = _distinct(t, buckets)
-                c = np.bincount(place[t.learn[t.doc]], minlength=len(u)).astype(np.uint32)
-                yield batch(MESSAGES, [(i, row["block"], 0, pack(np.diff(u[bounds[i] : bounds[i + 1]], prepend=U64(0)), c[bounds[i] : bounds[i + 1]])) for i in range(buckets) if bounds[i] < bounds[i + 1]])
+def _count_keys(parts: int, part: int, buckets: int):
+    def keys(b: pa.RecordBatch):
+        for row in rows(b):
+            t = Tokens(Block.from_blob(row["payload"]), parts, part)
+            u, place = _distinct(t, buckets)
+            count = np.bincount(place[t.learn[t.doc]], minlength=len(u)).astype(np.uint32)
+            yield row["block"], u >> U64(6), [(u & _LOW).astype(np.uint8), count]
 
-    return send
+    return keys
 
 
-def _answer_counts(classes: int):
-    def answer(key: tuple, got: pa.Table) -> pa.Table:
-        blocks, sizes, hs, cs = [], [], [], []
-        for row in rows(got):
-            d, c = unpack(row["payload"])
-            blocks.append(row["block"])
-            sizes.append(len(d))
-            hs.append(np.cumsum(d, dtype=U64))
-            cs.append(c.astype(np.int64))
-        h, c = np.concatenate(hs), np.concatenate(cs)
-        order = np.argsort(h, kind="stable")
-        g = h[order]
-        new = np.ones(len(g), bool)
-        new[1:] = g[1:] != g[:-1]
-        total = np.add.reduceat(c[order], np.flatnonzero(new))
-        each = np.empty(len(g), np.int64)
-        each[order] = total[np.cumsum(new) - 1]
-        u = g[new]
-        top = np.lexsort((u, -total))[:classes]
-        top = top[total[top] > 0]
-        bucket = key[0].as_py()
+def _add_up(vocabulary: int):
+    """The counts over the whole corpus, and of the bucket its sums by group and its most frequent tokens."""
+
+    def answer(h: np.ndarray, values: list[np.ndarray]):
+        low, count = values
+        key = h << U64(6) | low
+        u, at = np.unique(key, return_inverse=True)
+        total = np.bincount(at, count, len(u)).astype(np.int64)
         group = (u & _LOW).astype(np.int64)
-        found = [(bucket, -1, 2, pack(_by_group(group, total), _by_group(group, total > 0), u[top], total[top]))]
-        at = 0
-        for b, n in zip(blocks, sizes, strict=True):
-            found.append((bucket, b, 1, pack(each[at : at + n])))
-            at += n
-        return table(MESSAGES, found)
+        summary = _top(u[total > 0], total[total > 0], vocabulary)
+        return np.ones(len(h), bool), [total[at]], pack(_by_group(group, total), _by_group(group, total > 0), *summary)
 
     return answer
 
 
+def _top(u: np.ndarray, total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((u, -total))[:n]
+    return u[order], total[order]
+
+
+def _merged(vocabulary: int):
+    """Summaries of several buckets as one; no token is in two buckets."""
+
+    def merge(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        sums, kinds, u, total = zip(*parts, strict=True)
+        return [np.sum(sums, axis=0), np.sum(kinds, axis=0), *_top(np.concatenate(u), np.concatenate(total), vocabulary)]
+
+    return merge
+
+
+TREE_SQL = "slot long, payload binary"
+_TREE = pa.schema([("slot", pa.int64()), ("payload", pa.binary())])
+
+
+def tree(parts: DataFrame, n: int, merge: Callable[[list[list[np.ndarray]]], list[np.ndarray]], fan: int = TREE) -> list[np.ndarray] | None:
+    """Payloads of the slots 0 to n - 1 merged ``fan`` at a time, in their order; only the last one comes to the driver."""
+
+    def level(key: tuple, got: pa.Table) -> pa.Table:
+        own = sorted((row["slot"], row["payload"]) for row in rows(got))
+        return table(_TREE, [(key[0].as_py(), pack(*merge([unpack(p) for _, p in own])))])
+
+    while True:
+        parts = parts.groupBy(F.floor(F.col("slot") / fan).cast("long").alias("up")).applyInArrow(level, TREE_SQL)
+        n = -(-n // fan)
+        if n <= 1:
+            got = parts.collect()
+            return unpack(got[0]["payload"]) if got else None
+
+
 def _by_group(group: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.bincount(group, x, minlength=GROUPS).astype(np.int64)
 
@@ -124,190 +148,269 @@ def _by_group(group: np.ndarray, x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the model
 
 
+@dataclass
+class Vocabulary:
+    hashes: np.ndarray  # of the frequent tokens, sorted
+    rank: np.ndarray  # their outcomes: places in order of frequency
+    p: np.ndarray  # of each outcome; after the frequent tokens come the groups
+    n: int
+    v: int
+    other: np.ndarray  # for each group: the sum over its tokens of count + 1, and 1
+
+    @classmethod
+    def of(cls, u: np.ndarray, total: np.ndarray, sums: np.ndarray, kinds: np.ndarray) -> Vocabulary:
+        """``u, total``: the frequent tokens, most frequent first; sums and different tokens by group, the frequent ones included."""
+        n, v = int(sums.sum()), int(kinds.sum())
+        group = (u & _LOW).astype(np.int64)
+        sums, kinds = sums - _by_group(group, total), kinds - np.bincount(group, minlength=GROUPS)
+        order = np.argsort(u)
+        p = np.concatenate([total, sums]) + 0.5
+        return cls(u[order], order, p / p.sum(), n, v, sums + kinds + 1.0)
+
+    def outcomes(self, hashes: np.ndarray) -> np.ndarray:
+        k = len(self.hashes)
+        group = (hashes & _LOW).astype(np.int64) + k
+        if not k:
+            return group
+        at = np.minimum(np.searchsorted(self.hashes, hashes), k - 1)
+        return np.where(self.hashes[at] == hashes, self.rank[at], group)
+
+    def examples(self, off: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Each token and those before it in its document (the nearest first, "start" where there is none) in one number."""
+        start, key = len(self.p), w.astype(np.int64)
+        place = np.arange(len(w)) - np.repeat(off[:-1], np.diff(off))
+        for j in range(1, CONTEXT + 1):
+            before = np.full(len(w), start, np.int64)
+            before[j:] = w[: len(w) - j]
+            before[place < j] = start
+            key = key << _BITS | before
+        return key
+
+
+def _unpacked(key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Outcomes and contexts, the nearest first."""
+    mask = (1 << _BITS) - 1
+    return key >> (_BITS * CONTEXT), [key >> (_BITS * (CONTEXT - j)) & mask for j in range(1, CONTEXT + 1)]
+
+
 @dataclass
 class LogBilinear:
-    """Context vectors ``r``, place matrices ``c``, class vectors ``q`` and biases ``b``; the last classes are groups of other tokens, the last context is "start"."""
+    """Vectors ``r`` of contexts, ``q`` of outcomes and ``a`` of classes with biases ``b`` and ``d``, and place matrices ``c``."""
 
     r: np.ndarray
     q: np.ndarray
     b: np.ndarray
+    a: np.ndarray
+    d: np.ndarray
     c: np.ndarray
 
     @classmethod
-    def new(cls, p: np.ndarray, d: int, seed: int = 5) -> LogBilinear:
+    def new(cls, p: np.ndarray, size: int, each: int = CLASS, seed: int = 5) -> LogBilinear:
         rng = np.random.default_rng(seed)
         n = len(p)
-        return cls(rng.normal(0, 0.3, (n + 1, d)).astype(np.float32), rng.normal(0, 0.1, (n, d)).astype(np.float32), np.log(p).astype(np.float32), np.stack([np.eye(d)] * 2).astype(np.float32))
+        of = np.bincount(np.arange(n) // each, p)
+        normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
+        place = np.stack([np.eye(size) * w for w in (1.0, 0.6, 0.4, *[0.3] * CONTEXT)[:CONTEXT]]).astype(np.float32)
+        return cls(normal(0.3, n + 1, size), normal(0.1, n, size), np.log(p).astype(np.float32), normal(0.1, len(of), size), np.log(of).astype(np.float32), place)
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.b, self.c]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parameters()])
-
-    def filled(self, flat: np.ndarray) -> LogBilinear:
-        out, at = [], 0
-        for x in self.parameters():
-            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return LogBilinear(*out)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.r @ self.c[0], self.r @ self.c[1]
-
-    def normalisers(self) -> np.ndarray:
-        """The log of the sum over classes for every pair of contexts."""
-        one, two = self.tables()
-        out = np.empty((len(one), len(two)), np.float32)
-        for i in range(len(one)):
-            s = (one[i] + two) @ self.q.T + self.b
-            top = s.max(axis=1)
-            out[i] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        return [self.r, self.q, self.b, self.a, self.d, self.c]
+
+    def tables(self) -> np.ndarray:
+        return np.stack([self.r @ c for c in self.c])
+
+    def log_probabilities(self, w: np.ndarray, contexts: list[np.ndarray], each: int = CLASS) -> np.ndarray:
+        """Normalised natural logs of the outcomes' probabilities: of the class, and within it."""
+        tables, out = self.tables(), np.empty(len(w), np.float64)
+        order = np.argsort(w, kind="stable")
+        for i in range(0, len(w), 1 << 15):
+            at = order[i : i + (1 << 15)]
+            own = w[at]
+            h = sum(t[c[at]] for t, c in zip(tables, contexts, strict=True))
+            cls = own // each
+            out[at] = _picked(h @ self.a.T + self.d, cls)
+            cut = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(cls)], strict=True):
+                first = int(cls[x]) * each
+                out[at[x:y]] += _picked(h[x:y] @ self.q[first : first + each].T + self.b[first : first + each], own[x:y] - first)
         return out
 
 
-def _scatter(n: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, *x.shape[1:]), np.float32)
+def _picked(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at one place."""
+    s = s - s.max(axis=1, keepdims=True)
+    return s[np.arange(len(s)), at] - np.log(np.exp(s).sum(axis=1))
+
+
+def _summed(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different places, and the sum of what belongs to each."""
     order = np.argsort(at, kind="stable")
     s = at[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    out[s[first]] = np.add.reduceat(x[order], first)
-    return out
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    return s[first], np.add.reduceat(x[order], first)
 
 
 class Learner:
-    """Noise-contrastive estimation with adaptive steps; examples are (previous, one before, class) with weights."""
+    """Noise-contrastive estimation with adaptive steps, of classes against noise classes and of tokens against others of their class."""
 
-    def __init__(self, model: LogBilinear, p: np.ndarray, noise: int = NOISE, rate: float = 0.3, seed: int = 11):
-        self.m, self.rate, self.noise = model, rate, noise
-        self.sum = [np.full(x.shape, 1e-3, np.float32) for x in model.parameters()]
+    def __init__(self, model: LogBilinear, p: np.ndarray, each: int = CLASS, rate: float = 0.2, seed: int = 11, steps: list[np.ndarray] | None = None):
+        """``steps``: the squares that an earlier learner summed up, which its step sizes go on from."""
+        self.m, self.each, self.rate = model, each, rate
+        self.sum = [np.full(len(x), 1e-6, np.float32) for x in model.parameters()] if steps is None else [x.copy() for x in steps]
         self.rng = np.random.default_rng(seed)
-        self.cdf, self.logkp = np.cumsum(p), np.log(noise * p).astype(np.float32)
-
-    def learn(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, weight: np.ndarray, size: int = 2048) -> None:
-        order = self.rng.permutation(len(w))
-        for i in range(0, len(order), size):
-            at = order[i : i + size]
-            self._step(c1[at], c2[at], w[at], weight[at])
-
-    def _step(self, c1, c2, w, weight) -> None:
-        m = self.m
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(self.noise)), len(self.cdf) - 1)
-        r1, r2 = m.r[c1], m.r[c2]
-        h = r1 @ m.c[0] + r2 @ m.c[1]
-        qw, qn = m.q[w], m.q[noise]
-        weight = (weight / weight.sum()).astype(np.float32)
-        dt = (h * qw).sum(axis=1) + m.b[w] - self.logkp[w]
-        dn = h @ qn.T + (m.b[noise] - self.logkp[noise])
-        gt = -weight / (1 + np.exp(np.clip(dt, -30, 30)))
-        gn = weight[:, None] / (1 + np.exp(-np.clip(dn, -30, 30)))
-        dh = gt[:, None] * qw + gn @ qn
-        classes = len(m.b)
-        gq = _scatter(classes, w, gt[:, None] * h)
-        gb = _scatter(classes, w, gt)
-        np.add.at(gq, noise, gn.T @ h)
-        np.add.at(gb, noise, gn.sum(axis=0))
-        gr = _scatter(len(m.r), c1, dh @ m.c[0].T) + _scatter(len(m.r), c2, dh @ m.c[1].T)
-        gc = np.stack([r1.T @ dh, r2.T @ dh])
-        for x, s, g in zip(m.parameters(), self.sum, (gr, gq, gb, gc), strict=True):
-            s += g * g
-            x -= self.rate * g / np.sqrt(s)
-
-
-@dataclass
-class Vocabulary:
-    hashes: np.ndarray  # of the frequent tokens, sorted
-    p: np.ndarray  # of each class
-    n: int
-    v: int
-    other: np.ndarray  # for each group: the sum over its tokens of count + 1, and 1
-
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        k = len(self.hashes)
-        group = (hashes & _LOW).astype(np.int64) + k
-        if not k:
-            return group
-        at = np.minimum(np.searchsorted(self.hashes, hashes), k - 1)
-        return np.where(self.hashes[at] == hashes, at, group)
-
-    def contexts(self, tokens: Tokens, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = len(self.p)
-        c1, c2 = np.full(len(cls), start), np.full(len(cls), start)
-        c1[1:], c2[2:] = cls[:-1], cls[:-2]
-        first = tokens.off[:-1]
-        c1[first] = start
-        c2[first] = start
-        second = first[np.diff(tokens.off) > 1] + 1
-        c2[second] = start
-        return c1, c2
+        of = np.bincount(np.arange(len(p)) // each, p)
+        self.p, self.of = p, of
+        self.cdf, self.class_cdf = np.append(0, np.cumsum(p)), np.cumsum(of)
+        self.log_of = np.log(NOISE * of).astype(np.float32)
+        self.log_own = np.log(OWN_NOISE * p / of[np.arange(len(p)) // each]).astype(np.float32)
+        self.met = [np.zeros(len(x), np.float64) for x in model.parameters()]
+
+    def learn(self, key: np.ndarray, weight: np.ndarray) -> None:
+        order = self.rng.permutation(len(key))
+        for i in range(0, len(order), STEP):
+            at = order[i : i + STEP]
+            w, contexts = _unpacked(key[at])
+            self._step(w, contexts, weight[at].astype(np.float32))
+
+    def _move(self, k: int, at: np.ndarray | None, g: np.ndarray) -> None:
+        """A step of parameter ``k`` at some rows; a vector has one step size."""
+        x, s = self.m.parameters()[k], self.sum[k]
+        square = g * g if g.ndim == 1 else (g * g).reshape(len(g), -1).mean(axis=1)
+        if at is None:
+            s += square
+            x -= self.rate * (g / np.sqrt(s).reshape(-1, *[1] * (g.ndim - 1)))
+        else:
+            s[at] += square
+            x[at] -= self.rate * (g / np.sqrt(s[at]).reshape(-1, *[1] * (g.ndim - 1)))
+
+    def _step(self, w: np.ndarray, contexts: list[np.ndarray], n: np.ndarray) -> None:
+        order = np.argsort(w, kind="stable")
+        w, contexts, n = w[order], [c[order] for c in contexts], n[order]
+        m, cls, weight = self.m, w // self.each, n / n.mean()
+        r = [m.r[c] for c in contexts]
+        h = sum(x @ c for x, c in zip(r, m.c, strict=True))
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        # classes: the same noise for all examples of a step
+        noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE)), len(self.of) - 1)
+        gt = -weight * sigmoid(-((h * m.a[cls]).sum(axis=1) + m.d[cls] - self.log_of[cls]))
+        gn = weight[:, None] * sigmoid(h @ m.a[noise].T + (m.d[noise] - self.log_of[noise]))
+        dh = gt[:, None] * m.a[cls] + gn @ m.a[noise]
+        ga, gd = np.zeros_like(m.a), np.zeros_like(m.d)
+        at, g = _summed(cls, np.column_stack([gt[:, None] * h, gt]))
+        ga[at], gd[at] = g[:, :-1], g[:, -1]
+        np.add.at(ga, noise, gn.T @ h)
+        np.add.at(gd, noise, gn.sum(axis=0))
+        # outcomes: the same noise for all examples of a class
+        parts = stretches(cls)
+        some = cls[[x for x, _ in parts]]
+        u = self.cdf[some * self.each][:, None] + self.rng.random((len(some), OWN_NOISE)) * self.of[some][:, None]
+        last = np.minimum((some + 1) * self.each, len(self.p)) - 1
+        other = np.clip(np.searchsorted(self.cdf, u, "right") - 1, (some * self.each)[:, None], last[:, None])
+        xt = -weight * sigmoid(-((h * m.q[w]).sum(axis=1) + m.b[w] - self.log_own[w]))
+        dh += xt[:, None] * m.q[w]
+        qn, bn, back = m.q[other], m.b[other] - self.log_own[other], []
+        for i, (x, y) in enumerate(parts):
+            e = weight[x:y, None] * sigmoid(h[x:y] @ qn[i].T + bn[i])
+            dh[x:y] += e @ qn[i]
+            back.append(np.column_stack([e.T @ h[x:y], e.sum(axis=0)]))
+        scale = np.float32(1 / len(w))
+        at, g = _summed(np.append(w, other.ravel()), np.concatenate([np.column_stack([xt[:, None] * h, xt]), *back]) * scale)
+        self._move(1, at, g[:, :-1])
+        self._move(2, at, g[:, -1])
+        self._move(3, None, ga * scale)
+        self._move(4, None, gd * scale)
+        at, g = _summed(np.concatenate(contexts), np.concatenate([dh @ c.T for c in m.c]) * scale)
+        gc = np.stack([x.T @ dh for x in r]) * scale
+        self._move(0, at, g)
+        self._move(5, None, gc)
+        for k, places in ((0, np.concatenate(contexts)), (1, w), (3, cls)):
+            self.met[k] += np.bincount(places, np.tile(n, len(places) // len(n)), len(self.met[k]))
+        self.met[2], self.met[4] = self.met[1], self.met[3]
+        self.met[5] += float(n.sum())
+
+
+def _weighted(learner: Learner) -> list[np.ndarray]:
+    """Each parameter times how often it was met, and that; then the sums of squares."""
+    return [y for x, n in zip(learner.m.parameters(), learner.met, strict=True) for y in ((x * n.reshape(-1, *[1] * (x.ndim - 1))).astype(np.float32).ravel(), n.astype(np.float32))] + learner.sum
+
+
+def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.sum([p.astype(np.float64) for p in x], axis=0).astype(np.float32) for x in zip(*parts, strict=True)]
+
+
+def _averaged(start: LogBilinear, sums: list[np.ndarray]) -> LogBilinear:
+    """The mean of what was learnt; what no group met stays at the start."""
+    out = []
+    k = 2 * len(start.parameters())
+    for x, s, n in zip(start.parameters(), sums[0:k:2], sums[1:k:2], strict=True):
+        n = n.reshape(-1, *[1] * (x.ndim - 1))
+        out.append(np.where(n > 0, s.reshape(x.shape) / np.where(n > 0, n, 1), x).astype(np.float32))
+    return LogBilinear(*out)
+
+
+LEARN = pa.schema([("grp", pa.int64()), ("payload", pa.binary())])
+
+
+def _outcomes(shared, parts: int, part: int, groups: int):
+    """Each training document as outcomes, with its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for b in batches:
+            for row in rows(b):
+                block = Block.from_blob(row["payload"])
+                t = Tokens(block, parts, part)
+                w = vocab.outcomes(t.hash).astype(np.uint16)
+                o = block.offsets.tolist()
+                found = []
+                for d in np.flatnonzero(t.learn).tolist():
+                    found.append((zlib.crc32(block.data[o[d] : o[d + 1]], int(block.ids[d]) & 0xFFFFFFFF) % groups, w[t.off[d] : t.off[d + 1]].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else ([], []), LEARN, strict=True)], schema=LEARN)
 
+    return run
 
-PARTS = pa.schema([("slice", pa.int32()), ("weight", pa.float64()), ("payload", pa.binary())])
-PARTS_SQL = "slice int, weight double, payload binary"
 
+def _learn_group(shared, rounds: int):
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        vocab, model, steps = shared.value
+        offsets, data = text_buffers(got.column("payload"))
+        each, n = np.unique(vocab.examples(offsets // 2, data.copy().view(np.uint16)), return_counts=True)
+        learner = Learner(LogBilinear(*[x.copy() for x in model.parameters()]), vocab.p, seed=11 + key[0].as_py(), steps=steps)
+        for _ in range(rounds):
+            learner.learn(each, n)
+        return table(_TREE, [(key[0].as_py(), pack(*_weighted(learner)))])
 
-def _learn_blocks(shared, parts: int, part: int, rounds: int):
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = shared.value
-        learner, weight = Learner(model.filled(model.flat()), vocab.p), 0.0
-        for b in batches:
-            for row in rows(b):
-                t = Tokens(Block.from_blob(row["payload"]), parts, part)
-                cls = vocab.classes(t.hash)
-                c1, c2 = vocab.contexts(t, cls)
-                use = t.learn[t.doc]
-                base = len(vocab.p) + 1
-                key, n = np.unique((c1[use] * base + c2[use]) * base + cls[use], return_counts=True)
-                for _ in range(rounds if len(key) else 0):
-                    learner.learn(key // base**2, key // base % base, key % base, n)
-                    weight += float(n.sum())
-        if weight:
-            flat = np.array_split(learner.m.flat().astype(np.float64) * weight, SLICES)
-            yield batch(PARTS, [(i, weight, pack(x)) for i, x in enumerate(flat)])
-
-    return learn
-
-
-def _average(key: tuple, got: pa.Table) -> pa.Table:
-    total, weight = 0.0, 0.0
-    for row in rows(got):
-        total = total + unpack(row["payload"])[0]
-        weight += row["weight"]
-    return table(PARTS, [(key[0].as_py(), weight, pack(total / weight))])
+    return run
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 RESULT_SQL = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_block(shared, parts: int, part: int, buckets: int):
+def _score_block(shared, parts: int, part: int, buckets: int, fan: int):
     def score(key: tuple, got: pa.Table) -> pa.Table:
-        vocab, model, z = shared.value
+        vocab, model = shared.value
         block, answers = None, {}
         for row in rows(got):
-            if row["kind"] < 0:
+            if row["kind"] == TEXT:
                 block = Block.from_blob(row["payload"])
             else:
                 answers[row["bucket"]] = row["payload"]
         if block is None:
             return table(RESULT, [])
         t = Tokens(block, parts, part)
-        u, place, bounds = _distinct(t, buckets)
+        u, place = _distinct(t, buckets)
         count = np.zeros(len(u), np.int64)
-        for i, blob in answers.items():
-            count[bounds[i] : bounds[i + 1]] = unpack(blob)[0]
+        at, told = answers_at(bounds_of(u >> U64(6), buckets, fan), answers)
+        if len(at):
+            count[at] = told[0]
         smooth = np.log10(count + 1.0)
         base = (smooth - np.log10(vocab.n + vocab.v + 1.0))[place]
-        cls = vocab.classes(t.hash)
-        c1, c2 = vocab.contexts(t, cls)
-        one, two = model.tables()
-        s = np.empty(len(cls), np.float64)
-        for i in range(0, len(cls), 1 << 17):
-            x = slice(i, i + (1 << 17))
-            s[x] = ((one[c1[x]] + two[c2[x]]) * model.q[cls[x]]).sum(axis=1) + model.b[cls[x]] - z[c1[x], c2[x]]
-        s /= np.log(10)
-        outside = cls >= len(vocab.hashes)
-        s[outside] += smooth[place[outside]] - np.log10(vocab.other)[cls[outside] - len(vocab.hashes)]
+        w = vocab.outcomes(t.hash)
+        each, back = np.unique(vocab.examples(t.off, w), return_inverse=True)
+        s = (model.log_probabilities(*_unpacked(each)) / np.log(10))[back.reshape(-1)]
+        outside = w >= len(vocab.hashes)
+        s[outside] += smooth[place[outside]] - np.log10(vocab.other)[w[outside] - len(vocab.hashes)]
         first = t.off[:-1]
         add = lambda v: np.add.reduceat(v, first)  # noqa: E731  each document has its end, so none is empty
         ids = pa.array(block.ids, mask=~block.has_id)
@@ -316,45 +419,43 @@ def _score_block(shared, parts: int, part: int, buckets: int):
     return score
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, parts: int = 7, part: int = 2, classes: int = CLASSES, dimensions: int = DIMENSIONS) -> DataFrame:
+def fitted(blocks: DataFrame, told: DataFrame, total: int, buckets: int, parts: int, part: int, vocabulary: int = VOCABULARY, dimensions: int = DIMENSIONS, group_bytes: int = GROUP_BYTES) -> tuple[Vocabulary, LogBilinear]:
+    """The vocabulary from the buckets' summaries, and the model learnt on all training documents."""
+    none = [np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)]
+    summaries = told.where(F.col("kind") == SUMMARY).select(F.col("bucket").alias("slot"), "payload")
+    sums, kinds, u, count = tree(summaries, buckets, _merged(vocabulary)) or none
+    vocab = Vocabulary.of(u, count, sums, kinds)
+    model = LogBilinear.new(vocab.p, dimensions)
+    sc = blocks.sparkSession.sparkContext
+    groups = max(1, -(-total // group_bytes))
+    learn = durable(blocks.mapInArrow(_outcomes(sc.broadcast(vocab), parts, part, groups), "grp long, payload binary"))
+    steps = None
+    for some, n, rounds in ((learn.where("grp = 0"), 1, START_ROUNDS), (learn, groups, 1)):
+        got = tree(some.groupBy("grp").applyInArrow(_learn_group(sc.broadcast((vocab, model, steps)), rounds), TREE_SQL), n, _added)
+        if got:
+            model, steps = _averaged(model, got), got[2 * len(model.parameters()) :]
+    return vocab, model
+
+
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, parts: int = 7, part: int = 2, vocabulary: int = VOCABULARY, dimensions: int = DIMENSIONS, group_bytes: int = GROUP_BYTES, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Learns from all documents whose ``crc32(doc_id) % parts`` isn't ``part``. A null text is the empty text, which is
     its end alone; a document with a null id is scored, never learnt from and not counted as held out; equal texts
     get equal scores; an empty table gives an empty result; without training documents all tokens are unknown.
-    Extra columns are ignored.
+    Extra columns are ignored; texts are learnt and scored whole, however long. ``vocabulary`` is 32,000 at most.
     """
-    blocks = to_blocks(docs, doc_id, text)
+    if vocabulary + GROUPS + 1 > 1 << _BITS:
+        raise ValueError("the vocabulary is too large")
+    blocks = to_blocks(docs, doc_id, text, block_bytes)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = bucket_count(total)
-    told = durable(blocks.mapInArrow(_send_counts(parts, part, buckets), MESSAGES_SQL).groupBy("bucket").applyInArrow(_answer_counts(classes), MESSAGES_SQL))
-    sums, kinds = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
-    hashes, count = np.zeros(0, U64), np.zeros(0, np.int64)
-    for row in told.where("kind = 2").select("payload").toLocalIterator():  # a bucket at a time: two sums and its most frequent tokens
-        own, different, h, c = unpack(row["payload"])
-        sums, kinds = sums + own, kinds + different
-        hashes, count = np.concatenate([hashes, h]), np.concatenate([count, c])
-        top = np.lexsort((hashes, -count))[:classes]
-        hashes, count = hashes[top], count[top]
-    order = np.argsort(hashes)
-    hashes, count = hashes[order], count[order]
-    n, v = int(sums.sum()), int(kinds.sum())
-    group = (hashes & _LOW).astype(np.int64)
-    sums, kinds = sums - _by_group(group, count), kinds - np.bincount(group, minlength=GROUPS)
-    p = np.concatenate([count, sums]) + 0.5
-    vocab = Vocabulary(hashes, p / p.sum(), n, v, sums + kinds + 1.0)
-    sc = docs.sparkSession.sparkContext
-    model = LogBilinear.new(vocab.p, dimensions)
-    few = [r[0] for r in blocks.where("n_bytes > 0").select("block").orderBy("block").limit(START_BLOCKS).collect()]
-    for some, rounds in ((blocks.where(F.col("block").isin(few)).coalesce(1) if few else blocks.limit(0), START_ROUNDS), (blocks, 1)):
-        parts_ = some.mapInArrow(_learn_blocks(sc.broadcast((vocab, model)), parts, part, rounds), PARTS_SQL)
-        got = {r["slice"]: unpack(r["payload"])[0] for r in parts_.groupBy("slice").applyInArrow(_average, PARTS_SQL).collect()}  # one model in all
-        if got:
-            model = model.filled(np.concatenate([got[i] for i in sorted(got)]))
-    shared = sc.broadcast((vocab, model, model.normalisers()))
-    texts = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(-1).alias("kind"), "payload")
-    scored = texts.unionByName(told.where("kind = 1")).groupBy("block").applyInArrow(_score_block(shared, parts, part, buckets), RESULT_SQL)
-    return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    told = exchanged(blocks, _count_keys(parts, part, buckets), _add_up(vocabulary), buckets, fan, summaries=True)
+    vocab, model = fitted(blocks, told, total, buckets, parts, part, vocabulary, dimensions, group_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
+    texts = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(TEXT).alias("kind"), "payload")
+    scored = texts.unionByName(told.where(F.col("kind") == ANSWER)).groupBy("block").applyInArrow(_score_block(shared, parts, part, buckets, fan), RESULT_SQL)
+    return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

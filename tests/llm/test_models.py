@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quern.llm import bpe_transducer as B
 from quern.llm.language_id import counts, languages
 from quern.llm.language_id import fit as fit_centroids
-from quern.llm.lm_scoring import LogBilinear, lm_scores
+from quern.llm import lm_scoring as LM
+from quern.llm.lm_scoring import lm_scores
 from quern.llm.quality_ranking import _CLASS, features, fit, keep_good, quality_scores
 from quern.llm.quality_ranking import text_buffers
 
@@ -40,15 +41,76 @@ def test_lm_of_odd_rows(spark, odd, empty):
     assert (r["n_known"], r["train_tokens"], r["base_score"]) == (0, 0, 0.0)
 
 
-def test_lm_is_normalised_and_better_than_unigrams_on_held_out_documents(spark):
-    m = LogBilinear.new(np.array([0.5, 0.3, 0.2]), 4)
-    one, two = m.tables()
-    p = np.exp((one[:, None] + two[None]) @ m.q.T + m.b - m.normalisers()[..., None])
-    assert p.sum(axis=2) == pytest.approx(1, abs=1e-5)
+def test_lm_beats_unigrams_on_held_out_documents(spark):
     out = lm_scores(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert out["s"] > 0.98 * out["b"]
 
 
+def brute_log_probability(model, each, w, contexts):
+    """Of one token: the class among all classes, and the outcome among its class, one product at a time."""
+    h = [sum(float(model.r[c][i]) * float(model.c[j][i][k]) for j, c in enumerate(contexts) for i in range(len(model.r[c]))) for k in range(model.r.shape[1])]
+    dot = lambda v, bias: sum(a * float(b) for a, b in zip(h, v, strict=True)) + float(bias)
+    softmax = lambda s, i: s[i] - math.log(sum(math.exp(x) for x in s))
+    first = w // each * each
+    own = range(first, min(first + each, len(model.q)))
+    return softmax([dot(v, x) for v, x in zip(model.a, model.d, strict=True)], w // each) + softmax([dot(model.q[o], model.b[o]) for o in own], w - first)
+
+
+def test_lm_scores_equal_brute_force_on_the_learnt_model(spark):
+    """All probabilities of a context sum to 1, and scores are sums over tokens of plain products of the frozen model."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["ka", "lo", "mi", "ne", "ru", f"x{rng.randint(0, 40)}"])
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(70, None), (71, "never seen"), (72, "KA Lo ka")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {}
+    real = LM.fitted
+    try:
+        LM.fitted = lambda *a, **k: kept.setdefault("fitted", real(*a, **k))
+        got = {r["doc_id"]: r for r in lm_scores(df, vocabulary=20, dimensions=4).collect()}
+    finally:
+        LM.fitted = real
+    vocab, model = kept["fitted"]
+    counts_ = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for x in [*(t or "").lower().split(), None])
+    start, each = len(vocab.p), LM.CLASS
+    for contexts in ([start, start, start], [0, 3, start], [19, 20, 5]):
+        assert sum(math.exp(brute_log_probability(model, each, w, contexts)) for w in range(start)) == pytest.approx(1, abs=1e-4)
+
+    def outcome(x):
+        h = LM.END if x is None else _token_hash(x)
+        w = int(vocab.outcomes(np.array([h], np.uint64))[0])
+        inside = 0.0 if w < len(vocab.hashes) else math.log10((counts_[x] + 1) / vocab.other[w - len(vocab.hashes)])
+        return w, inside
+
+    for i, t in rows:
+        want, before = 0.0, [start] * 3
+        for x in [*(t or "").lower().split(), None]:
+            w, inside = outcome(x)
+            want += brute_log_probability(model, each, w, before) / math.log(10) + inside
+            before = [w, *before[:2]]
+        assert got[i]["score"] == pytest.approx(want, abs=1e-3)
+
+
+def _token_hash(word):
+    import pyarrow as pa
+
+    from quern.llm.blocks import Block
+
+    return LM.Tokens(Block.of(pa.array([1]), pa.array([word])), 7, 2).hash[0]
+
+
+def test_lm_scores_do_not_depend_on_how_rows_lie(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = ({r["doc_id"]: r for r in lm_scores(docs.repartition(n), **more).collect()} for n, more in ((2, {}), (7, {"block_bytes": 20_000, "fan": 4})))
+    assert len(a) == len(b) and all(a[i]["score"] == pytest.approx(b[i]["score"], rel=1e-5, abs=1e-3) and a[i]["base_score"] == pytest.approx(b[i]["base_score"]) for i in a)
+
+
+def test_lm_merges_groups_in_a_tree(spark):
+    parts = spark.createDataFrame([(i, LM.pack(np.array([i, 1.0]))) for i in range(150) if i % 10], "slot long, payload binary").repartition(5)
+    got = LM.tree(parts, 150, lambda x: [np.sum([p[0] for p in x], axis=0)], fan=4)
+    assert got[0].tolist() == [sum(i for i in range(150) if i % 10), 135]
+    assert LM.tree(parts.limit(0), 1, lambda x: x[0]) is None
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     scored = quality_scores(docs, labels)

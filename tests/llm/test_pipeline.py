@@ -1,8 +1,10 @@
 """The pipeline's stages, each against brute force on its own input."""
 
-import pytest
+from collections import Counter
 
 import corpus_pipeline
+from quern.llm.quality_ranking import keep_good
+from tests.llm.conftest import CLASHING
 from tests.llm.test_duplicates import brute_components, brute_spans
 from tests.llm.test_searches import shingles
 
@@ -45,14 +47,43 @@ def test_stages_one_after_the_other(spark, small, tmp_path):
     assert run == {(r["doc_id"], r["ids_sha256"]) for r in rows}
 
 
-@pytest.mark.parametrize("rows", ["odd", "empty"])
-def test_stages_of_odd_tables(spark, small, request, rows):
-    docs = request.getfixturevalue(rows)
+def _by_row(df, columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_stages_of_odd_tables(spark, small, odd):
+    """Null ids, null texts, repeated rows and ids, a very long text and columns with clashing names, stage by stage."""
+    own = ["doc_id", "text", "lang", "source"]
+    before = _by_row(odd, own)
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    good = {r["text"] for r in keep_good(odd.select("doc_id", "text").distinct(), labels).collect()}
+    out = stages["quality"](spark, odd, small)
+    assert out.columns == odd.columns and _by_row(out, own) == Counter({r: n for r, n in before.items() if r[1] in good})
+    out = stages["near_duplicates"](spark, odd, small)
+    least = {}  # the least id of each text, a null one last
+    for i, t, *_ in before:
+        if t:
+            least[t] = min(least.get(t, (True, 0)), (i is None, i or 0))
+    got = out.collect()
+    assert Counter(r["text"] for r in got if r["text"]) == Counter(least) and all((r["doc_id"] is None, r["doc_id"] or 0) == least[r["text"]] for r in got if r["text"])
+    assert Counter(r["doc_id"] for r in got if r["text"] is None) == Counter(i for (i, t, *_), n in before.items() for _ in range(n) if t is None)
+    out = stages["repeats"](spark, odd, small)
+    assert out.count() == odd.count() and Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in odd.collect())
+    assert {r["n_chars"] for r in out.collect() if r["text"] is None} == {r["n_chars"] for r in odd.collect() if r["text"] is None}
+    assert all(r[c] == i for r in out.collect() for i, c in enumerate(CLASHING))
+    out = stages["contamination"](spark, odd, small)
+    assert _by_row(out, own) == before and out.columns == odd.columns
+    rows = stages["tokens"](spark, odd, small).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd.collect()) and {r["n_tokens"] for r in rows if r["doc_id"] == 6} == {0}
+
+
+def test_stages_of_the_empty_table(spark, small, empty):
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, small)
-        assert out.count() <= docs.count()
+        out = stage(spark, empty, small)
+        assert out.count() == 0
         if name != "tokens":
-            assert out.columns == docs.columns
+            assert out.columns == empty.columns
 
 
 def test_registered(spark):
