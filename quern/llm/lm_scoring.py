@@ -1,13 +1,13 @@
 """Language-model scores of whole documents: a log-bilinear model learnt by noise-contrastive estimation.
 
-The model predicts a token from the three before it: the sum of their vectors, each through a matrix of its place, is
-compared with vectors of what may come.  Its outcomes are the 16,384 most frequent training tokens and 64 groups of all
-others by their ending; ordered by frequency they make up classes of 128, and a token's probability is that of its
+The model predicts a token from the two before it: the sum of their vectors, each through a matrix of its place, is
+compared with vectors of what may come.  Its outcomes are the 8,192 most frequent training tokens and 64 groups of all
+others by their ending; ordered by frequency they make up classes of 96, and a token's probability is that of its
 class times that within the class, both log-bilinear.  Within a group a token has its smoothed unigram probability, so
 probabilities sum to 1 over all training tokens and one unknown one of each group.  The normalising constants, over all
 classes and over all outcomes of the token's class, come from batched matrix products, so each token's score is exact.
 
-1. Blocks send their distinct tokens with training counts to buckets by hash; a bucket adds up the counts over
+1. Texts are cut into tokens once, and blocks keep them.  Blocks send their distinct tokens with training counts to buckets by hash; a bucket adds up the counts over
    the whole corpus and answers each block.  Totals and the most frequent tokens are merged from the buckets in a tree.
 2. Training documents go, as outcomes, to groups by their content.  A start is learnt on one group; from it every
    group learns on its distinct (context, token) with their counts, in an order of their own, and the groups' parameters
@@ -26,25 +26,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import BLOCK_BYTES, U64, Block, bucket_count, documents, durable, mix, pack, rows, table, text_buffers, to_blocks, unpack
+from quern.llm.blocks import BLOCK_BYTES, U64, Block, bucket_count, documents, durable, give_back, mix, pack, rows, slices, table, text_buffers, unpack
 from quern.llm.exchange import ANSWER, FAN, SUMMARY, answers_at, bounds_of, bucket_of, exchanged, stretches
 from quern.llm.quality_ranking import held_out
 from quern.llm.words import word_hashes, word_spans
 
 #: The model's size: frequent tokens, outcomes of a class, numbers of a vector, tokens of context.
-VOCABULARY = 16_384
-CLASS = 128
-DIMENSIONS = 32
-CONTEXT = 3
+VOCABULARY = 8192
+CLASS = 96
+DIMENSIONS = 24
+CONTEXT = 2
 #: Noise classes of a step, noise tokens of each class in it, examples of a step.
-NOISE, OWN_NOISE, STEP = 32, 16, 2048
+NOISE, OWN_NOISE, STEP = 48, 16, 4096
+#: Steps that a group takes at least (with fewer examples each).
+STEPS = 128
 #: Text that a group learns on, and rounds over the one that gives the start.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 START_ROUNDS = 1
-TREE = 64
+TREE = 32
 #: Groups of tokens by their last two bytes, kept in the low bits of a token's hash.
 GROUPS = 64
 _LOW = U64(GROUPS - 1)
@@ -68,26 +71,60 @@ class Tokens:
         data = block.data
         tail = _LOWER[data[ends - 1]] * U64(256) + np.where(ends - starts > 1, _LOWER[data[ends - 2]], U64(0))
         self.hash[inner] = (word_hashes(data, starts, ends) & ~_LOW) | (mix(tail) & _LOW)
-        self.doc = np.repeat(np.arange(n), np.diff(self.off))
         self.learn = np.array([bool(has) and zlib.crc32(str(d).encode()) % parts != part for d, has in zip(block.ids.tolist(), block.has_id.tolist(), strict=True)], bool)
 
 
-def _distinct(tokens: Tokens, buckets: int):
-    """The block's different tokens in order of bucket, and each token's place among them."""
-    u, place = np.unique(tokens.hash >> U64(6) << U64(6) | tokens.hash & _LOW, return_inverse=True)
-    order = np.argsort(bucket_of(u >> U64(6), buckets), kind="stable")
-    rank = np.empty(len(u), np.int64)
-    rank[order] = np.arange(len(u))
-    return u[order], rank[place.reshape(-1)]
+class TokenBlock:
+    """A block's documents as places among its different tokens; texts are cut into tokens once and not needed again."""
 
+    def __init__(self, ids: np.ndarray, has_id: np.ndarray, learn: np.ndarray, spread: np.ndarray, off: np.ndarray, u: np.ndarray, place: np.ndarray):
+        self.ids, self.has_id, self.learn, self.spread, self.off, self.u, self.place = ids, has_id, learn, spread, off, u, place
 
-def _count_keys(parts: int, part: int, buckets: int):
+    @classmethod
+    def of(cls, block: Block, parts: int, part: int) -> TokenBlock:
+        t = Tokens(block, parts, part)
+        u, place = np.unique(t.hash, return_inverse=True)
+        o = block.offsets.tolist()
+        spread = [zlib.crc32(block.data[i:j], d & 0xFFFFFFFF) for i, j, d in zip(o[:-1], o[1:], block.ids.tolist(), strict=True)]  # the document's content in one number
+        return cls(block.ids, block.has_id, t.learn, np.array(spread, np.uint32), t.off, u, place.reshape(-1).astype(np.uint32))
+
+    def blob(self) -> bytes:
+        return pack(self.ids, self.has_id, self.learn, self.spread, np.diff(self.off).astype(np.uint32), np.diff(self.u, prepend=U64(0)), self.place)
+
+    @classmethod
+    def from_blob(cls, blob: bytes) -> TokenBlock:
+        ids, has_id, learn, spread, size, u, place = unpack(blob)
+        return cls(ids, has_id, learn, spread, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), np.cumsum(u, dtype=U64), place)
+
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different tokens in order of bucket, and where they stand in ``u``."""
+        order = np.argsort(bucket_of(self.u >> U64(6), buckets), kind="stable")
+        return self.u[order], order
+
+
+def _token_blocks(docs: DataFrame, doc_id: str, text: str, parts: int, part: int, block_bytes: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for piece in slices(b, 1, block_bytes):
+                block = Block.of(piece.column(0), piece.column(1))
+                blob = TokenBlock.of(block, parts, part).blob()
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(block.data)], pa.int64()), pa.array([blob], pa.binary())], ["block", "n_bytes", "payload"])
+                number += 1
+
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return durable(own.mapInArrow(run, "block long, n_bytes long, payload binary"))
+
+
+def _count_keys(buckets: int):
     def keys(b: pa.RecordBatch):
         for row in rows(b):
-            t = Tokens(Block.from_blob(row["payload"]), parts, part)
-            u, place = _distinct(t, buckets)
-            count = np.bincount(place[t.learn[t.doc]], minlength=len(u)).astype(np.uint32)
-            yield row["block"], u >> U64(6), [(u & _LOW).astype(np.uint8), count]
+            t = TokenBlock.from_blob(row["payload"])
+            u, order = t.by_bucket(buckets)
+            count = np.bincount(t.place[np.repeat(t.learn, np.diff(t.off))], minlength=len(u)).astype(np.uint32)
+            yield row["block"], u >> U64(6), [(u & _LOW).astype(np.uint8), count[order]]
 
     return keys
 
@@ -115,7 +152,7 @@ def _top(u: np.ndarray, total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 def _merged(vocabulary: int):
     """Summaries of several buckets as one; no token is in two buckets."""
 
-    def merge(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    def merge(parts: Iterator[list[np.ndarray]]) -> list[np.ndarray]:
         sums, kinds, u, total = zip(*parts, strict=True)
         return [np.sum(sums, axis=0), np.sum(kinds, axis=0), *_top(np.concatenate(u), np.concatenate(total), vocabulary)]
 
@@ -126,12 +163,12 @@ TREE_SQL = "slot long, payload binary"
 _TREE = pa.schema([("slot", pa.int64()), ("payload", pa.binary())])
 
 
-def tree(parts: DataFrame, n: int, merge: Callable[[list[list[np.ndarray]]], list[np.ndarray]], fan: int = TREE) -> list[np.ndarray] | None:
+def tree(parts: DataFrame, n: int, merge: Callable[[Iterator[list[np.ndarray]]], list[np.ndarray]], fan: int = TREE) -> list[np.ndarray] | None:
     """Payloads of the slots 0 to n - 1 merged ``fan`` at a time, in their order; only the last one comes to the driver."""
 
     def level(key: tuple, got: pa.Table) -> pa.Table:
-        own = sorted((row["slot"], row["payload"]) for row in rows(got))
-        return table(_TREE, [(key[0].as_py(), pack(*merge([unpack(p) for _, p in own])))])
+        own = got.take(pc.sort_indices(got, [("slot", "ascending")]))
+        return table(_TREE, [(key[0].as_py(), pack(*merge(unpack(row["payload"]) for row in rows(own))))])
 
     while True:
         parts = parts.groupBy(F.floor(F.col("slot") / fan).cast("long").alias("up")).applyInArrow(level, TREE_SQL)
@@ -222,23 +259,38 @@ class LogBilinear:
     def log_probabilities(self, w: np.ndarray, contexts: list[np.ndarray], each: int = CLASS) -> np.ndarray:
         """Normalised natural logs of the outcomes' probabilities: of the class, and within it."""
         tables, out = self.tables(), np.empty(len(w), np.float64)
+        norm = lambda x: float(np.sqrt((x * x).sum(axis=-1).max()))
+        reach = sum(norm(t) for t in tables)
+        # products that can't overflow need no greatest one taken off
+        safe = reach * max(norm(self.a), norm(self.q)) + max(np.abs(self.b).max(), np.abs(self.d).max()) < 80
+        picked = _picked if safe else _picked_safely
+        one = lambda x, y: np.column_stack([x, y]).astype(np.float32)  # noqa: E731  biases as a last component
+        classes, outcomes = one(self.a, self.d), one(self.q, self.b)
         order = np.argsort(w, kind="stable")
-        for i in range(0, len(w), 1 << 15):
-            at = order[i : i + (1 << 15)]
+        for i in range(0, len(w), 1 << 14):
+            at = order[i : i + (1 << 14)]
             own = w[at]
-            h = sum(t[c[at]] for t, c in zip(tables, contexts, strict=True))
+            h = np.ones((len(at), self.a.shape[1] + 1), np.float32)
+            h[:, :-1] = sum(t[c[at]] for t, c in zip(tables, contexts, strict=True))
             cls = own // each
-            out[at] = _picked(h @ self.a.T + self.d, cls)
-            cut = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(cls)], strict=True):
+            s = picked(h, classes, cls)
+            for x, y in stretches(cls):
                 first = int(cls[x]) * each
-                out[at[x:y]] += _picked(h[x:y] @ self.q[first : first + each].T + self.b[first : first + each], own[x:y] - first)
+                s[x:y] += picked(h[x:y], outcomes[first : first + each], own[x:y] - first)
+            out[at] = s
         return out
 
 
-def _picked(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-softmax of each row at one place."""
-    s = s - s.max(axis=1, keepdims=True)
+def _picked(h: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row's products at one place."""
+    s = h @ vectors.T
+    own = s[np.arange(len(s)), at]
+    return own - np.log(np.exp(s, out=s).sum(axis=1))
+
+
+def _picked_safely(h: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    s = h @ vectors.T
+    s -= s.max(axis=1, keepdims=True)
     return s[np.arange(len(s)), at] - np.log(np.exp(s).sum(axis=1))
 
 
@@ -267,8 +319,9 @@ class Learner:
 
     def learn(self, key: np.ndarray, weight: np.ndarray) -> None:
         order = self.rng.permutation(len(key))
-        for i in range(0, len(order), STEP):
-            at = order[i : i + STEP]
+        size = max(512, min(STEP, len(key) // STEPS))
+        for i in range(0, len(order), size):
+            at = order[i : i + size]
             w, contexts = _unpacked(key[at])
             self._step(w, contexts, weight[at].astype(np.float32))
 
@@ -289,7 +342,7 @@ class Learner:
         m, cls, weight = self.m, w // self.each, n / n.mean()
         r = [m.r[c] for c in contexts]
         h = sum(x @ c for x, c in zip(r, m.c, strict=True))
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))  # noqa: E731  in single precision far values give 0 or 1
         # classes: the same noise for all examples of a step
         noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE)), len(self.of) - 1)
         gt = -weight * sigmoid(-((h * m.a[cls]).sum(axis=1) + m.d[cls] - self.log_of[cls]))
@@ -314,7 +367,9 @@ class Learner:
             dh[x:y] += e @ qn[i]
             back.append(np.column_stack([e.T @ h[x:y], e.sum(axis=0)]))
         scale = np.float32(1 / len(w))
-        at, g = _summed(np.append(w, other.ravel()), np.concatenate([np.column_stack([xt[:, None] * h, xt]), *back]) * scale)
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))  # in order already
+        own = np.add.reduceat(np.column_stack([xt[:, None] * h, xt]), first)
+        at, g = _summed(np.append(w[first], other.ravel()), np.concatenate([own, *back]) * scale)
         self._move(1, at, g[:, :-1])
         self._move(2, at, g[:, -1])
         self._move(3, None, ga * scale)
@@ -334,8 +389,12 @@ def _weighted(learner: Learner) -> list[np.ndarray]:
     return [y for x, n in zip(learner.m.parameters(), learner.met, strict=True) for y in ((x * n.reshape(-1, *[1] * (x.ndim - 1))).astype(np.float32).ravel(), n.astype(np.float32))] + learner.sum
 
 
-def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    return [np.sum([p.astype(np.float64) for p in x], axis=0).astype(np.float32) for x in zip(*parts, strict=True)]
+def _added(parts: Iterator[list[np.ndarray]]) -> list[np.ndarray]:
+    total = [x.astype(np.float64) for x in next(parts)]
+    for p in parts:
+        for t, x in zip(total, p, strict=True):
+            t += x
+    return [t.astype(np.float32) for t in total]
 
 
 def _averaged(start: LogBilinear, sums: list[np.ndarray]) -> LogBilinear:
@@ -351,20 +410,16 @@ def _averaged(start: LogBilinear, sums: list[np.ndarray]) -> LogBilinear:
 LEARN = pa.schema([("grp", pa.int64()), ("payload", pa.binary())])
 
 
-def _outcomes(shared, parts: int, part: int, groups: int):
+def _outcomes(shared, groups: int):
     """Each training document as outcomes, with its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         for b in batches:
             for row in rows(b):
-                block = Block.from_blob(row["payload"])
-                t = Tokens(block, parts, part)
-                w = vocab.outcomes(t.hash).astype(np.uint16)
-                o = block.offsets.tolist()
-                found = []
-                for d in np.flatnonzero(t.learn).tolist():
-                    found.append((zlib.crc32(block.data[o[d] : o[d + 1]], int(block.ids[d]) & 0xFFFFFFFF) % groups, w[t.off[d] : t.off[d + 1]].tobytes()))
+                t = TokenBlock.from_blob(row["payload"])
+                w = vocab.outcomes(t.u).astype(np.uint16)[t.place]
+                found = [(int(t.spread[d]) % groups, w[t.off[d] : t.off[d + 1]].tobytes()) for d in np.flatnonzero(t.learn).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else ([], []), LEARN, strict=True)], schema=LEARN)
 
     return run
@@ -375,9 +430,11 @@ def _learn_group(shared, rounds: int):
         vocab, model, steps = shared.value
         offsets, data = text_buffers(got.column("payload"))
         each, n = np.unique(vocab.examples(offsets // 2, data.copy().view(np.uint16)), return_counts=True)
+        give_back()
         learner = Learner(LogBilinear(*[x.copy() for x in model.parameters()]), vocab.p, seed=11 + key[0].as_py(), steps=steps)
-        for _ in range(rounds):
-            learner.learn(each, n)
+        with np.errstate(over="ignore"):
+            for _ in range(rounds):
+                learner.learn(each, n)
         return table(_TREE, [(key[0].as_py(), pack(*_weighted(learner)))])
 
     return run
@@ -387,39 +444,37 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known"
 RESULT_SQL = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_block(shared, parts: int, part: int, buckets: int, fan: int):
+def _score_block(shared, buckets: int, fan: int):
     def score(key: tuple, got: pa.Table) -> pa.Table:
         vocab, model = shared.value
-        block, answers = None, {}
+        t, answers = None, {}
         for row in rows(got):
             if row["kind"] == TEXT:
-                block = Block.from_blob(row["payload"])
+                t = TokenBlock.from_blob(row["payload"])
             else:
                 answers[row["bucket"]] = row["payload"]
-        if block is None:
+        if t is None:
             return table(RESULT, [])
-        t = Tokens(block, parts, part)
-        u, place = _distinct(t, buckets)
+        u, order = t.by_bucket(buckets)
         count = np.zeros(len(u), np.int64)
         at, told = answers_at(bounds_of(u >> U64(6), buckets, fan), answers)
         if len(at):
-            count[at] = told[0]
+            count[order[at]] = told[0]
+        w = vocab.outcomes(t.u)
         smooth = np.log10(count + 1.0)
-        base = (smooth - np.log10(vocab.n + vocab.v + 1.0))[place]
-        w = vocab.outcomes(t.hash)
-        each, back = np.unique(vocab.examples(t.off, w), return_inverse=True)
-        s = (model.log_probabilities(*_unpacked(each)) / np.log(10))[back.reshape(-1)]
         outside = w >= len(vocab.hashes)
-        s[outside] += smooth[place[outside]] - np.log10(vocab.other)[w[outside] - len(vocab.hashes)]
+        inside = np.where(outside, smooth - np.log10(vocab.other)[np.where(outside, w - len(vocab.hashes), 0)], 0.0)  # of each token within its outcome
+        each, back = np.unique(vocab.examples(t.off, w[t.place]), return_inverse=True)
+        s = (model.log_probabilities(*_unpacked(each)) / np.log(10))[back.reshape(-1)] + inside[t.place]
         first = t.off[:-1]
-        add = lambda v: np.add.reduceat(v, first)  # noqa: E731  each document has its end, so none is empty
-        ids = pa.array(block.ids, mask=~block.has_id)
-        return pa.Table.from_arrays([ids, pa.array(np.diff(t.off)), pa.array(add((count > 0).astype(np.int64)[place])), pa.array(add(base)), pa.array(add(s))], schema=RESULT)
+        add = lambda v: np.add.reduceat(v[t.place], first)  # noqa: E731  each document has its end, so none is empty
+        columns = [np.diff(t.off), add((count > 0).astype(np.int64)), add(smooth - np.log10(vocab.n + vocab.v + 1.0)), np.add.reduceat(s, first)]
+        return pa.Table.from_arrays([pa.array(t.ids, mask=~t.has_id), *map(pa.array, columns)], schema=RESULT)
 
     return score
 
 
-def fitted(blocks: DataFrame, told: DataFrame, total: int, buckets: int, parts: int, part: int, vocabulary: int = VOCABULARY, dimensions: int = DIMENSIONS, group_bytes: int = GROUP_BYTES) -> tuple[Vocabulary, LogBilinear]:
+def fitted(blocks: DataFrame, told: DataFrame, total: int, buckets: int, vocabulary: int = VOCABULARY, dimensions: int = DIMENSIONS, group_bytes: int = GROUP_BYTES) -> tuple[Vocabulary, LogBilinear]:
     """The vocabulary from the buckets' summaries, and the model learnt on all training documents."""
     none = [np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)]
     summaries = told.where(F.col("kind") == SUMMARY).select(F.col("bucket").alias("slot"), "payload")
@@ -428,7 +483,7 @@ def fitted(blocks: DataFrame, told: DataFrame, total: int, buckets: int, parts:
     model = LogBilinear.new(vocab.p, dimensions)
     sc = blocks.sparkSession.sparkContext
     groups = max(1, -(-total // group_bytes))
-    learn = durable(blocks.mapInArrow(_outcomes(sc.broadcast(vocab), parts, part, groups), "grp long, payload binary"))
+    learn = durable(blocks.mapInArrow(_outcomes(sc.broadcast(vocab), groups), "grp long, payload binary"))
     steps = None
     for some, n, rounds in ((learn.where("grp = 0"), 1, START_ROUNDS), (learn, groups, 1)):
         got = tree(some.groupBy("grp").applyInArrow(_learn_group(sc.broadcast((vocab, model, steps)), rounds), TREE_SQL), n, _added)
@@ -447,14 +502,14 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, pa
     """
     if vocabulary + GROUPS + 1 > 1 << _BITS:
         raise ValueError("the vocabulary is too large")
-    blocks = to_blocks(docs, doc_id, text, block_bytes)
+    blocks = _token_blocks(docs, doc_id, text, parts, part, block_bytes)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = bucket_count(total)
-    told = exchanged(blocks, _count_keys(parts, part, buckets), _add_up(vocabulary), buckets, fan, summaries=True)
-    vocab, model = fitted(blocks, told, total, buckets, parts, part, vocabulary, dimensions, group_bytes)
+    told = exchanged(blocks, _count_keys(buckets), _add_up(vocabulary), buckets, fan, summaries=True)
+    vocab, model = fitted(blocks, told, total, buckets, vocabulary, dimensions, group_bytes)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
     texts = blocks.select(F.lit(-1).cast("long").alias("bucket"), "block", F.lit(TEXT).alias("kind"), "payload")
-    scored = texts.unionByName(told.where(F.col("kind") == ANSWER)).groupBy("block").applyInArrow(_score_block(shared, parts, part, buckets, fan), RESULT_SQL)
+    scored = texts.unionByName(told.where(F.col("kind") == ANSWER)).groupBy("block").applyInArrow(_score_block(shared, buckets, fan), RESULT_SQL)
     return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
