@@ -6,8 +6,12 @@ padding because it equals the pad.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def let(value: Column, body) -> Column:
@@ -70,10 +74,18 @@ def trim_pad_nested(x: Column, lengths: list[int], pad=-1) -> Column:
     return F.concat(kept, F.array_repeat(blank, F.greatest(F.lit(lengths[0]) - F.size(kept), F.lit(0))))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _running(x: pa.Array) -> pa.Array:
+    lists = x if isinstance(x, pa.ListArray) else x.combine_chunks()
+    at = np.asarray(lists.offsets, np.int64)
+    total = np.concatenate([[0], np.cumsum(np.asarray(lists.values.fill_null(0), np.int64))])
+    flat = total[at[0] + 1 : at[-1] + 1] - np.repeat(total[at[:-1]], np.diff(at))
+    return pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(flat), mask=pa.compute.is_null(lists) if lists.null_count else None)
+
+
 def prefix_sums(x: Column) -> Column:
-    """Running sums of an integer array in one pass."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(x, empty, lambda a, v: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("bigint")) + v)))
+    """Running sums of an integer array, in time linear in its length (an expression would copy the array at each step)."""
+    return _running(x.cast("array<bigint>"))
 
 
 def position_ids(mask: Column, clamp: bool = False) -> Column:
@@ -94,6 +106,14 @@ def is_padding(x: Column, *pads: int) -> Column:
     return F.transform(x, lambda v: F.when(v.isin(*pads), 0).otherwise(1))
 
 
+def lengths_agree(df: DataFrame, tokens: str, others: list[str]) -> DataFrame:
+    """The rows; one with another array of another length than its tokens fails when it is read."""
+    for c in others:
+        wrong = F.raise_error(F.lit(f"{c} has another length than {tokens}")).cast("boolean")
+        df = df.where(F.coalesce(F.when(F.size(c) != F.size(tokens), wrong), F.lit(True)))
+    return df
+
+
 def same_length(*columns: Column) -> Column:
     """True if arrays that belong together have one length."""
     out = F.lit(True)

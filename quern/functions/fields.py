@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +42,17 @@ class FieldProcessor:
         if not self.fields:
             raise ValueError("fields must be given")
 
+    def columns_by_row(self, spec: Column, specs: list[str]) -> tuple[Column, Column]:
+        """Tokens and mask by the specification that a row's column names, one of ``specs``; another one fails the row."""
+        made = {s: replace(self, fields=s).columns() for s in specs}
+        out = []
+        for i, kind in enumerate(("array<int>", "array<double>")):
+            chosen = F.raise_error(F.concat(F.lit("no such field specification: "), F.coalesce(spec, F.lit("null")))).cast(kind)
+            for s, columns in made.items():
+                chosen = F.when(spec == s, columns[i].cast(kind)).otherwise(chosen)
+            out.append(chosen)
+        return out[0], out[1]
+
     def columns(self) -> tuple[Column, Column]:
         """Tokens and mask; the specification is read once, when the plan is built."""
         v = self.vocabulary

@@ -71,6 +71,7 @@ def norm(x: Column) -> Column:
     return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
 
 
+# The names of the factors, and the defaults of their parameters below.
 SCHEDULE_FACTORS = ("constant", "linear_warmup", "linear_decay", "rsqrt_decay", "rsqrt_normalized_decay", "decay_every", "cosine_decay")
 
 
@@ -97,10 +98,11 @@ def learning_rate(step: Column, factors: str = "constant * linear_warmup * rsqrt
     return F.greatest(out, F.lit(least))
 
 
-def inverse_root_schedule(step: Column, rate: float, warmup: int) -> tuple[Column, Column]:
-    """Rate over the root of the step (``warmup`` at least), scaled by 100, and the weight decay that goes with it."""
+def inverse_root_schedule(step: Column, rate: float, warmup: int, decay: float = 1e-4) -> tuple[Column, Column]:
+    """Rate over the root of the step (``warmup`` at least), scaled by 100, and the factor of the weights that decays them:
+    the square of the rate, below 0, as many times as ``decay`` has 1e-4."""
     lr = F.lit(rate / 0.01) / F.sqrt(F.greatest(step.cast("double"), F.lit(float(warmup))))
-    return lr, lr * lr
+    return lr, F.lit(-decay / 1e-4) * lr * lr
 
 
 def warmup_cosine(step: Column, start: float, peak: float, end: float, warmup: int, total_steps: int) -> Column:

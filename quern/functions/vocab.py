@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,24 +110,25 @@ class ModelVocabulary(Vocabulary):
     def __init__(self, loader: Callable[[], object], base_size: int, **kw):
         super().__init__(base_size, **kw)
         self.loader = loader
+        self.key = hashlib.sha256(cloudpickle.dumps(loader)).hexdigest()  # with all that the loader has closed over
 
     def encode(self, text: Column) -> Column:
-        loader = self.loader
+        loader, key = self.loader, self.key
 
         @F.pandas_udf("array<int>")
         def run(batch: pd.Series) -> pd.Series:
-            model = _opened(loader)
+            model = _opened(key, loader)
             return pd.Series([list(model.encode(t or "")) for t in batch])
 
         return run(text)
 
     def decode(self, ids: Column) -> Column:
         """Unknown ids are replaced and the end of sequence ends the text, in the same pass as the model's decoding."""
-        loader, base, unk, eos = self.loader, self.base_size, self.unk, self.eos
+        loader, key, base, unk, eos = self.loader, self.key, self.base_size, self.unk, self.eos
 
         @F.pandas_udf("string")
         def run(batch: pd.Series) -> pd.Series:
-            model = _opened(loader)
+            model = _opened(key, loader)
             out = []
             for x in batch:
                 known = [int(i) if unk is None or i < base else unk for i in x]
@@ -141,8 +144,7 @@ class ModelVocabulary(Vocabulary):
 _models: dict = {}
 
 
-def _opened(loader):
-    key = getattr(loader, "__qualname__", repr(loader)), getattr(loader, "args", ())
+def _opened(key: str, loader):
     if key not in _models:
         _models[key] = loader()
     return _models[key]

@@ -29,29 +29,30 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_global_order(df: DataFrame, keys: list[str], size: Column | None = None, index: str = "idx", offset: str = "offset", total: str | None = None, join_back: bool = False) -> DataFrame:
+def with_global_order(df: DataFrame, keys: list[str], size: Column | None = None, index: str = "idx", offset: str = "offset", total: str | None = None, derive: dict[str, Column] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``index``, the rank from 0 by ``keys`` (which must tell rows apart), and ``offset``, the sum of ``size`` before the row.
 
-    Rows are dealt out by range and kept once, so that ranks can't change when a task is run again; only one row for
-    each partition meets on the way.
-
-    ``join_back`` is for wide rows: only keys and sizes are ordered and kept, and then joined to the rows by key (keys must
-    not be null). Columns that cost much are then best computed and stored before.
+    Rows are dealt out by range, sorted within a part and kept once with their places, so that ranks can't change when a
+    task is run again; only one row for each part meets on the way. Columns to ``derive`` (tokens of a text, say) are computed
+    after the rows have moved, just once, and columns to ``drop`` aren't kept; ``size`` may use the derived ones. Running sums
+    are made of places and sizes alone and joined back by place.
     """
-    if join_back:
-        narrow = df.select(*keys, (size if size is not None else F.lit(0)).alias("_own_size"))
-        ranked = with_global_order(narrow, keys, F.col("_own_size") if size is not None else None, index, offset, total)
-        return df.join(ranked.drop("_own_size"), keys)
-    sized = df.withColumn("_size", (size if size is not None else F.lit(0)).cast("long"))
-    dealt = kept(sized.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    sums = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_s"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    starts = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_s").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
-    own = Window.partitionBy("_part").orderBy(*keys)
-    ranked = dealt.withColumn("_i", F.row_number().over(own) - 1).withColumn("_o", F.coalesce(F.sum("_size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranked.join(F.broadcast(starts), "_part").withColumn(index, (F.col("_i") + F.col("_n0")).cast("long"))
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    for name, column in (derive or {}).items():
+        dealt = dealt.withColumn(name, column)
+    if size is not None:
+        dealt = dealt.withColumn("_size", size.cast("long"))
+    dealt = kept(dealt.drop(*drop).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sums = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), (F.sum("_size") if size is not None else F.lit(0)).alias("_s"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as parts
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = F.broadcast(sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_s").over(whole).alias("_total")))
+    out = dealt.withColumn("_part", part).join(starts, "_part").withColumn(index, (place + F.col("_n0")).cast("long"))
     if size is not None:
-        out = out.withColumn(offset, (F.col("_o") + F.col("_s0")).cast("long"))
+        own = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+        running = dealt.select("_id", part.alias("_part"), "_size").select("_id", F.coalesce(F.sum("_size").over(own), F.lit(0)).alias("_o"))
+        out = out.join(running, "_id").withColumn(offset, (F.col("_o") + F.col("_s0")).cast("long")).drop("_o", "_size")
     if total:
         out = out.withColumn(total, F.col("_total").cast("long"))
-    return out.drop("_part", "_size", "_i", "_o", "_n0", "_s0", "_total")
+    return out.drop("_id", "_part", "_n0", "_s0", "_total")

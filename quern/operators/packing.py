@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,41 +16,56 @@ def packing_groups(df: DataFrame, partition: list[str], keys: list[str], example
     """Adds ``idx`` (rank within the partition) and ``block`` of ``examples`` rows; bins never span blocks."""
     ranked = with_global_order(df, [*partition, *keys])
     first = ranked.groupBy(*partition).agg(F.min("idx").alias("_first")) if partition else ranked.agg(F.min("idx").alias("_first"))
-    joined = ranked.join(F.broadcast(first), partition) if partition else ranked.crossJoin(F.broadcast(first))
+    joined = ranked.join(first, partition) if partition else ranked.crossJoin(F.broadcast(first))  # without a partition one row
     return joined.withColumn("idx", F.col("idx") - F.col("_first")).withColumn("block", F.floor(F.col("idx") / examples).cast("long")).drop("_first")
 
 
 def next_fit(grouped: DataFrame, group: list[str], carry: list[str], sizes: dict[str, Column], lengths: dict[str, int]) -> DataFrame:
-    """``bin`` and ``off_<feature>`` of each row: rows go in order of ``idx`` into the open bin, and a row of which any
-    feature would overflow its length opens the next one. A group is one ordered fold over narrow structs."""
+    """``bin``, ``off_<feature>`` and ``n_<feature>`` of each row: rows go in order of ``idx`` into the open bin, and a row of
+    which any feature would overflow its length opens the next one. A group is one pass over its rows' numbers."""
     names = list(sizes)
-    item = F.struct("idx", *carry, *[F.least(sizes[n], F.lit(lengths[n])).cast("int").alias(f"n_{n}") for n in names])
-    rows = F.array_sort(F.collect_list(item))
-    packed = grouped.groupBy(*group).agg(rows.alias("rows"))
-    offsets = ", ".join(f"'at_{n}', 0" for n in names)
-    done = "named_struct(" + ", ".join([*(f"'{c}', x.{c}" for c in ["idx", *carry]), "'bin', BIN", *(f"'off_{n}', OFF_{n}, 'n_{n}', x.n_{n}" for n in names)]) + ")"
-    over = " OR ".join(f"a.at_{n} + x.n_{n} > {lengths[n]}" for n in names)
-    entry = done.replace("BIN", f"if({over}, a.bin + 1, a.bin)")
-    for n in names:
-        entry = entry.replace(f"OFF_{n}", f"if({over}, 0, a.at_{n})")
-    state = "named_struct('bin', " + f"if({over}, a.bin + 1, a.bin), " + ", ".join(f"'at_{n}', if({over}, x.n_{n}, a.at_{n} + x.n_{n})" for n in names) + f", 'out', concat(a.out, array({entry})))"
-    empty = "filter(transform(rows, x -> " + done.replace("BIN", "0") + "), x -> false)"
-    for n in names:
-        empty = empty.replace(f"OFF_{n}", "0")
-    fold = f"inline(aggregate(rows, named_struct('bin', 0, {offsets}, 'out', {empty}), (a, x) -> {state}, a -> a.out))"
-    return packed.selectExpr(*group, fold)
-
-
-def assemble(placed: DataFrame, group: list[str], tokens: str, length: int, pad: int = -1, bos: int = 0) -> DataFrame:
-    """Bins as arrays of ``length``: targets, segment ids (from 1, 0 is padding), positions and shifted inputs."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col("idx"), F.slice(tokens, 1, length).alias("x"))))
-    bins = placed.groupBy(*group, "bin").agg(parts.alias("parts"))
-    flat = F.flatten(F.transform("parts", lambda p: p["x"]))
-    segment = F.flatten(F.transform("parts", lambda p, i: filled(i + 1, F.size(p["x"]))))
-    position = F.flatten(F.transform("parts", lambda p: F.when(F.size(p["x"]) > 0, F.sequence(F.lit(0), F.size(p["x"]) - 1)).otherwise(F.array().cast("array<int>"))))
+    narrow = grouped.select(*group, "idx", *carry, *[F.least(sizes[n], F.lit(lengths[n])).cast("int").alias(f"n_{n}") for n in names])
+    most = np.array([lengths[n] for n in names], np.int64)
+    kept = [*group, "idx", *carry]
+
+    def fold(got: pa.Table) -> pa.Table:
+        got = got.take(pc.sort_indices(got, [("idx", "ascending")]))
+        size = np.stack([np.asarray(got.column(f"n_{n}")) for n in names], axis=1).astype(np.int64)
+        bins, offsets, at, number = np.zeros(len(size), np.int32), np.zeros_like(size), np.zeros_like(most), 0
+        for i, n in enumerate(size):
+            if (at + n > most).any():
+                number, at = number + 1, np.zeros_like(most)
+            bins[i], offsets[i] = number, at
+            at = at + n
+        out = {c: got.column(c) for c in kept} | {"bin": pa.array(bins)}
+        for j, n in enumerate(names):
+            out |= {f"off_{n}": pa.array(offsets[:, j].astype(np.int32)), f"n_{n}": got.column(f"n_{n}")}
+        return pa.table(out)
+
+    schema = ", ".join([*(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept), "bin int", *(f"off_{n} int, n_{n} int" for n in names)])
+    return narrow.groupBy(*group).applyInArrow(fold, schema)
+
+
+def assemble(placed: DataFrame, group: list[str], tokens: str, length: int, pad: int = -1, bos: int = 0, parallel: dict[str, int] | None = None, index: str | None = None, more: dict[str, int] | None = None) -> DataFrame:
+    """Bins as arrays of ``length``: targets, segment ids (from 1, 0 is padding), positions and shifted inputs.
+
+    ``parallel``: columns as long as the tokens (loss weights), each with its padding. ``more``: features of their own
+    (images), each with its length, end to end and padded by nothing. ``index``: nested positions among the tokens, moved by
+    what stands before them in the bin (``off_<tokens>`` of :func:`next_fit`).
+    """
+    parallel, more = parallel or {}, more or {}
+    fields = [F.slice(tokens, 1, length).alias("x"), *[F.slice(c, 1, length).alias(c) for c in parallel], *[F.slice(c, 1, n).alias(c) for c, n in more.items()]]
+    if index:
+        fields.append(rebase_index(F.col(index), F.col(f"off_{tokens}")).alias(index))
+    bins = placed.groupBy(*group, "bin").agg(F.array_sort(F.collect_list(F.struct(F.col("idx"), F.struct(*fields).alias("v"))), lambda a, b: (a["idx"] - b["idx"]).cast("int")).alias("parts"))
+    flat = lambda c: F.flatten(F.transform("parts", lambda p: p["v"][c]))
+    segment = F.flatten(F.transform("parts", lambda p, i: filled(i + 1, F.size(p["v"]["x"]))))
+    position = F.flatten(F.transform("parts", lambda p: F.when(F.size(p["v"]["x"]) > 0, F.sequence(F.lit(0), F.size(p["v"]["x"]) - 1)).otherwise(F.array().cast("array<int>"))))
+    out = bins.withColumn("flat", flat("x")).withColumn("seg", segment).withColumn("pos", position)
     room = F.lit(length) - F.size("flat")
-    out = bins.withColumn("flat", flat).withColumn("seg", segment).withColumn("pos", position)
-    out = out.select(*group, "bin", F.concat("flat", filled(pad, room)).alias("targets"), F.concat("seg", filled(0, room)).alias("segment_ids"), F.concat("pos", filled(pad, room)).alias("positions"))
+    rest = [F.concat(flat(c), filled(F.lit(p).cast(placed.schema[c].dataType.elementType), room)).alias(c) for c, p in parallel.items()]
+    rest += [flat(c).alias(c) for c in [*more, *([index] if index else [])]]
+    out = out.select(*group, "bin", F.concat("flat", filled(pad, room)).alias("targets"), F.concat("seg", filled(0, room)).alias("segment_ids"), F.concat("pos", filled(pad, room)).alias("positions"), *rest)
     return out.withColumn("inputs", autoregressive_inputs(F.col("targets"), F.col("segment_ids"), bos))
 
 

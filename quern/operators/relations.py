@@ -59,9 +59,10 @@ def pad_to_multiple(df: DataFrame, keys: list[str], multiple: int) -> DataFrame:
     return df.withColumn("copy", F.lit(0)).withColumn("valid", F.lit(True)).unionByName(copies.withColumn("valid", F.lit(False)))
 
 
-def group_concat(df: DataFrame, keys: list[str], tokens: str, group: int, strip_zero: bool = False) -> DataFrame:
-    """``gid, tokens``: the tokens of each ``group`` consecutive rows end to end."""
-    numbered = with_global_order(df, keys, join_back=True).withColumn("gid", F.floor(F.col("idx") / group).cast("long"))
+def group_concat(df: DataFrame, keys: list[str], tokens: str, group: int, strip_zero: bool = False, encode: Column | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``gid, tokens``: the tokens of each ``group`` consecutive rows end to end; ``encode`` makes them once the rows are in order."""
+    ready = df.select(*keys, tokens) if encode is None or tokens in df.columns else df
+    numbered = with_global_order(ready, keys, derive=None if encode is None else {tokens: encode}, drop=drop).withColumn("gid", F.floor(F.col("idx") / group).cast("long"))
     joined = numbered.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(tokens).alias("x")))).alias("parts"))
     flat = F.flatten(F.transform("parts", lambda p: p["x"]))
     return joined.select("gid", (F.filter(flat, lambda v: v != 0) if strip_zero else flat).alias(tokens))
@@ -88,7 +89,7 @@ def interleave(df: DataFrame, task: str, keys: list[str], rates: dict[str, float
     rate = F.create_map(*[F.lit(v) for name, r in rates.items() for v in (name, float(r))])
     some = df.withColumn("rate", F.element_at(rate, F.col(task))).where("rate > 0")
     ranked = with_global_order(some, [task, *keys])
-    first = ranked.groupBy(task).agg(F.min("idx").alias("_first"))
+    first = ranked.groupBy(task).agg(F.min("idx").alias("_first"))  # one row for each rate that was given
     return ranked.join(F.broadcast(first), task).withColumn("slot", F.round((F.col("idx") - F.col("_first") + 1) / F.col("rate"), 9)).drop("idx", "_first")
 
 

@@ -70,14 +70,14 @@ def shard_name(base: str, folder: str, prefix: str, split: str, shard: int, shar
 
 def write_shards(df: DataFrame, keys: list[str], path: str, shards: int, missing_only: bool = False) -> None:
     """Parquet with a folder for each balanced shard; with ``missing_only`` shards that are there stay untouched."""
-    dealt = global_shards(df, keys, shards).drop("idx")
+    dealt = global_shards(df, keys, shards).drop("idx")  # in order already, so a shard's rows stand in few parts
     if missing_only:
         spark = df.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
         there = [int(s.getPath().getName().split("=")[1]) for s in (fs.listStatus(hadoop) if fs.exists(hadoop) else []) if s.getPath().getName().startswith("shard=")]
         dealt = dealt.where(~F.col("shard").isin(there)) if there else dealt
-    dealt.repartition("shard").write.mode("append" if missing_only else "overwrite").partitionBy("shard").parquet(path)
+    dealt.write.mode("append" if missing_only else "overwrite").partitionBy("shard").parquet(path)
 
 
 def manifest(corpora: DataFrame, base_url: str, pad: int = 4) -> DataFrame:

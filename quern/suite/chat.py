@@ -32,13 +32,16 @@ def chat_loss_mask(spark, sf_dir):
     return t.select("conv_id", F.size("tokens").alias("n_tokens"), F.aggregate("mask", F.lit(0), lambda a, v: a + v).alias("n_loss"), A.digest(F.col("tokens")).alias("tokens"), A.digest(F.col("mask")).alias("mask"))
 
 
-PROMPT = " || ' ' || ".join([quoted(LLAMA["B_INST"]), quoted(LLAMA["SYS_PREFIX"]), "substr(text, 1, 100)", quoted(LLAMA["E_INST"])])
+PROMPT = " || ' ' || ".join([quoted(LLAMA["B_INST"]), quoted(LLAMA["SYS_PREFIX"]), "text", quoted(LLAMA["E_INST"])])
 
 
-@suite.query(f"SELECT doc_id, CAST(length({PROMPT}) AS INTEGER) AS n_prompt, CAST(length(substr(text, 101, 50)) AS INTEGER) AS n_loss, md5({PROMPT} || substr(text, 101, 50)) AS rendered FROM documents WHERE length(text) > 100")
+ANSWER = "lang || ': ' || text"
+
+
+@suite.query(f"SELECT doc_id, CAST(length({PROMPT}) AS INTEGER) AS n_prompt, CAST(length({ANSWER}) AS INTEGER) AS n_loss, md5({PROMPT} || {ANSWER}) AS rendered FROM documents WHERE lang IS NOT NULL")
 def flan_prompt(spark, sf_dir):
     """Instruction and answer as tokens with a mask; rows without loss drop out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", P.instruction_prompt(F.substring("text", 1, 100), LLAMA).alias("prompt"), F.substring("text", 101, 50).alias("answer"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", P.instruction_prompt(F.col("text"), LLAMA).alias("prompt"), F.concat("lang", F.lit(": "), "text").alias("answer")).where("answer IS NOT NULL")
     coded = docs.select("doc_id", "prompt", "answer", CODEPOINTS.encode(F.col("prompt")).alias("p"), CODEPOINTS.encode(F.col("answer")).alias("a"))
     masked = coded.withColumn("mask", F.concat(A.filled(0, F.size("p")), A.filled(1, F.size("a")))).where(P.supervised(F.col("mask")))
     return masked.select("doc_id", F.size("p").alias("n_prompt"), F.aggregate("mask", F.lit(0), lambda s, v: s + v).alias("n_loss"), F.md5(F.concat("prompt", "answer")).alias("rendered"))

@@ -171,10 +171,10 @@ def rolling_windows(spark, sf_dir):
 
 
 @suite.query(f"""
-WITH x AS (SELECT doc_id, t[1:40] AS p, t[41:60] AS c FROM ({TOKENS})), y AS (SELECT *, list_concat(p, c) AS o FROM x)
+WITH x AS (SELECT doc_id, {cp('lang')} AS p, t AS c FROM (SELECT doc_id, lang, {cp('text')} AS t FROM documents)), y AS (SELECT *, list_concat(p, c) AS o FROM x)
 SELECT doc_id, {D('list_concat([1], o[1:len(o) - 1])')} AS inputs, {D('o')} AS outputs, CAST(len(c) AS INTEGER) AS n_scored FROM y""")
 def prefix_continuation(spark, sf_dir):
-    t = tokens(spark, sf_dir).select("doc_id", F.slice("t", 1, 40).alias("p"), F.slice("t", 41, 20).alias("c"))
+    t = table(spark, sf_dir, "documents").select("doc_id", CODEPOINTS.encode(F.col("lang")).alias("p"), CODEPOINTS.encode(F.col("text")).alias("c"))
     inputs, outputs, mask = scoring.continuation(F.col("p"), F.col("c"), 1)
     return t.select("doc_id", A.digest(inputs).alias("inputs"), A.digest(outputs).alias("outputs"), F.aggregate(mask, F.lit(0), lambda a, v: a + v).alias("n_scored"))
 

@@ -140,12 +140,12 @@ PI = repr(math.pi)
 SELECT CAST(step AS BIGINT) AS step, round(greatest(0.5 * least(1.0, {S} / 1000) / sqrt(greatest({S}, 1000.0)), 1e-8), 10) AS rsqrt,
   round(greatest(0.5 * least(1.0, {S} / 1000) * pow(0.5::DOUBLE, floor({S} / 20000)), 1e-8), 10) AS steps,
   round(greatest(0.5 * least(1.0, {S} / 1000) * greatest(0.0, 0.5 * (1 + cos({PI} * (greatest(0.0, ({S} - 1000) / 100000.0) - floor(greatest(0.0, ({S} - 1000) / 100000.0)))))), 1e-8), 10) AS cosine,
-  round(1.0 / sqrt(greatest({S}, 1000.0)), 10) AS inverse_root, round(pow(1.0 / sqrt(greatest({S}, 1000.0)), 2), 10) AS weight_decay,
+  round(1.0 / sqrt(greatest({S}, 1000.0)), 10) AS inverse_root, round(-(3e-4::DOUBLE / 1e-4::DOUBLE) * pow(1.0 / sqrt(greatest({S}, 1000.0)), 2), 10) AS weight_decay,
   round(CASE WHEN {S} < 500 THEN 0.1 * {S} / 500 ELSE 0.01 + 0.09 * 0.5 * (1 + cos({PI} * least(1.0, greatest(0.0, ({S} - 500) / 29500.0)))) END, 10) AS warmup_cosine
 FROM (SELECT range * 250 AS step FROM range(0, 200))""")
 def lr_schedules(spark, sf_dir):
     step = F.col("step")
-    lr, wd = N.inverse_root_schedule(step, 0.01, 1000)
+    lr, wd = N.inverse_root_schedule(step, 0.01, 1000, 3e-4)
     columns = {
         "rsqrt": N.learning_rate(step),
         "steps": N.learning_rate(step, "constant * linear_warmup * decay_every"),

@@ -9,6 +9,7 @@ from quern.functions import arrays as A
 from quern.functions.fields import FieldProcessor
 from quern.functions.vocab import CodepointVocabulary, DictionaryVocabulary, words
 from quern.operators import packing, streams
+from quern.operators.order import kept
 from quern.operators.relations import group_concat
 from quern.plans.converters import decoder_features, rekey
 from quern.suite.base import CODEPOINTS, WORDS_SQL, Suite, cp, digest_sql, table
@@ -121,8 +122,8 @@ WITH g AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS gid, doc_i
 f AS (SELECT gid, flatten(list(t ORDER BY doc_id)) AS t FROM g GROUP BY gid)
 SELECT CAST(gid AS BIGINT) AS gid, CAST(len(t) AS INTEGER) AS n_tokens, {D('t')} AS digest FROM f""")
 def concat_groups_128(spark, sf_dir):
-    t = tokens(spark, sf_dir).withColumn("t", A.append(F.col("t"), 2, 1))
-    return group_concat(t, ["doc_id"], "t", 128).select("gid", F.size("t").alias("n_tokens"), A.digest(F.col("t")).alias("digest"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return group_concat(docs, ["doc_id"], "t", 128, encode=A.append(CODEPOINTS.encode(F.col("text")), 2, 1), drop=("text",)).select("gid", F.size("t").alias("n_tokens"), A.digest(F.col("t")).alias("digest"))
 
 
 @suite.query(f"""
@@ -131,7 +132,8 @@ f AS (SELECT gid, flatten(list(t ORDER BY doc_id)) AS t FROM g GROUP BY gid),
 s AS (SELECT gid, t, unnest(range(0, CAST(ceil(len(t) / 2048) AS BIGINT))) AS seg FROM f)
 SELECT CAST(gid AS BIGINT) AS gid, CAST(seg AS INTEGER) AS seg, CAST(len(t[seg * 2048 + 1:seg * 2048 + 2048]) AS INTEGER) AS n_tokens, {D('t[seg * 2048 + 1:seg * 2048 + 2048]')} AS digest FROM s""")
 def full_lm(spark, sf_dir):
-    out = streams.full_lm(tokens(spark, sf_dir), ["doc_id"], "t", 2048, 2, 1, most=None)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") > 0)
+    out = streams.full_lm(docs, ["doc_id"], "t", 2048, 2, 1, most=None, encode=CODEPOINTS.encode(F.col("text")), drop=("text",))
     return out.select("gid", "seg", F.size("t").alias("n_tokens"), A.digest(F.col("t")).alias("digest"))
 
 
@@ -142,7 +144,8 @@ a AS (SELECT pos // 1024 AS chunk, list(CASE WHEN pos % 256 = 0 THEN 1 ELSE v EN
 b AS (SELECT (pos - 1) // 1024 AS chunk, list(v ORDER BY pos) AS x FROM p WHERE pos > 0 GROUP BY 1)
 SELECT CAST(chunk AS BIGINT) AS chunk, CAST(len(a.x) AS INTEGER) AS n, {D('a.x')} AS inputs, {D('b.x')} AS targets FROM a JOIN b USING (chunk), n WHERE total > (chunk + 1) * 1024 + 1""")
 def concat_chunk_batches(spark, sf_dir):
-    out = streams.concat_and_chunk(tokens(spark, sf_dir), ["doc_id"], "t", 4, 256, bos=1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = streams.concat_and_chunk(docs, ["doc_id"], "t", 4, 256, bos=1, derive={"t": CODEPOINTS.encode(F.col("text"))}, drop=("text",))
     return out.select("chunk", F.size("inputs").alias("n"), A.digest(F.col("inputs")).alias("inputs"), A.digest(F.col("targets")).alias("targets"))
 
 
@@ -163,8 +166,9 @@ f AS (SELECT source, block, j, doc_id, n, 0 AS bin, 0 AS off FROM g WHERE j = 0
 """
 
 
-def _packed(spark, sf_dir):
-    groups = packing.packing_groups(tokens(spark, sf_dir, "source").select("doc_id", "source", F.size("t").alias("n")), ["source"], ["doc_id"], EXAMPLES)
+def _packed(spark, sf_dir, t=None):
+    t = tokens(spark, sf_dir, "source") if t is None else t
+    groups = packing.packing_groups(t.select("doc_id", "source", F.size("t").alias("n")), ["source"], ["doc_id"], EXAMPLES)
     return packing.next_fit(groups, ["source", "block"], ["doc_id"], {"t": F.col("n")}, {"t": LENGTH})
 
 
@@ -187,7 +191,8 @@ p AS (SELECT source, block, bin, list_concat(t, list_transform(range(0, {LENGTH}
 SELECT source, CAST(block AS BIGINT) AS block, CAST(bin AS INTEGER) AS bin, {D('t')} AS targets, {D('seg')} AS segment_ids, {D('pos')} AS positions,
   {D(f'list_transform(list_zip(list_concat([1], t[1:{LENGTH - 1}]), seg, list_concat([-9], seg[1:{LENGTH - 1}])), lambda z: CASE WHEN z[2] <> z[3] THEN 1 ELSE z[1] END)')} AS inputs FROM p""")
 def packed_sequences(spark, sf_dir):
-    placed = _packed(spark, sf_dir).join(tokens(spark, sf_dir), "doc_id")
+    t = kept(tokens(spark, sf_dir, "source"))  # encoded once
+    placed = _packed(spark, sf_dir, t).join(t.select("doc_id", "t"), "doc_id")
     out = packing.assemble(placed, ["source", "block"], "t", LENGTH, pad=-1, bos=1)
     return out.select("source", "block", "bin", *[A.digest(F.col(c)).alias(c) for c in ("targets", "segment_ids", "positions", "inputs")])
 
@@ -216,3 +221,68 @@ def position_ids(spark, sf_dir):
     n = F.least(F.size("t"), F.lit(96))
     m = tokens(spark, sf_dir).select("doc_id", F.concat(A.filled(0, F.lit(96) - n), A.filled(1, n)).alias("m"))
     return m.select("doc_id", A.digest(A.position_ids(F.col("m"))).alias("positions"), A.digest(A.position_ids(F.col("m"), True)).alias("clamped"))
+
+
+MASKED = f"SELECT doc_id, {cp('text')} AS t, list_transform(range(0, length(text)), lambda i: (i + doc_id) % 2) AS m FROM documents"
+
+
+def masked(spark, sf_dir):
+    """Tokens and, as long, a loss mask that depends on place and document."""
+    t = tokens(spark, sf_dir)
+    return t.withColumn("m", F.transform("t", lambda x, i: ((i + F.col("doc_id")) % 2).cast("long")))
+
+
+@suite.query(f"""
+WITH p AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, v, m FROM (SELECT doc_id, unnest(t) AS v, unnest(m) AS m, unnest(range(0, len(t))) AS i FROM ({MASKED}))),
+n AS (SELECT count(*) AS total FROM p), b AS (SELECT (pos - 1) // 1024 AS chunk, list(v ORDER BY pos) AS x, list(m ORDER BY pos) AS m FROM p WHERE pos > 0 GROUP BY 1)
+SELECT CAST(chunk AS BIGINT) AS chunk, {D('x')} AS targets, {D('m')} AS loss_masks FROM b, n WHERE total > (chunk + 1) * 1024 + 1""")
+def concat_chunk_masks(spark, sf_dir):
+    """Loss masks go with their targets through the stream of chunks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    derive = {"t": CODEPOINTS.encode(F.col("text")), "m": F.transform("t", lambda x, i: ((i + F.col("doc_id")) % 2).cast("long"))}
+    out = streams.concat_and_chunk(docs, ["doc_id"], "t", 4, 256, masks="m", derive=derive, drop=("text",))
+    return out.select("chunk", A.digest(F.col("targets")).alias("targets"), A.digest(F.col("loss_masks")).alias("loss_masks"))
+
+
+@suite.query(f"""
+SELECT doc_id, CAST(seg AS INTEGER) AS seg, {D('t[seg * 100 + 1:seg * 100 + 100]')} AS tokens, {D('m[seg * 100 + 1:seg * 100 + 100]')} AS masks
+FROM (SELECT *, unnest(range(0, CAST(ceil(len(t) / 100) AS BIGINT))) AS seg FROM ({MASKED}))""")
+def split_tokens_parallel(spark, sf_dir):
+    out = streams.split_rows(masked(spark, sf_dir), "t", 100, parallel=["m"], passthrough=["doc_id"])
+    return out.select("doc_id", "seg", A.digest(F.col("t")).alias("tokens"), A.digest(F.col("m")).alias("masks"))
+
+
+@suite.query(f"""
+WITH u AS (SELECT *, 100 + CAST(floor({A.hashed_uniform_sql('doc_id', 6)} * 156) AS BIGINT) AS n, {A.hashed_uniform_sql('doc_id', 5)} AS u FROM ({MASKED}) WHERE len(t) > 0),
+s AS (SELECT *, CAST(floor(u * ceil(len(t) / n)) AS BIGINT) * n AS a FROM u)
+SELECT doc_id, {D('t[a + 1:a + n]')} AS tokens, {D('m[a + 1:a + n]')} AS masks FROM s""")
+def random_chunk_parallel(spark, sf_dir):
+    """Chunks of a drawn length, of tokens and masks alike."""
+    out = streams.random_chunks(masked(spark, sf_dir), "t", 256, F.col("doc_id"), parallel=["m"], min_length=100, seed=5)
+    return out.select("doc_id", A.digest(F.col("t")).alias("tokens"), A.digest(F.col("m")).alias("masks"))
+
+
+@suite.query(f"""{PACK}, s AS (SELECT f.source, f.block, f.bin, f.j, f.n, f.off, f.doc_id, g.t FROM f JOIN g USING (source, block, j)),
+b AS (SELECT source, block, bin, flatten(list(t ORDER BY j)) AS t, flatten(list(list_transform(range(0, n), lambda i: (i + doc_id) % 2) ORDER BY j)) AS w, list(off + 3 ORDER BY j) AS pl FROM s GROUP BY source, block, bin)
+SELECT source, CAST(block AS BIGINT) AS block, CAST(bin AS INTEGER) AS bin, {D('w')} AS weights, {D('pl')} AS places, CAST(len(t) AS INTEGER) AS n_tokens FROM b""")
+def packed_features(spark, sf_dir):
+    """Loss weights and positions packed with their tokens: weights as long as they, positions moved by what stands before."""
+    t = kept(masked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"))
+    placed = _packed(spark, sf_dir, t).join(t.select("doc_id", "t", F.col("m").alias("weights"), F.array(F.array(F.lit(3))).alias("places")), "doc_id")
+    out = packing.assemble(placed, ["source", "block"], "t", LENGTH, pad=-1, bos=1, parallel={"weights": -1}, index="places")
+    n = F.aggregate("segment_ids", F.lit(0), lambda a, v: a + F.when(v > 0, 1).otherwise(0))
+    return out.select("source", "block", "bin", A.digest(F.slice("weights", F.lit(1), n)).alias("weights"), A.digest(F.flatten("places")).alias("places"), n.alias("n_tokens"))
+
+
+SPECS = ["[lang],text", "<|7|>,[source+lang],text"]
+
+
+@suite.query(f"""
+WITH x AS (SELECT doc_id, {cp('lang')} AS l, {cp("source || ' ' || lang")} AS s, {cp('text')} AS b FROM documents)
+SELECT doc_id, {D('CASE WHEN doc_id % 2 = 0 THEN list_concat(list_concat(list_concat([1], l), b), [2]) ELSE list_concat(list_concat(list_concat([1, 7], s), b), [2]) END')} AS tokens,
+  CAST(len(b) + 1 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS mask_sum FROM x""")
+def text_processor_row_fields(spark, sf_dir):
+    """Each row names its own field specification."""
+    docs = table(spark, sf_dir, "documents").withColumn("spec", F.when(F.col("doc_id") % 2 == 0, SPECS[0]).otherwise(SPECS[1]))
+    t, m = FieldProcessor(SPECS[0], CODEPOINTS).columns_by_row(F.col("spec"), SPECS)
+    return docs.select("doc_id", A.digest(t).alias("tokens"), F.aggregate(m, F.lit(0.0), lambda a, v: a + v).alias("mask_sum"))
