@@ -129,7 +129,8 @@ def digest(x: Column) -> Column:
 
 def hashed_uniform(key: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone, so that retries agree."""
-    mixed = F.pmod(key * F.lit(1103515245) + F.lit(seed * 12345 + 6789), F.lit(2147483648))
+    small = F.pmod(key.cast("long"), F.lit(2147483648))  # so that no key, however large, overflows
+    mixed = F.pmod(small * F.lit(1103515245) + F.lit(seed * 12345 + 6789), F.lit(2147483648))
     mixed = F.pmod(mixed * F.lit(69069) + F.lit(1), F.lit(2147483648))
     return mixed / F.lit(2147483648.0)
 

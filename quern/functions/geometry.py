@@ -70,6 +70,41 @@ def fit_and_pad(h: Column, w: Column, out_h: int, out_w: int) -> dict[str, Colum
     return {"scale": scale, "scaled_h": sh, "scaled_w": sw, "pad_top": top, "pad_left": left, "pad_bottom": F.lit(out_h) - sh - top, "pad_right": F.lit(out_w) - sw - left}
 
 
+def random_resize(h: Column, w: Column, out_h: int, out_w: int, scale: Column, widest: Column, along: tuple[Column, Column], least_side: float = 64.0, most: float | None = None) -> dict[str, Column]:
+    """Geometry of an image scaled by chance, cut and centred: ``scaled_h, scaled_w, offset_y, offset_x, pad_top, pad_left, inverse_scale``.
+
+    ``scale`` times the frame is the size aimed at (``most`` bounds it); ``widest`` says whether the longer or the shorter side
+    is to fit it; no side gets below ``least_side``; ``along`` are shares in [0, 1) of the room there is to cut from.
+    """
+    fh, fw = h.cast("double"), w.cast("double")
+    factor = scale if most is None else F.least(F.greatest(F.lit(float(out_w)) / fw, F.lit(float(out_h)) / fh), scale)
+    by, bx = F.floor(factor * out_h) / fh, F.floor(factor * out_w) / fw
+    s = F.greatest(F.when(widest, F.greatest(bx, by)).otherwise(F.least(bx, by)), F.lit(least_side) / F.least(fh, fw))
+    sh, sw = F.floor(fh * s).cast("int"), F.floor(fw * s).cast("int")
+    oy, ox = (F.floor(F.greatest(F.lit(0), side - out) * u).cast("int") for side, out, u in ((sh, out_h, along[0]), (sw, out_w, along[1])))
+    top, left = (F.floor((out - F.least(side - o, F.lit(out))) / 2).cast("int") for side, out, o in ((sh, out_h, oy), (sw, out_w, ox)))
+    return {"scaled_h": sh, "scaled_w": sw, "offset_y": oy, "offset_x": ox, "pad_top": top, "pad_left": left, "inverse_scale": 1.0 / s}
+
+
+def image_info(h: Column, w: Column, g: dict[str, Column]) -> Column:
+    """Eleven numbers that map a cut image back: paddings, inverse scale, size, offsets as shares and pixels, scaled size."""
+    fh, fw = h.cast("double"), w.cast("double")
+    parts = [g["pad_top"], g["pad_left"], g["inverse_scale"], fh, fw, g["offset_y"] / fh, g["offset_x"] / fw, g["offset_y"], g["offset_x"], g["scaled_h"], g["scaled_w"]]
+    return F.array(*[p.cast("double") for p in parts])
+
+
+def image_mask(g: dict[str, Column], out_h: int, out_w: int) -> Column:
+    """Rows of 1 where the frame shows the image and 0 where it is padded."""
+    inside = lambda i, pad, side, off, out: (i >= pad) & (i < pad + F.least(side - off, F.lit(out)))
+    row = F.transform(F.sequence(F.lit(0), F.lit(out_w - 1)), lambda x: F.when(inside(x, g["pad_left"], g["scaled_w"], g["offset_x"], out_w), 1).otherwise(0))
+    return F.transform(F.sequence(F.lit(0), F.lit(out_h - 1)), lambda y: F.when(inside(y, g["pad_top"], g["scaled_h"], g["offset_y"], out_h), row).otherwise(F.array_repeat(F.lit(0), out_w)))
+
+
+def flipped(box: list[Column], w: Column) -> list[Column]:
+    """A box of an image seen in a mirror."""
+    return [box[0], w - box[3], box[2], w - box[1]]
+
+
 def is_tall(h: Column, w: Column) -> Column:
     """Whether an image is upright by four to three, and so is turned."""
     return h >= w * F.lit(4.0) / 3

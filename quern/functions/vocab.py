@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -150,17 +151,120 @@ def _opened(key: str, loader):
     return _models[key]
 
 
-def sentence_pieces(path: str):
-    """A loader of a SentencePiece model file."""
-    from functools import partial
+def sentence_pieces(path: str, extra_ids: int = 0, reverse: bool = False, extra_tokens: tuple[str, ...] = (), start_first: bool = False):
+    """A loader of a SentencePiece model file, with pieces of the user's own after its own.
+
+    ``extra_ids`` adds ``<extra_id_0>`` and so on (the highest number first with ``reverse``), ``extra_tokens`` further
+    pieces; all take effect at a word's start. ``start_first`` puts begin and end before the unknown piece.
+    """
+    return partial(_load_pieces, path, extra_ids, reverse, tuple(extra_tokens), start_first)
 
-    return partial(_load_pieces, path)
 
+def shared_file(spark, path: str) -> str:
+    """Sends a file to all workers and gives the name under which a loader finds it there (:func:`sentence_pieces` takes it)."""
+    spark.sparkContext.addFile(path)
+    return f"shared:{path.rsplit('/', 1)[-1]}"
 
-def _load_pieces(path: str):
+
+def _load_pieces(path: str, extra_ids: int = 0, reverse: bool = False, extra_tokens: tuple[str, ...] = (), start_first: bool = False):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    if path.startswith("shared:"):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(path.removeprefix("shared:"))
+    if not (extra_ids or extra_tokens or start_first):
+        return sentencepiece.SentencePieceProcessor(model_file=path)
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    if start_first:
+        unknown = sentencepiece_model_pb2.ModelProto.SentencePiece()
+        unknown.CopyFrom(model.pieces[0])
+        del model.pieces[0]
+        model.pieces.insert(2, unknown)
+    numbers = range(extra_ids)
+    for name in [*(f"<extra_id_{i}>" for i in (reversed(numbers) if reverse else numbers)), *extra_tokens]:
+        model.pieces.add(piece=f"\u2581{name}", score=0.0, type=sentencepiece_model_pb2.ModelProto.SentencePiece.USER_DEFINED)
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+class PieceVocabulary(ModelVocabulary):
+    """A SentencePiece model; two are equal if their files and extra pieces are."""
+
+    def __init__(self, path: str, extra_ids: int = 0, reverse: bool = False, extra_tokens: tuple[str, ...] = (), start_first: bool = False, pad: int = PAD_ID):
+        model = _load_pieces(path, extra_ids, reverse, extra_tokens, start_first)
+        size = model.vocab_size()
+        super().__init__(sentence_pieces(path, extra_ids, reverse, extra_tokens, start_first), size - extra_ids, bos=model.bos_id(), eos=model.eos_id(), unk=model.unk_id(), extra_ids=extra_ids, pad=pad)
+        self.digest = hashlib.md5(model.serialized_model_proto()).hexdigest()
+        self.encode_text = model.encode
+
+    def _known(self, ids: Column) -> Column:
+        return F.transform(ids, lambda x: F.when(x >= self.size, F.lit(self.unk)).otherwise(x))
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, PieceVocabulary) and (self.digest, self.extra_ids) == (other.digest, other.extra_ids)
+
+    def __hash__(self) -> int:
+        return hash((self.digest, self.extra_ids))
+
+
+#: Families of models, whose special tokens are found after a blank or at once.
+FAMILIES = {"llama": "", "mistral": "", "gemma": " "}
+
+
+def register_family(family: str, path: str, extra_ids: int = 0, extra_tokens: tuple[str, ...] = ()) -> None:
+    """Makes ``vocabulary(family)`` open a model file of one of the known families, extra ids in descending order."""
+    if family not in FAMILIES:
+        raise ValueError(f"no family {family!r}; there are {sorted(FAMILIES)}")
+    register_vocabulary(family, partial(PieceVocabulary, path, extra_ids, True, extra_tokens))
+
+
+def special_ids(vocabulary: PieceVocabulary, tokens: tuple[str, ...], family: str = "llama") -> dict[str, int]:
+    """The id of each special token; each must be one piece."""
+    ids = vocabulary.encode_text(FAMILIES[family] + " ".join(tokens))
+    if len(ids) != len(tokens):
+        raise ValueError("a special token isn't one piece")
+    return dict(zip(tokens, ids, strict=True))
+
+
+def with_special(ids: Column, bos: int | None, eos: int | None, second: Column | None = None) -> Column:
+    """One sequence, or two one after the other, each between its begin and end marks where they are given."""
+    one = lambda x: F.concat(*([F.array(F.lit(bos))] if bos is not None else []), x, *([F.array(F.lit(eos))] if eos is not None else []))
+    return one(ids) if second is None else F.concat(one(ids), one(second))
+
+
+def token_types(ids: Column) -> Column:
+    """Zeros, one for each token: the model knows one type."""
+    return F.array_repeat(F.lit(0), F.size(ids))
+
+
+class SpecialDecoder:
+    """Decoding that keeps special tokens word by word: what lies between them is decoded by the model, the whole is stripped."""
+
+    def __init__(self, vocabulary: ModelVocabulary, special: dict[str, int]):
+        self.vocabulary, self.special = vocabulary, {i: t for t, i in special.items()}
+
+    def decode(self, ids: Column, skip_special: bool = False) -> Column:
+        loader, key, special = self.vocabulary.loader, self.vocabulary.key, self.special
+
+        @F.pandas_udf("string")
+        def run(batch: pd.Series) -> pd.Series:
+            model, out = _opened(key, loader), []
+            for x in batch:
+                parts, plain = [], []
+                for i in map(int, x):
+                    if i in special:
+                        parts += [model.decode(plain)] * bool(plain) + [special[i]] * (not skip_special)
+                        plain = []
+                    else:
+                        plain.append(i)
+                out.append("".join(parts + [model.decode(plain)] * bool(plain)).strip())
+            return pd.Series(out)
+
+        return run(ids)
 
 
 _REGISTRY: dict[str, Callable[[], Vocabulary]] = {"codepoint": CodepointVocabulary, "pass_through": lambda: PassThroughVocabulary(0)}

@@ -28,6 +28,19 @@ def expert_load(chosen: DataFrame, group: str, expert: str, experts: int, capaci
     return out.withColumn("least_loaded", F.row_number().over(w) == 1)
 
 
+def replace_last(placed: DataFrame, group: str, token: str, expert: str, experts: int, capacity: int, k: int) -> DataFrame:
+    """``group, token, choice, expert``: of a token that came too late anywhere, the last choice goes to the expert with the least load of its group."""
+    late = placed.groupBy(group, token).agg(F.max(F.col("place") >= capacity).alias("late"))
+    least = expert_load(placed, group, expert, experts, capacity).groupBy(group).agg(F.min_by(expert, F.struct("load", expert)).alias("least"))
+    out = placed.join(late, [group, token]).join(least, group)
+    return out.select(group, token, "choice", F.when(F.col("late") & (F.col("choice") == k - 1), F.col("least")).otherwise(F.col(expert)).alias(expert))
+
+
+def peeked(df: DataFrame):
+    """The first row (or None) and the table, none of whose rows is used up."""
+    return df.first(), df
+
+
 def redistribute(probs: DataFrame, group: str, token: str, expert: str, p: str, k: int, capacity: int, experts: int, boost: float = 0.2) -> DataFrame:
     """``group, token, expert, again``: pairs within capacity, and pairs that tokens over capacity get in experts with room.
 

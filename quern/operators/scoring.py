@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import filled, lit_ints
+from quern.functions.prompts import affixed
 
 
 def prompt_inputs(tokens: Column, length: int, pad: int, bos: int | None = None) -> tuple[Column, Column]:
@@ -90,6 +91,29 @@ def score(df: DataFrame, scorer: Scorer, schema: str, batch_rows: int = 256) ->
     return df.mapInPandas(run, schema)
 
 
+def loglikelihood_requests(df: DataFrame, prefix: str, text: str, vocabulary, scorer, length: int, pad: int, schema: str, affixes: dict[str, str] | None = None, batch_rows: int = 256) -> DataFrame:
+    """Requests from a table to answers: words around prefix and text, tokens, ``inputs, outputs, mask`` of ``length``, and the scorer's columns.
+
+    A missing prefix is empty; the prefix loses its beginning and the text its end where they are too long together.
+    """
+    before, after = affixed(F.col(prefix), F.col(text), **(affixes or {}))
+    rest = [c for c in df.columns if c not in (prefix, text)]
+    coded = df.select(*rest, vocabulary.encode(before).alias("_p"), vocabulary.encode(after).alias("_t"))
+    kept = coded.withColumn("_t", F.slice("_t", 1, length)).withColumn("_n", F.least(F.size("_p"), F.lit(length) - F.size("_t")))
+    kept = kept.withColumn("_p", F.when(F.col("_n") > 0, F.slice("_p", F.size("_p") - F.col("_n") + 1, F.col("_n"))).otherwise(F.array().cast("array<int>")))
+    inputs, outputs, mask = continuation(F.col("_p"), F.col("_t"), vocabulary.bos)
+    room = lambda x, value: F.concat(x, filled(value, F.lit(length) - F.size(x)))
+    asked = kept.select(*rest, room(inputs, pad).alias("inputs"), room(outputs, pad).alias("outputs"), room(mask, 0).alias("mask"))
+    return score(asked, scorer, schema, batch_rows)
+
+
+def generation_requests(df: DataFrame, prefix: str, vocabulary, scorer, length: int, pad: int, schema: str, stops: list[str], batch_rows: int = 256) -> DataFrame:
+    """Prompts from a table to generated words, cut at the stops: the scorer sees ``inputs, mask`` and gives ``output_text``."""
+    ids, mask = prompt_inputs(vocabulary.encode(F.coalesce(F.col(prefix), F.lit(""))), length, pad, vocabulary.bos)
+    asked = df.select(*[c for c in df.columns if c != prefix], ids.alias("inputs"), mask.alias("mask"), F.array(*map(F.lit, stops)).alias("until"))
+    return score(asked, scorer, schema, batch_rows).withColumn("output_text", until(F.col("output_text"), stops))
+
+
 def evaluate(scored: DataFrame, item: str, choice: str, value: str, gold: DataFrame) -> DataFrame:
     """``n, accuracy``: how often the choice of the greatest value is the right one (``gold``: item, answer); ties go to the lower choice."""
     best = scored.groupBy(item).agg(F.max_by(choice, F.struct(F.col(value), F.negative(choice))).alias("best"))

@@ -77,6 +77,19 @@ def normalised_key(path: Column, prefix: str) -> Column:
     return F.when(F.startswith(path, F.lit(prefix)), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
 
 
+def loaded_names(params: DataFrame, prefix: str = "", known: list[str] | None = None, inserted: str = "inner_opt_state") -> DataFrame:
+    """Parameters under the names that a target knows: only those below ``prefix``, which is cut off, and where a name isn't
+    among ``known`` but would be with ``inserted`` after its first part, that one."""
+    path = F.col("path")
+    if prefix:
+        params = params.where(F.startswith(path, F.lit(prefix + "/"))).withColumn("path", normalised_key(path, prefix + "/"))
+    if known is None:
+        return params
+    names = F.array(*map(F.lit, known)).cast("array<string>")
+    other = F.regexp_replace(path, "^([^/]+)/", f"$1/{inserted}/")
+    return params.withColumn("path", F.when(~F.array_contains(names, path) & F.array_contains(names, other), other).otherwise(path))
+
+
 def soup(params: DataFrame, key: list[str], expert: str, alpha: Column, value: Column) -> DataFrame:
     """Average of the experts' parameters with weights softmax(alpha): one value for each key."""
     w = F.exp(alpha)

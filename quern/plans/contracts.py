@@ -43,6 +43,18 @@ def check_lengths(df: DataFrame, lengths: dict[str, int], exact: bool = False) -
     return df
 
 
+def check_columns(cut: list[str], passthrough: list[str], df: DataFrame) -> None:
+    """Raises if a column is both changed and passed through, or missing."""
+    both, missing = set(cut) & set(passthrough), [c for c in [*cut, *passthrough] if c not in df.columns]
+    if both or missing:
+        raise ValueError(f"columns both changed and passed through: {sorted(both)}; missing: {missing}")
+
+
+def without_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The rows in which none of the columns is null."""
+    return df.dropna(subset=columns)
+
+
 def check_last_token(df: DataFrame, name: str, forbidden: list[int]) -> DataFrame:
     """The rows; one whose last token is a forbidden one fails when it is read."""
     last = F.get(F.col(name), F.size(name) - 1)

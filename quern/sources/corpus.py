@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.prompts import kept_turns
-from quern.operators.relations import global_shards
+from quern.operators.order import with_global_order
+from quern.operators.relations import global_shards, shuffled_shards
 
 RECORD = "id string, text string"
 
@@ -59,6 +63,52 @@ def read_instructions(spark: SparkSession, path: str, images: str | None = None,
     return joined.select("key", F.when(F.col("image").isNotNull(), 1).otherwise(0).alias("has_image"), "image", "conversations")
 
 
+def read_captions(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a captioning file as they are: ``key`` (the record's own id), ``image``, all turns."""
+    raw = spark.read.schema(INSTRUCTIONS).option("multiLine", True).json(path)
+    turns = F.transform("conversations", lambda c: F.struct(c["from"].alias("from"), F.coalesce(c["value"], c["text"]).alias("value")))
+    return raw.select(F.col("id").alias("key"), "image", turns.alias("conversations"))
+
+
+def repeated_lines(lines: DataFrame, column: str, schema: str, passes: int, after: int = 0) -> DataFrame:
+    """Lines (``file_order`` tells their order) read ``passes`` times over, from the ``after``-th on: ``pass, index, offset`` and ``record``.
+
+    ``index`` counts lines from 0 in each pass, broken ones too; ``offset`` is the byte at which the line begins. Blank and
+    broken lines give no row.
+    """
+    placed = with_global_order(lines, ["file_order"], F.octet_length(column) + 1, index="index")
+    each = parse_lines(placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))), column, schema)
+    total = F.col("pass") * F.lit(lines.count()) + F.col("index")
+    return each.where((total >= after) & F.col("record").isNotNull()).select("pass", "index", "offset", "record")
+
+
+def save_state(spark: SparkSession, path: str, config: dict, index: int, offset: int, tokens: int) -> None:
+    """Where a reader of a stream stands, as one row."""
+    spark.createDataFrame([(json.dumps(config, sort_keys=True), index, offset, tokens)], STATE).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> dict:
+    r = spark.read.schema(STATE).parquet(path).first()
+    return {"config": json.loads(r["config"]), "index": r["index"], "offset": r["offset"], "tokens": r["tokens"]}
+
+
+STATE = "config string, index long, offset long, tokens long"
+
+
+def convert(df: DataFrame, parse, schema: str, key: str, path: str, shards: int, seed: int = 0) -> None:
+    """Each row (a dictionary) through ``parse`` into a new one or None, which is left out; what comes is shuffled and written in shards."""
+    names = T.StructType.fromDDL(schema).fieldNames()
+
+    def run(batches):
+        for b in batches:
+            found = [x for x in map(parse, b.to_dict("records")) if x is not None]
+            yield pd.DataFrame([[x[n] for n in names] for x in found], columns=names)
+
+    parsed = df.mapInPandas(run, schema)
+    dealt = shuffled_shards(parsed, F.abs(F.xxhash64(key) % F.lit(1 << 20)), [key], shards, seed)
+    dealt.drop("place").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def count_lines(df: DataFrame, *by: str) -> DataFrame:
     """Rows by file (or whatever tells sources apart)."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
@@ -93,10 +143,12 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.when(F.size(parts) > 1, F.element_at(parts, F.when(F.size(parts) > 1, F.lit(-2)).otherwise(F.lit(-1)))), F.element_at(parts, -1)
 
 
-def write_parameters(spark: SparkSession, flat: dict, path: str) -> None:
-    """Leaves of a parameter tree as a table of ``path, shape, dtype, data``."""
+def write_parameters(spark: SparkSession, flat: dict, path: str, floats: str | None = None, names: list[str] | None = None) -> None:
+    """Leaves of a parameter tree (or those of ``names``) as a table of ``path, shape, dtype, data``; floating ones as ``floats``."""
     import numpy as np
 
+    cast = lambda v: np.asarray(v).astype(floats) if floats and np.asarray(v).dtype.kind == "f" else np.asarray(v)
+    flat = {k: cast(v) for k, v in flat.items() if names is None or k in names}
     rows = [(k, [int(n) for n in np.shape(v)], str(np.asarray(v).dtype), np.asarray(v).tobytes()) for k, v in flat.items()]
     spark.createDataFrame(rows, "path string, shape array<int>, dtype string, data binary").write.mode("overwrite").parquet(path)
 

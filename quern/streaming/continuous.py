@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,16 +23,11 @@ def stream_chunks(df: DataFrame, shard: str, order: str, tokens: str, rows: int,
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, tail = state.get if state.exists else (0, [])
-        buffer = list(tail) if carry_tail else []
         whole = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for x in whole[tokens]:
-            buffer.extend(int(v) for v in x)
-            while len(buffer) > size + 1:
-                out.append((key[0], number, buffer[:size], buffer[1 : size + 1]))
-                buffer = buffer[size:]
-                number += 1
-        state.update((number, buffer))
+        stream = np.concatenate([np.asarray(tail if carry_tail else [], np.int32), *(np.asarray(x, np.int32) for x in whole[tokens])])
+        ready = max(0, (len(stream) - 2) // size)  # a chunk takes its successor and waits for one more
+        out = [(key[0], number + i, stream[i * size : (i + 1) * size], stream[i * size + 1 : (i + 1) * size + 1]) for i in range(ready)]
+        state.update((number + ready, stream[ready * size :].tolist()))
         yield pd.DataFrame(out, columns=["shard", "chunk", "inputs", "targets"])
 
     return df.groupBy(shard).applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

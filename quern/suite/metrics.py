@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from quern.functions import metrics as M
 from quern.functions import numeric as N
 from quern.operators import trees
 from quern.operators.relations import running_average
@@ -16,23 +17,27 @@ suite = Suite()
 
 @suite.query("SELECT event_type, round(sum(value), 4) AS total, CAST(count(*) AS BIGINT) AS steps FROM events GROUP BY event_type")
 def metric_sums(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("total"), F.count(F.lit(1)).alias("steps"))
+    g = table(spark, sf_dir, "events").groupBy("event_type").agg(M.Sum.partial(total=F.col("value")).alias("s"), M.Step.partial(steps=F.lit(1)).alias("n"))
+    return g.select("event_type", F.round(M.Sum.computed(F.col("s")), 4).alias("total"), M.Step.computed(F.col("n")).alias("steps"))
 
 
 @suite.query("SELECT event_type, round(sum(t) / sum(s), 6) AS per_step, round(avg(t / s), 6) AS mean_of_parts FROM (SELECT event_type, user_id, sum(value) AS t, count(*) AS s FROM events GROUP BY ALL) GROUP BY event_type")
 def metric_avg_per_step(spark, sf_dir):
     """Totals by steps, from partial totals that merge, and beside it the plain mean of the parts."""
-    parts = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("t"), F.count(F.lit(1)).alias("s"))
-    return parts.groupBy("event_type").agg(F.round(F.sum("t") / F.sum("s"), 6).alias("per_step"), F.round(F.avg(F.col("t") / F.col("s")), 6).alias("mean_of_parts"))
+    average = M.AveragePerStep
+    parts = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(average.partial(total=F.col("value"), steps=F.lit(1)).alias("p"))
+    both = parts.groupBy("event_type").agg(average.merged(F.col("p")).alias("all"), F.avg(average.computed(F.col("p"))).alias("mean"))
+    return both.select("event_type", F.round(average.computed(F.col("all")), 6).alias("per_step"), F.round("mean", 6).alias("mean_of_parts"))
 
 
 @suite.query("""
 SELECT event_type, round(sum(value) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 9) AS rate, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 9) AS steps_per_second,
   round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration FROM events GROUP BY event_type""")
 def time_rate(spark, sf_dir):
-    seconds = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / F.lit(1e6)
-    g = table(spark, sf_dir, "events").groupBy("event_type")
-    return g.agg(F.round(F.sum("value") / seconds, 9).alias("rate"), F.round(F.count(F.lit(1)) / seconds, 9).alias("steps_per_second"), F.round(seconds, 3).alias("duration"))
+    parts = M.TimeRate.partial(numerator=F.col("value")).alias("r"), M.StepsPerTime.partial(steps=F.lit(1)).alias("n"), M.Time.span(F.col("ts").cast("timestamp")).alias("seconds")
+    g = table(spark, sf_dir, "events").groupBy("event_type").agg(*parts)
+    rate, steps = M.TimeRate.computed(F.col("r"), F.col("seconds")), M.StepsPerTime.computed(F.col("n"), F.col("seconds"))
+    return g.select("event_type", F.round(rate, 9).alias("rate"), F.round(steps, 9).alias("steps_per_second"), F.round("seconds", 3).alias("duration"))
 
 
 @suite.query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) + 1e-9, 6) AS moving FROM events")
