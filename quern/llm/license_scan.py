@@ -103,11 +103,12 @@ def _around_ends(lines: Column, sizes: list[int]) -> Column:
         number = F.flatten(F.transform(ls, lambda x, i: F.array_repeat(i, F.size(x))))  # each word's line
         ends = let(number, lambda n: F.filter(F.transform(n, lambda v, i: F.when((i > 0) & (F.get(n, i - 1) != v), i)), lambda e: e.isNotNull()))
 
-        def around(w: Column, e: Column, size: int) -> Column:
+        def around(w: Column, e: Column, size: Column) -> Column:
             first = F.greatest(e - (size - 1), F.lit(0))
-            return F.struct(F.lit(size).alias("words"), F.slice(w, first + 1, e - first + size - 1).alias("tokens"))
+            return F.struct(size.alias("words"), F.slice(w, first + 1, e - first + size - 1).alias("tokens"))
 
-        return let(words, lambda w: F.flatten(F.transform(ends, lambda e: F.array(*[around(w, e, size) for size in sizes]))))
+        each = F.array(*map(F.lit, sizes))
+        return let(words, lambda w: F.flatten(F.transform(ends, lambda e: F.transform(each, lambda size: around(w, e, size)))))
 
     return let(found, cut)
 
