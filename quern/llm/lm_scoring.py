@@ -1,8 +1,8 @@
 """Language-model scores of whole documents: a log-bilinear model learnt by noise-contrastive estimation.
 
-The model predicts a token from the two before it: the sum of their vectors, each through a matrix of its place, is
-compared with vectors of what may come.  Its outcomes are the 8,192 most frequent training tokens and 64 groups of all
-others by their ending; ordered by frequency they make up classes of 96, and a token's probability is that of its
+The model predicts a token from the three before it: the sum of their vectors, each through a matrix of its place, is
+compared with vectors of what may come.  Its outcomes are the 16,384 most frequent training tokens and 64 groups of all
+others by their ending; ordered by frequency they make up classes of 128, and a token's probability is that of its
 class times that within the class, both log-bilinear.  Within a group a token has its smoothed unigram probability, so
 probabilities sum to 1 over all training tokens and one unknown one of each group.  The normalising constants, over all
 classes and over all outcomes of the token's class, come from batched matrix products, so each token's score is exact.
@@ -36,10 +36,10 @@ from quern.llm.quality_ranking import held_out
 from quern.llm.words import word_hashes, word_spans
 
 #: The model's size: frequent tokens, outcomes of a class, numbers of a vector, tokens of context.
-VOCABULARY = 8192
-CLASS = 96
-DIMENSIONS = 24
-CONTEXT = 2
+VOCABULARY = 16_384
+CLASS = 128
+DIMENSIONS = 32
+CONTEXT = 3
 #: Noise classes of a step, noise tokens of each class in it, examples of a step.
 NOISE, OWN_NOISE, STEP = 48, 16, 4096
 #: Steps that a group takes at least (with fewer examples each).
