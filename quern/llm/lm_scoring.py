@@ -324,6 +324,11 @@ class Learner:
             at = order[i : i + size]
             w, contexts = _unpacked(key[at])
             self._step(w, contexts, weight[at].astype(np.float32))
+        w, contexts = _unpacked(key)
+        for k, places in [*((0, c) for c in contexts), (1, w), (3, w // self.each)]:
+            self.met[k] += np.bincount(places, weight, len(self.met[k]))
+        self.met[2], self.met[4] = self.met[1], self.met[3]
+        self.met[5] += float(weight.sum())
 
     def _move(self, k: int, at: np.ndarray | None, g: np.ndarray) -> None:
         """A step of parameter ``k`` at some rows; a vector has one step size."""
@@ -345,31 +350,44 @@ class Learner:
         sigmoid = lambda x: 1 / (1 + np.exp(-x))  # noqa: E731  in single precision far values give 0 or 1
         # classes: the same noise for all examples of a step
         noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE)), len(self.of) - 1)
-        gt = -weight * sigmoid(-((h * m.a[cls]).sum(axis=1) + m.d[cls] - self.log_of[cls]))
-        gn = weight[:, None] * sigmoid(h @ m.a[noise].T + (m.d[noise] - self.log_of[noise]))
-        dh = gt[:, None] * m.a[cls] + gn @ m.a[noise]
+        own = m.a[cls]
+        gt = -weight * sigmoid(-(np.einsum("nd,nd->n", h, own) + (m.d - self.log_of)[cls]))
+        an = m.a[noise]
+        gn = sigmoid(h @ an.T + (m.d[noise] - self.log_of[noise]))
+        gn *= weight[:, None]
+        own *= gt[:, None]
+        dh = gn @ an
+        dh += own
         ga, gd = np.zeros_like(m.a), np.zeros_like(m.d)
-        at, g = _summed(cls, np.column_stack([gt[:, None] * h, gt]))
-        ga[at], gd[at] = g[:, :-1], g[:, -1]
+        parts = stretches(cls)  # the examples are in order of class
+        some = cls[[x for x, _ in parts]]
+        ga[some], gd[some] = np.add.reduceat(gt[:, None] * h, [x for x, _ in parts]), np.add.reduceat(gt, [x for x, _ in parts])
         np.add.at(ga, noise, gn.T @ h)
         np.add.at(gd, noise, gn.sum(axis=0))
         # outcomes: the same noise for all examples of a class
-        parts = stretches(cls)
-        some = cls[[x for x, _ in parts]]
         u = self.cdf[some * self.each][:, None] + self.rng.random((len(some), OWN_NOISE)) * self.of[some][:, None]
         last = np.minimum((some + 1) * self.each, len(self.p)) - 1
         other = np.clip(np.searchsorted(self.cdf, u, "right") - 1, (some * self.each)[:, None], last[:, None])
-        xt = -weight * sigmoid(-((h * m.q[w]).sum(axis=1) + m.b[w] - self.log_own[w]))
-        dh += xt[:, None] * m.q[w]
-        qn, bn, back = m.q[other], m.b[other] - self.log_own[other], []
+        own = m.q[w]
+        xt = -weight * sigmoid(-(np.einsum("nd,nd->n", h, own) + (m.b - self.log_own)[w]))
+        own *= xt[:, None]
+        dh += own
+        qn, bn = m.q[other], m.b[other] - self.log_own[other]
+        e = np.empty((len(w), OWN_NOISE), np.float32)
         for i, (x, y) in enumerate(parts):
-            e = weight[x:y, None] * sigmoid(h[x:y] @ qn[i].T + bn[i])
-            dh[x:y] += e @ qn[i]
-            back.append(np.column_stack([e.T @ h[x:y], e.sum(axis=0)]))
+            np.matmul(h[x:y], qn[i].T, out=e[x:y])
+        e += np.repeat(bn, [y - x for x, y in parts], axis=0)
+        e = sigmoid(e)
+        e *= weight[:, None]
+        back = np.empty((len(parts), OWN_NOISE, h.shape[1] + 1), np.float32)
+        back[:, :, -1] = np.add.reduceat(e, [x for x, _ in parts])
+        for i, (x, y) in enumerate(parts):
+            dh[x:y] += e[x:y] @ qn[i]
+            np.matmul(e[x:y].T, h[x:y], out=back[i, :, :-1])
         scale = np.float32(1 / len(w))
         first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))  # in order already
         own = np.add.reduceat(np.column_stack([xt[:, None] * h, xt]), first)
-        at, g = _summed(np.append(w[first], other.ravel()), np.concatenate([own, *back]) * scale)
+        at, g = _summed(np.append(w[first], other.ravel()), np.concatenate([own, back.reshape(-1, back.shape[2])]) * scale)
         self._move(1, at, g[:, :-1])
         self._move(2, at, g[:, -1])
         self._move(3, None, ga * scale)
@@ -378,10 +396,6 @@ class Learner:
         gc = np.stack([x.T @ dh for x in r]) * scale
         self._move(0, at, g)
         self._move(5, None, gc)
-        for k, places in ((0, np.concatenate(contexts)), (1, w), (3, cls)):
-            self.met[k] += np.bincount(places, np.tile(n, len(places) // len(n)), len(self.met[k]))
-        self.met[2], self.met[4] = self.met[1], self.met[3]
-        self.met[5] += float(n.sum())
 
 
 def _weighted(learner: Learner) -> list[np.ndarray]:
