@@ -1,7 +1,7 @@
 """Exact BPE encoding and decoding with a minimal acyclic transducer for frequent words.
 
-The lexicon holds the words that the vocabulary itself has as whole words, and the frequent words of a bounded
-sample of the corpus, whatever number of tokens they take; it decides speed alone, never a result.  It is compiled into a minimal automaton with shared suffixes, whose
+The lexicon holds the words that the vocabulary itself has as whole words, and the frequent words of the corpus by counts
+of all its texts, whatever number of tokens they take; it decides speed alone, never a result.  It is compiled into a minimal automaton with shared suffixes, whose
 transitions carry numbers that add up to a word's rank; the ids of each rank lie in a table beside it.  Workers
 map the file into memory and send all different words of a chunk through it at once, a byte at a time.
 Words outside the lexicon are merged exactly, also all at once: in each round every word merges its pair of
@@ -25,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import documents, slices
+from quern.llm.blocks import documents, durable, slices
 
 CHUNK_BYTES = 4 << 20
 CACHE_WORDS = 250_000
-#: Bounds of the sample whose words enter the lexicon: rows, characters of each, and words that come out.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WORDS = 2000, 20_000, 50_000
+#: Bounds of what enters the lexicon besides whole words of the vocabulary: words, bytes of all, and bytes of each (a state a byte).
+LEXICON_WORDS, LEXICON_BYTES, WORD_BYTES = 50_000, 1 << 20, 64
+#: Different words that a task counts before it hands their counts on.
+COUNTED_WORDS = 250_000
 #: White space of Unicode (property White_Space), which the tokenizer file's \\s stands for.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -238,6 +240,31 @@ class Merges:
 # ---------------------------------------------------------------- the tokenizer
 
 
+class Pieces:
+    """The splitting of a tokenizer file: NFC, lower case, a pattern, special tokens."""
+
+    def __init__(self, spec: dict):
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self._pieces = regex.compile(pattern.replace(r"\s", SPACE))
+        self._special = regex.compile("|".join(map(regex.escape, added))) if added else None
+
+    def words(self, text: str) -> list[str]:
+        """The pieces of a text; special tokens come with a space before them."""
+        out: list[str] = []
+        at = 0
+        for m in self._special.finditer(text) if self._special and "<" in text else ():
+            out += self._plain(text[at : m.start()])
+            out.append(f" {m[0]}")
+            at = m.end()
+        return out + self._plain(text[at:]) if at else self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self._pieces.findall(text.lower())
+
+
 class WordBpe:
     """A tokenizer file of the kind "words with ends": NFC, lower case, a splitting pattern, byte letters."""
 
@@ -250,9 +277,7 @@ class WordBpe:
         self.token = [""] * size
         for t, i in [*self.vocab.items(), *self.added.items()]:
             self.token[i] = t
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._pieces = regex.compile(pattern.replace(r"\s", SPACE))
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.pieces = Pieces(spec)
         self.lexicon = Lexicon(compiled or self.with_words(extra_words))
         self._cache: dict[str, int] = {}
         self._clear()
@@ -277,21 +302,6 @@ class WordBpe:
             self._ids.append(np.array([i], np.uint32))
             self._text.append(t)
 
-    def words(self, text: str) -> list[str]:
-        """The pieces of a text; special tokens come with a space before them."""
-        out: list[str] = []
-        at = 0
-        for m in self._special.finditer(text) if self._special and "<" in text else ():
-            out += self._plain(text[at : m.start()])
-            out.append(f" {m[0]}")
-            at = m.end()
-        return out + self._plain(text[at:]) if at else self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self._pieces.findall(text.lower())
-
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
         rank = self.lexicon.ranks(raw)
@@ -308,7 +318,7 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids and decoded text of each text."""
-        split = [self.words(t) for t in texts]
+        split = [self.pieces.words(t) for t in texts]
         if len(self._cache) > CACHE_WORDS:
             self._clear()
         new = set()
@@ -327,11 +337,47 @@ class WordBpe:
         return " ".join(self.token[i] for i in ids if 0 <= i < len(self.token))
 
 
-def frequent_words(docs: DataFrame, bpe: WordBpe, text: str = "text", *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, most: int = SAMPLE_WORDS) -> list[str]:
-    """Words that occur at least twice in the first ``rows`` texts of at most ``chars`` characters, the ``most`` frequent ones."""
-    some = docs.select(F.col(text).cast("string").alias("text")).where(F.length("text").between(1, chars)).take(rows)
-    count = Counter(w for r in some for w in bpe.words(r["text"]) if not w.startswith(" "))
-    return [w for w, n in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1]
+COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+
+def word_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """``word, n``: how often each word of at most ``WORD_BYTES`` bytes occurs in all whole texts; special tokens are no words."""
+
+    def counted(count: Counter) -> pa.RecordBatch:
+        own = [w for w in count if not w.startswith(" ") and len(w.encode()) <= WORD_BYTES]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([count[w] for w in own], pa.int64())], schema=COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+        for b in batches:
+            for piece in slices(b, 0, CHUNK_BYTES):
+                for t in piece.column(0).to_pylist():
+                    count.update(pieces.words(t))
+                if len(count) > COUNTED_WORDS:
+                    yield counted(count)
+                    count.clear()
+        yield counted(count)
+
+    some = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    return some.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, bpe: WordBpe, text: str = "text", *, most: int = LEXICON_WORDS) -> list[str]:
+    """The most frequent words of all texts that occur at least twice, ``most`` of them and ``LEXICON_BYTES`` at most, by falling count.
+
+    Counts are those of :func:`word_counts`, levels of them a 256th of a power of two apart; a level goes in whole or not at all, so
+    the words don't depend on how rows lie, and only levels and words that go in come to the driver.
+    """
+    level = F.floor(F.log2("n") * 256)
+    counts = durable(word_counts(docs, bpe.pieces, text).where(F.col("n") > 1).withColumn("level", level))
+    least, words, size = None, 0, 0
+    for r in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("size")).collect(), key=lambda r: -r["level"]):
+        words, size = words + r["words"], size + r["size"]
+        if words > most or size > LEXICON_BYTES:
+            break
+        least = r["level"]
+    found = counts.where(F.col("level") >= least).select("word", "n").collect() if least is not None else []
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
@@ -355,17 +401,17 @@ def load_spec(path: str) -> dict:
         return json.load(f)
 
 
-def bpe_encode(docs: DataFrame, spec: dict, doc_id: str = "doc_id", text: str = "text", *, keep_ids: bool = True, sample: DataFrame | None = None) -> DataFrame:
+def bpe_encode(docs: DataFrame, spec: dict, doc_id: str = "doc_id", text: str = "text", *, keep_ids: bool = True) -> DataFrame:
     """One row per document: ``doc_id, n_tokens``, digests of ids and of the decoded text, and the ids.
 
-    The driver compiles the lexicon once, with the frequent words of a bounded number of rows of ``sample`` (a table with
-    the same text column, by default ``docs``); file and lexicon (some MB, whatever the corpus) are broadcast. A null
+    All texts are read twice: to count their words, and to encode them. The driver compiles the lexicon once, with the most
+    frequent words by these counts; file and lexicon (some MB, whatever the corpus) are broadcast. A null
     text is the empty text, which has no tokens; a null id stays null; equal rows give equal rows; an empty table
     an empty result. Extra columns are ignored. Texts are never cut; a chunk is one text at least.
     """
     sc = docs.sparkSession.sparkContext
     plain = WordBpe(spec, Lexicon.compiled({}))
-    compiled = plain.with_words(frequent_words(docs if sample is None else sample, plain, text))
+    compiled = plain.with_words(frequent_words(docs, plain, text))
     shared = sc.broadcast((json.dumps(spec), compiled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,4 +438,4 @@ def default_spec() -> dict:
 
 def op9_bpe_transducer(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return bpe_encode(docs, default_spec(), keep_ids=False, sample=spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe_encode(docs, default_spec(), keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -350,6 +350,19 @@ def test_lexicon_holds_frequent_words_of_the_corpus(spark, pair):
     assert len(ids) > 1 and list(bpe.lexicon.ids[bpe.lexicon.at[r] : bpe.lexicon.at[r + 1]]) == list(ids)
 
 
+def test_lexicon_comes_from_counts_of_all_texts(spark, pair, monkeypatch):
+    plain = B.WordBpe(pair[0])
+    own = ["common words"] * 2100 + ["zorblaxian", "Zorblaxian rare", None, "quixolent <|endoftext|> " * 1500, "y" * 65 + " " + "y" * 65]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").coalesce(1)
+    assert B.frequent_words(df, plain) == ["common", "words", "quixolent", "zorblaxian"]
+    assert B.frequent_words(df, plain, most=3) == ["common", "words", "quixolent"] and B.frequent_words(df, plain, most=1) == []
+    monkeypatch.setattr(B, "COUNTED_WORDS", 1)  # counts handed on in many parts are the same
+    assert B.frequent_words(df.repartition(7), plain) == ["common", "words", "quixolent", "zorblaxian"]
+    want = Counter(w for t in TRICKY for w in plain.pieces.words(t) if not w.startswith(" ") and len(w.encode()) <= 64)
+    tricky = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
+    assert {r["word"]: r["n"] for r in B.word_counts(tricky, plain.pieces).collect()} == want
+
+
 def test_merges_of_many_words_equal_one_by_one(pair):
     m = B.WordBpe(pair[0]).merges
     words = [b"aaaaaaa", b"banana", b"x", b"mississippi", "über".encode(), b"aaaa", b"thethethe"]
