@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from quern.llm.quality_ranking import keep_good
 from tests.llm.conftest import CLASHING
@@ -91,3 +93,15 @@ def test_registered(spark):
 
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
     assert {f"op{n}_" for n in range(1, 11)} <= {f"{q.split('_')[0]}_" for q in entry.queries()}
+
+
+def test_lexicon_of_the_tokens_stage_comes_from_all_its_rows(spark, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    from quern.llm.bpe_transducer import WordBpe
+
+    seen, compiled = [], WordBpe.with_words
+    monkeypatch.setattr(WordBpe, "with_words", lambda self, words: seen.append(list(words)) or compiled(self, seen[-1]))
+    own = ["common words"] * 2100 + ["zorblaxian"] * 2
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").coalesce(1)
+    assert corpus_pipeline.tokens(spark, df, "").count() == len(own)
+    assert ["common", "words", "zorblaxian"] in seen
