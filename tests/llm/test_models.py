@@ -15,6 +15,7 @@ from quern.llm.language_id import counts, languages
 from quern.llm.language_id import fit as fit_centroids
 from quern.llm import lm_scoring as LM
 from quern.llm.lm_scoring import lm_scores
+from quern.llm import quality_ranking
 from quern.llm.quality_ranking import _CLASS, features, fit, keep_good, quality_scores
 from quern.llm.quality_ranking import text_buffers
 
@@ -234,6 +235,40 @@ def test_quality_features_equal_brute_force(texts):
         assert tail[12] == pytest.approx(math.log1p(max(n_lines, 1))) and tail[13] == float(not (t or ""))
 
 
+def test_quality_is_learnt_from_all_labels(spark):
+    """Of each label the 4,001 documents of least hash say one thing, and 6,000 others the opposite."""
+    ids = [r["id"] for r in spark.range(20_002).orderBy(F.xxhash64("id"), "id").collect()]
+    rows, labels = [], []
+    for k, i in enumerate(ids):
+        q, early = k % 2, k < 8002
+        rows.append((i, "river stone walks." if bool(q) == early else "!! x1 $$ BUY"))
+        labels.append((i, q))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    assert {r["text"] for r in keep_good(docs, labels).select("text").distinct().collect()} == {"!! x1 $$ BUY"}
+
+
+def test_quality_groups_hold_every_labelled_document(spark, monkeypatch):
+    """By broadcast and by shuffle, however rows lie; a rare label is copied to all groups, and counted once."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "walks", "X1", "!!"]) for _ in range(rng.randint(1, 9)))) for i in range(300)] + [(7, "river"), (None, "stone")]
+    labels = spark.createDataFrame([(i, int(i % 60 > 0)) for i in range(250)] + [(999, 1), (None, 1)], "doc_id long, quality int")
+    scores, x = [], features(*text_buffers(pa.array([t for i, t in rows if i is not None and i < 250]))).astype(np.float32)
+    for bound, parts in ((1 << 14, 1), (0, 5)):
+        monkeypatch.setattr(quality_ranking, "BROADCAST_LABELS", bound)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        _, groups = quality_ranking._groups(docs, labels.where("doc_id is not null"), 50)
+        found = [g for b in groups.toArrow().to_batches() for g in quality_ranking._unpacked(b)]
+        assert len(found) == 6 and all((y == 0).sum() == 5 for _, _, y, _ in found)
+        assert sorted(r.astype(np.float32).tobytes() for _, own, _, first in found for r in own[first]) == sorted(r.tobytes() for r in x)
+        n, mean, m2 = quality_ranking.merged([quality_ranking.moments(own[first]) for _, own, _, first in found])
+        assert n == 251 and mean == pytest.approx(x.astype(float).mean(axis=0)) and np.sqrt(m2 / n) == pytest.approx(x.astype(float).std(axis=0), abs=1e-9)
+        scores.append(sorted((str(r["doc_id"]), r["score"]) for r in quality_scores(docs, labels, group_rows=50).collect()))
+    (ids, a), (same, b) = (zip(*s, strict=True) for s in scores)
+    assert ids == same and a == pytest.approx(b, abs=1e-12)
+
+
 def test_quality_ranking_equals_brute_force(spark):
     """The pair loss of the learnt weights against small changes, the cut against every cut, and the query against the model."""
     rng = random.Random(2)
