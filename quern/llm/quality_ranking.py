@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import documents, durable, pack, slices, text_buffers, unpack
+from quern.llm.blocks import documents, durable, give_back, pack, slices, text_buffers, unpack
 from quern.llm.words import word_hashes, word_spans
 
 #: Labelled documents of a group, about; of the rarer label each has some ``LEAST`` (copies, if there are fewer).
@@ -243,6 +243,7 @@ def _groups(docs: DataFrame, labels: DataFrame, group_rows: int) -> tuple[dict[i
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *piece.columns[2:]], ["doc_id", "x", *piece.schema.names[2:]])
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()
         raw, y, first = table["x"].to_pylist(), table["quality"].to_pylist(), table["first"].to_pylist()
         order = sorted(range(len(raw)), key=lambda i: (y[i], raw[i]))
         x = np.frombuffer(b"".join(raw[i] for i in order), np.float32)
@@ -261,6 +262,7 @@ def _groups(docs: DataFrame, labels: DataFrame, group_rows: int) -> tuple[dict[i
 
 def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     for group, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        give_back()
         x, y, first = unpack(payload.as_py())
         yield group, x.reshape(len(y), -1).astype(float), y, first
 
